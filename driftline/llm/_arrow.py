@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from driftline.session import ship
+
 _own_dir: list[str] = []
 
 
@@ -50,7 +52,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds at once: Arrow batches of few rows, as texts may be long."""
+    """Bound what a Python worker holds at once: Arrow batches of few rows, as texts may be long. Workers get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

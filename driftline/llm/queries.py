@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, secrets, warc
+from . import bpe, decontam, html, langid, secrets, substrings, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,9 +61,41 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.with_length(html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"]))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op4_secret_scan, op5_warc_roundtrip, op6_html_text)}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that a smaller document has."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = substrings.remove_repeats(docs, keep=["doc_id"])
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every row whose id is divisible by 20."""
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold three quarters of a benchmark item, with the item."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op4_secret_scan, op5_warc_roundtrip, op6_html_text, op7_substring_dedup, op9_exact_topk, op10_decontamination)}
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_SHINGLES = "list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_exact_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e::double[], c.e::double[])::bigint as score
+                   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+             r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, rank::int as rank, vec_id, score from r where rank <= 20""",
+    "op10_decontamination": f"""
+        with d as (select doc_id, unnest({_SHINGLES}) as s from (select doc_id, {_WORDS} as w from documents)),
+             i as (select item_id, len(h) as n_item, unnest(h) as s from (select item_id, {_SHINGLES} as h from (select item_id, {_WORDS} as w from benchmark))),
+             p as (select doc_id, item_id, n_item, count(distinct s) as n_shared from d join i using (s) group by all)
+        select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from p where 100 * n_shared >= 75 * n_item""",
     "op5_warc_roundtrip": """
         with p as (select page_id, encode(coalesce(html, '')) as body from pages),
              d as (select page_id, octet_length(body)::bigint as payload_bytes, sha1(body) as payload_digest from p),
