@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, secrets, substrings, topk, warc
+from . import bpe, decontam, html, jaccard, langid, secrets, substrings, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_50k.tiktoken"
@@ -45,6 +45,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_copies(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and spans."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,7 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op4_secret_scan, op5_warc_roundtrip, op6_html_text, op7_substring_dedup, op9_exact_topk, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op4_secret_scan, op5_warc_roundtrip, op6_html_text, op7_substring_dedup, op9_exact_topk, op10_decontamination)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _SHINGLES = "list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)"
