@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, langid, secrets, substrings, topk, warc
+from . import bpe, decontam, html, jaccard, langid, secrets, substrings, suffixes, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,6 +74,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 that start twice or more."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = suffixes.remove_repeats(docs, keep=["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows for every row whose id is divisible by 20."""
     return topk.search(_table(spark, sf_dir, "embeddings"))
@@ -84,7 +91,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op4_secret_scan, op5_warc_roundtrip, op6_html_text, op7_substring_dedup, op9_exact_topk, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_jaccard_join, op4_secret_scan, op5_warc_roundtrip, op6_html_text, op7_substring_dedup, op8_suffix_dedup, op9_exact_topk, op10_decontamination)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _SHINGLES = "list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)"
