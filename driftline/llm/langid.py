@@ -8,7 +8,7 @@ so the code length of a text is a sum over its bytes. The language with the shor
 score is its posterior under equal priors.
 
 Learning reads at most about ``SAMPLE`` labelled documents of each language (drawn by a hash of the
-text), counted by Spark jobs; the model is bounded by that sample and is broadcast. Code lengths of every
+text, copies counting once), counted by Spark jobs; the model is bounded by that sample and is broadcast. Code lengths of every
 context and byte known to any language are laid out in one hash table for each order, so texts are scored
 by vectorised look-ups, every byte of every text.
 
@@ -68,7 +68,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     if not sizes:
         return Model([], {})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    # a text and its copies are drawn alike, so copies count once or the sample would have no bound
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
