@@ -14,8 +14,9 @@ they share at least ``PERCENT`` of the union. The work is on different sets: equ
 3. Pairs are verified with whole sets in a prefix tree: the sets to compare with a probe are stored in global
    order by their tokens, the walk down shares the overlap counted so far, and a subtree is left when even
    all that remains of its sets and of the probe cannot reach the overlap needed.
-4. Links make components. Large groups that still span several components are compared across these, by the
-   same tree, so no link is lost; then components are made anew.
+4. Links make components. Sets of large groups that still stand in several components, and that hold enough
+   tokens of large groups to link by these alone, are compared across components by the same tree, so no link
+   is lost; then components are made anew.
 
 Defined results: texts without words (null, empty) have an empty set and are linked with nothing; fewer than
 five words are one shingle; equal texts and repeated rows link; a row without id takes no part and gets no
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import cut, small_batches
@@ -44,7 +45,8 @@ CHUNK_BYTES, CHUNK_TOKENS = 24 << 20, 4_000_000
 SMALL_GROUP = 16
 BLOCK = 64
 TOKEN_BYTES, SET_BYTES = 5, 6
-BROADCAST_IDS = 1_000_000
+#: Places of sets are broadcast up to so many rows and bytes; beyond, texts are shuffled to them.
+BROADCAST_IDS, BROADCAST_BYTES = 200_000, 16 << 20
 _SALT = np.uint64(0xBB67AE8584CAA73B)
 
 
@@ -262,7 +264,7 @@ def _meet(percent: int):
             for s in range(start, start + m, 50_000):
                 piece = slice(s, min(s + 50_000, start + m))
                 none = np.zeros(1, np.int64)
-                yield from _candidate_batch(as_long(key[s : s + 1]), none, none, None, none, none, [pack(node[piece].view(np.uint64), n[piece])])
+                yield from _candidate_batch(as_long(key[s : s + 1]), none, np.full(1, m), None, none, none, [pack(node[piece].view(np.uint64), n[piece])])
         if lead_a:
             leader, member = np.concatenate(lead_a), np.concatenate(lead_b)
             order = np.lexsort((leader, member))
@@ -339,46 +341,66 @@ def _compare(percent: int):
     return run
 
 
-def _stored_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node and tokens (sorted, packed) of the wanted nodes, each from one document that has it."""
-    reps = rows.groupBy("node").agg(F.min("doc_id").alias("_rep")).join(wanted.select("node"), "node").select("_rep")
-    reps = cut(reps.distinct(), "representatives")
-    small = reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(reps) if small else reps, F.col("doc_id") == F.col("_rep")).select("doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(_rows(batches)):
-            sets = [s for s in token_sets([t for _, t in group], k) if len(s)]
-            low = [np.unique(bytes_hash(hash_bytes(s, SET_BYTES), SET_BYTES)) for s in sets]
-            packed = [hash_bytes(s, SET_BYTES).tobytes() for s in low]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["node", "tokens"])
-
-    return texts.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
-
-
 def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, leader) that link, by the prefix tree. Each probe's partners are cut into blocks."""
+    """The pairs (a, b, leader) that link, by the prefix tree. Each probe's partners are cut into blocks.
+
+    A set is made from the text of one document that has it, once, and goes with all its places to the blocks
+    that need it, in the one shuffle of whole sets.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probe = F.coalesce("leader", "a")
     pairs = cut(pairs.select(probe.alias("probe"), F.when(probe == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), "pairs")
-    wanted = pairs.select("node").union(pairs.select("probe")).distinct()
-    sets = cut(_stored_sets(docs, rows, wanted, k), "sets")
     degree = pairs.groupBy("probe").agg(F.count("*").alias("degree"))
     placed = cut(pairs.join(degree, "probe").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / BLOCK))).drop("degree"), "blocks")
-    members = placed.join(sets, "node").select("probe", "block", F.lit(1).alias("role"), "node", "tokens")
-    probes = placed.select("probe", "block").distinct().join(sets, F.col("probe") == F.col("node")).select("probe", "block", F.lit(0).alias("role"), "node", "tokens")
-    dealt = members.union(probes).repartition(parts, "probe", "block").sortWithinPartitions("probe", "block", "role")
+    members = placed.select("node", "probe", "block", F.lit(1).alias("role"))
+    probes = placed.select(F.col("probe").alias("node"), "probe", "block").distinct().withColumn("role", F.lit(0))
+    # a set in very many blocks has its places in several rows, so that no row is long
+    share = F.pmod(F.xxhash64("probe", "block"), F.lit(64))
+    places = members.union(probes).groupBy("node", share.alias("share")).agg(F.collect_list(F.struct("probe", "block", "role")).alias("places"))
+    reps = rows.groupBy("node").agg(F.min("doc_id").alias("_rep"))
+    placed = cut(places.join(reps, "node").select("_rep", "node", "places"), "places")
+    n_rows, n_places = placed.select(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    small = n_rows <= BROADCAST_IDS and n_places * 24 <= BROADCAST_BYTES
+    texts = docs.join(F.broadcast(placed) if small else placed, F.col("doc_id") == F.col("_rep")).select("text", "node", "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, list[tuple[int, list]]] = {}
+            for text, node, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                held.setdefault(text, []).append((node, own))
+            for group in groups((None, t.encode()) for t in held):
+                for (_, text), tokens in zip(group, token_sets([t for _, t in group], k)):
+                    name = node_of(tokens)
+                    packed = hash_bytes(np.unique(bytes_hash(hash_bytes(tokens, SET_BYTES), SET_BYTES)), SET_BYTES).tobytes()
+                    out = [p for node, own in held[text.decode()] if node == name for p in own]  # else another text under the same id
+                    step = max(1, (4 << 20) // max(1, len(packed)))
+                    for i in range(0, len(out), step):
+                        some = out[i : i + step]
+                        columns = [pa.array([p["probe"] for p in some], pa.int64()), pa.array([p["block"] for p in some], pa.int64()), pa.array([p["role"] for p in some], pa.int32()), pa.array([name] * len(some), pa.int64()), pa.array([packed] * len(some), pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["probe", "block", "role", "node", "tokens"])
+
+    dealt = texts.mapInArrow(run, "probe long, block long, role int, node long, tokens binary").repartition(parts, "probe", "block").sortWithinPartitions("probe", "block", "role")
     return dealt.mapInArrow(_compare(percent), "a long, b long")
 
 
-def _across(big: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in one large group but, so far, in different components."""
+def _large_groups(met: DataFrame) -> DataFrame:
+    """token, node, n and the group's size, a row for each membership of a large group."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for key, size, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
                 nodes, n = unpack(payload)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), key, np.int64)), pa.array(nodes.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), key, np.int64)), pa.array(nodes.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(n), size, np.int64))], names=["token", "node", "n", "size"])
+
+    return met.where("payload is not null").select("a", "shared", "payload").mapInArrow(spread, "token long, node long, n long, size long")
+
+
+def _across(large: DataFrame, held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in one large group but, so far, in different components, that no small group has shown.
+
+    Two such sets must share k tokens of large groups alone. A set that holds fewer takes no part, and of
+    those that hold more, in order of group size, only the first that k shared ones cannot all miss.
+    """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [[], [], [], []]
@@ -388,30 +410,38 @@ def _across(big: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         if not columns[0]:
             return
         token, node, n, comp = (np.concatenate(c) for c in columns)
-        order = np.lexsort((comp, token))
+        order = np.lexsort((n, token))
         token, node, n, comp = token[order], node[order], n[order], comp[order]
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        found = []
+        found, size = [], 0
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            inside = np.flatnonzero(np.concatenate([[True], comp[a + 1 : b] != comp[a : b - 1], [True]]))
-            for s, e in zip((a + inside[:-1]).tolist(), (a + inside[1:]).tolist()):
-                later = np.arange(e, b)
-                for i in range(s, e):
-                    fit = later[100 * np.minimum(n[i], n[later]) >= percent * np.maximum(n[i], n[later])]
-                    found.append((np.full(len(fit), node[i]), node[fit], np.full(len(fit), n[i]), n[fit]))
-            if sum(len(f[0]) for f in found) > 2_000_000:
+            reach = np.searchsorted(n[a:b], n[a:b] * 100 // percent, side="right") + a  # sizes rise: partners stand close by
+            for i in range(a, b):
+                later = np.arange(i + 1, reach[i - a])
+                later = later[comp[later] != comp[i]]
+                found.append((np.full(len(later), node[i]), node[later], np.full(len(later), n[i]), n[later]))
+                size += len(later)
+            if size > 2_000_000:
                 found = [_counted(*(np.concatenate(x) for x in zip(*found)), percent)[:4]]
+                size = len(found[0][0])
         if found:
             x, y, *_ = _counted(*(np.concatenate(f) for f in zip(*found)), percent)
             for i in range(0, len(x), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]), pa.array(y[i : i + 50_000])], names=["a", "b"])
 
-    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = big.select(F.col("a").alias("token"), "payload").mapInArrow(spread, "token long, node long, n long")
-    rows = cut(rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "large-groups")
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = _extra_column(F.ceil(F.col("n") * percent / 100))
+    heavy = large.join(held, "node").where(F.col("held") >= least)
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("size", "token"))
+    first = heavy.withColumn("rank", rank).where(F.col("rank") <= F.col("held") - least + 1)
+    rows = cut(first.join(labels, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp")), "large-groups")
     split = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     open_rows = rows.join(split, "token").select("token", "node", "n", "comp")
-    return open_rows.repartition(parts, "token").mapInArrow(pair, "a long, b long").distinct()
+    pairs = open_rows.repartition(parts, "token").mapInArrow(pair, "a long, b long").distinct()
+    own = heavy.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"))
+    of = lambda side: own.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}"), F.col("n").alias(f"n_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= _extra_column(F.least("n_a", "n_b"))).select("a", "b")
 
 
 def _extra_column(n: Column) -> Column:
@@ -431,12 +461,17 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     sent = docs.mapInArrow(_send(frequent, k, percent, 2 * parts), "bucket int, payload binary")
     met = cut(sent.repartition(parts, "bucket").mapInArrow(_meet(percent), CANDIDATES), "candidates")
     pairs = met.where("payload is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("leader").alias("leader"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    pairs = pairs.where(F.col("leader").isNotNull() | (F.col("shared") >= F.least(_extra_column(F.col("na")), _extra_column(F.col("nb")))))
+    # what both hold of large groups may be shared too: such pairs are not looked for again
+    large = cut(_large_groups(met), "large-members")
+    held = cut(large.groupBy("node").agg(F.count("*").alias("held")), "large-held")
+    of = lambda side: held.select(F.col("node").alias(side), F.col("held").alias(f"held_{side}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = F.coalesce(F.least("held_a", "held_b", F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), F.lit(0))), F.lit(0))
+    pairs = pairs.where(F.col("leader").isNotNull() | (F.col("shared") + more >= F.least(_extra_column(F.col("na")), _extra_column(F.col("nb")))))
     links = cut(_verified(docs, linkable, pairs, k, percent), "links")
     labels = components(links)
-    big = met.where("payload is not null")
-    if big.limit(1).count():
-        more = cut(_across(big, labels, percent), "across").withColumn("leader", F.lit(None).cast("long"))
+    if held.limit(1).count():
+        more = cut(_across(large, held, labels, percent), "across").withColumn("leader", F.lit(None).cast("long"))
         if more.limit(1).count():
             again = cut(_verified(docs, linkable, more, k, percent), "links")
             if again.limit(1).count():
