@@ -95,7 +95,9 @@ def _settings(trees: int | None, default: int, params: dict) -> dict:
 
 def train(prepared: DataFrame, features: list[str], levels: dict[str, list[str]], trees: int | None = None, **params) -> Bundle:
     """Boosted regression trees on log1p(deviation_m)."""
-    model = GBTRegressor(**_settings(trees, TREES, params)).fit(vectors(prepared, features))
+    data = vectors(prepared, features).select("y", "features").persist()  # boosting reads it many times
+    model = GBTRegressor(**_settings(trees, TREES, params)).fit(data)
+    data.unpersist()
     return Bundle(PipelineModel([model]), features, levels)
 
 
@@ -103,8 +105,9 @@ def train_classifier(prepared: DataFrame, features: list[str], levels: dict[str,
     """Boosted classification trees; positives weigh as much as negatives where there are both."""
     n, pos = prepared.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     weight = (n - pos) / pos if 0 < pos < n else 1.0
-    data = vectors(prepared, features).withColumn("w", F.when(F.col("y") > 0, F.lit(weight)).otherwise(F.lit(1.0)))
+    data = vectors(prepared, features).withColumn("w", F.when(F.col("y") > 0, F.lit(weight)).otherwise(F.lit(1.0))).select("y", "w", "features").persist()
     model = GBTClassifier(weightCol="w", **_settings(trees, CLASSIFIER_TREES, params)).fit(data)
+    data.unpersist()
     return Bundle(PipelineModel([model]), features, levels, pos / max(n, 1))
 
 

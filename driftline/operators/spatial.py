@@ -123,8 +123,9 @@ def building_features(points: DataFrame, buildings: DataFrame, radii_m: tuple[fl
     near = near.withColumn("_measured", measured)
     if "nearest" in parts:
         out["nearest_building_m"] = F.array_min(F.transform(F.filter("_measured", lambda m: m["close"]), lambda m: m["d"]))
+    upto = lambda r: F.filter("_measured", lambda m: m["d"] <= float(r))
     for r in radii_m if "density" in parts else ():
-        within = F.filter("_measured", lambda m, r=r: m["d"] <= float(r))
+        within = upto(r)
         total = F.aggregate(within, F.lit(0.0), lambda s, m: s + m["area"])
         out |= {f"n_buildings_{int(r)}m": F.coalesce(F.size(F.when(F.col("_measured").isNotNull(), within)), F.lit(0)).cast("long"), f"building_area_{int(r)}m_m2": F.coalesce(total, F.lit(0.0))}
     return near.withColumns(out).drop("_items", "_measured")

@@ -26,6 +26,11 @@ def r4(*names: str):
     return [F.round(n, 4).alias(n) for n in names]
 
 
+def r6(*names: str):
+    """Seconds, exact to the microsecond."""
+    return [F.round(n, 6).alias(n) for n in names]
+
+
 def us(name: str, out: str | None = None):
     return F.unix_micros(name).alias(out or f"{name}_us")
 
@@ -76,19 +81,19 @@ def visit_sessions(spark, d):
 def session_extent(spark, d):
     s = sessionize.summarise_sessions(glh(spark, d))
     extent = [c for c in s.columns if c.endswith(("_min", "_max"))]
-    return s.select("volunteer", "session_id", "n_points", us("start_time"), us("end_time"), *r4("duration_s", *extent))
+    return s.select("volunteer", "session_id", "n_points", us("start_time"), us("end_time"), *r6("duration_s"), *r4(*extent))
 
 
 @query
 def session_rate(spark, d):
     s = sessionize.session_summary(gpx(spark, d).withColumn("source_file", F.concat(F.lit("f"), F.col("volunteer"))))
-    return s.select("volunteer", "session_id", "source_file", "n_points", *r4("duration_s"), F.round("mean_rate_hz", 6).alias("mean_rate_hz"))
+    return s.select("volunteer", "session_id", "source_file", "n_points", *r6("duration_s"), F.round("mean_rate_hz", 6).alias("mean_rate_hz"))
 
 
 @query
 def session_window_summary(spark, d):
     s = streaming.session_summaries(fx.tracks(spark, d).where("kind = 'GLH'"), fx.GAP_S)
-    return s.select("volunteer", "n_points", us("start_time"), us("end_time"), *r4("duration_s", "lat_min", "lat_max", "lon_min", "lon_max"))
+    return s.select("volunteer", "n_points", us("start_time"), us("end_time"), *r6("duration_s"), *r4("lat_min", "lat_max", "lon_min", "lon_max"))
 
 
 # --- cleaning
@@ -152,20 +157,23 @@ def clean_gpx_audit(spark, d):
 # --- matching
 
 
+_BRACKET = ("bracket_dt_prev_s", "bracket_dt_next_s", "bracket_total_s")
+
+
 @query
 def overlap_pairs(spark, d):
     pairs = matching.find_overlapping_sessions(sessionize.summarise_sessions(gpx(spark, d)), sessionize.summarise_sessions(glh(spark, d)))
-    return pairs.select("volunteer", "gpx_session_id", "glh_session_id", us("overlap_start"), us("overlap_end"), *r4("overlap_s"))
+    return pairs.select("volunteer", "gpx_session_id", "glh_session_id", us("overlap_start"), us("overlap_end"), *r6("overlap_s"))
 
 
 @query
 def interpolate_asof(spark, d):
     truth, targets = fx.tracks(spark, d).where("kind = 'GPX'"), fx.tracks(spark, d).where("kind = 'GLH'").select("volunteer", "timestamp", F.col("ord").alias("target"))
     found = matching.interpolate_asof(truth, targets, ["volunteer"])
-    return found.select("target", "in_bracket", *r4("gpx_lat", "gpx_lon", "gpx_east", "gpx_north", "bracket_dt_prev_s", "bracket_dt_next_s", "bracket_total_s"))
+    return found.select("target", "in_bracket", *r4("gpx_lat", "gpx_lon", "gpx_east", "gpx_north"), *r6(*_BRACKET))
 
 
-_MATCHED = ("glh_east", "glh_north", "gpx_lat", "gpx_lon", "gpx_east", "gpx_north", "bracket_dt_prev_s", "bracket_dt_next_s", "bracket_total_s", "deviation_m")
+_MATCHED = ("glh_east", "glh_north", "gpx_lat", "gpx_lon", "gpx_east", "gpx_north", "deviation_m")
 
 
 def _matched(spark, d, volunteers=2):
@@ -177,7 +185,7 @@ def _matched(spark, d, volunteers=2):
 @query
 def match_streams(spark, d):
     m = matching.match_streams(gpx(spark, d), glh(spark, d), "all", fx.BRACKET_S)
-    return m.select("volunteer", "glh_layer", "glh_session_id", "gpx_session_id", us("timestamp"), "glh_source", *r4("glh_accuracy_m", *_MATCHED), "matched")
+    return m.select("volunteer", "glh_layer", "glh_session_id", "gpx_session_id", us("timestamp"), "glh_source", *r4("glh_accuracy_m", *_MATCHED), *r6(*_BRACKET), "matched")
 
 
 @query
@@ -218,7 +226,7 @@ def parse_latlng(spark, d):
     forms = F.when(e % 5 == 0, F.concat(lat, F.lit("°, "), lon, F.lit("°"))).when(e % 5 == 1, F.concat(F.lit("geo:"), lat, F.lit(","), lon)).when(e % 5 == 2, F.concat(F.lit(" "), lat, F.lit(" , "), lon)).when(e % 5 == 3, F.concat(lat, F.lit("e0,"), lon)).otherwise(F.lit(".5,1"))
     t = fx.tracks(spark, d).withColumn("value", forms)
     a, b = S.latlng_text(F.col("value"))
-    return t.select("ord", "value", a.alias("lat"), b.alias("lon"))
+    return t.select("ord", a.alias("lat"), b.alias("lon"))
 
 
 @query
@@ -385,7 +393,7 @@ def hmm_match(spark, d):
     return m.select("volunteer", "glh_layer", "glh_session_id", us("timestamp"), *r4("hmm_pred_glh_east", "hmm_pred_glh_north", "hmm_perp_distance_m", "hmm_pred_deviation_m", "hmm_improvement_vs_raw_m"))
 
 
-def _regressor(spark, d, trees=10):
+def _regressor(spark, d, trees=4):
     data = _corrected(spark, d)
     prepared, names, levels = models.prepare_features(data)
     return models.train(prepared, names, levels, trees), data
@@ -401,7 +409,7 @@ def gbt_predict(spark, d):
 def classifier_predict(spark, d):
     data = _corrected(spark, d)
     prepared, names, levels = models.prepare_classifier_features(data)
-    bundle = models.train_classifier(prepared, names, levels, 10)
+    bundle = models.train_classifier(prepared, names, levels, 4)
     return models.apply_classifier_corrector(bundle, data).select("volunteer", "glh_layer", us("timestamp"), *r4("snap_helps_prob", "clf_deviation_m"), "snap_helps_decision")
 
 
