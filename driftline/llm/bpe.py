@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from ._arrow import append_columns, small_batches
 
 #: Encodings of this many short pieces are memoised by each Python worker; then it starts afresh.
-MEMO_PIECES, MEMO_LENGTH = 400_000, 48
+MEMO_PIECES, MEMO_LENGTH = 100_000, 48
+#: Pairs of tokens whose compatibility is memoised.
+MEMO_PAIRS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -111,7 +113,7 @@ class Encoder(dict):
             if len(self) >= MEMO_PIECES:
                 self.clear()
             self[piece] = ids
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > MEMO_PAIRS:
             self.fits.clear()
         return ids
 

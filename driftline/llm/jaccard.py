@@ -40,7 +40,7 @@ from ._hashing import Words, as_long, groups, mix, ngrams
 WORDS, PERCENT = 5, 75
 #: Shingles in at least one set of so many are ordered last.
 RARE_SHARE = 2000
-CHUNK_BYTES, CHUNK_TOKENS = 24 << 20, 4_000_000
+CHUNK_BYTES, CHUNK_TOKENS = 16 << 20, 2_500_000
 #: Groups of up to so many sets give all their pairs.
 SMALL_GROUP = 16
 BLOCK = 64
