@@ -151,10 +151,20 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sort_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Sort suffixes by their first ``depth`` bytes: by 8 bytes at a time, within groups still equal."""
+    """Sort suffixes by their first ``depth`` bytes. Those that agree in all of them stand together, so one of each is sorted."""
     if not len(at):
         return at
     padded = np.concatenate([text, np.zeros(depth + 16, dtype=np.uint8)])
+    sums, inverse = prefix_sums(padded), powers(len(padded) + 1)[1]
+    _, first, which = np.unique((sums[at + depth] - sums[at]) * inverse[at], return_index=True, return_inverse=True)
+    one = at[first]
+    rank = np.empty(len(text), dtype=np.int64)
+    rank[_sort_different(text, padded, one, depth)] = np.arange(len(one))
+    return at[np.argsort(rank[one][which], kind="stable")]
+
+
+def _sort_different(text: np.ndarray, padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """By 8 bytes at a time, within groups still equal."""
     words = np.zeros(len(text) + depth + 8, dtype=np.uint64)
     for i in range(8):
         words = (words << np.uint64(8)) | padded[i : i + len(words)].astype(np.uint64)
