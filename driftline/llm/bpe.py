@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
-Bytes map to Latin-1 characters, so a pyahocorasick automaton of the vocabulary finds every token
-that matches at every place of a piece in one pass. Encoding takes the longest match whose pair with
+Bytes map to Latin-1 characters, so a pyahocorasick automaton of the vocabulary finds the longest token
+at each place of a piece that encoding comes to; shorter ones are its prefixes. Encoding takes the longest match whose pair with
 the previous token is compatible (the two tokens are what BPE makes of their joined bytes), falls
 back to shorter ones, and backtracks when none is. A prefix of a piece has exactly one valid
 encoding, so a place that led nowhere is never entered again and the work is linear. Pair
-compatibility is memoised.
+compatibility is decided by undoing merges at the border, and memoised.
 
 Defined results: a null text counts as empty; an empty text has no ids; any text works, as all 256
 single bytes are tokens; a long piece costs time and memory in proportion to its length.
@@ -27,9 +27,11 @@ from pyspark.sql import types as T
 from ._arrow import append_columns, small_batches
 
 #: Encodings of this many short pieces are memoised by each Python worker; then it starts afresh.
-MEMO_PIECES, MEMO_LENGTH = 100_000, 48
-#: Pairs of tokens whose compatibility is memoised.
+MEMO_PIECES, MEMO_LENGTH = 150_000, 48
+#: Pairs of tokens whose compatibility is decided by undoing merges at the border, and memoised.
 MEMO_PAIRS = 250_000
+#: Ids that are decoded at once.
+DECODE_STEP = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,6 +39,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Shorter(dict):
+    """The longest token that is a proper prefix of a token; -1 for none."""
+
+    def __init__(self, encoder: "Encoder"):
+        super().__init__()
+        self.ranks, self.tokens = encoder.ranks, encoder.tokens
+
+    def __missing__(self, token: int) -> int:
+        data = self.tokens[token]
+        found = self[token] = next((self.ranks[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.ranks), -1)
+        return found
+
+
 class Encoder(dict):
     """Encodes pieces; as a dict it memoises the ids of short ones."""
 
@@ -50,62 +65,85 @@ class Encoder(dict):
             self.auto.add_word(token.decode("latin-1"), (rank, len(token)))
         self.auto.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
+        self.split_of: dict[int, tuple[int, int] | None] = {}
+        self.shorter = Shorter(self)
         self.split = regex.compile(pattern).findall
 
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging by rank, for a few bytes: decides what is compatible."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [ranks[p] for p in parts]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token joins: (-1, -1) for a single byte, None if merging never makes the token."""
+        try:
+            return self.split_of[token]
+        except KeyError:
+            data = self.tokens[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            last = (-1, -1)
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
+                joined = parts[best] + parts[best + 1]
+                if joined not in self.ranks:
+                    last = None
+                    break
+                last = self.ranks[parts[best]], self.ranks[parts[best + 1]]
+                parts[best : best + 2] = [joined]
+            self.split_of[token] = last
+            return last
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether BPE leaves the two tokens side by side; left -1: whether a token is made at all."""
-        data = self.tokens[right] if left < 0 else self.tokens[left] + self.tokens[right]
-        fits = self.fits[left, right] = self.merged(data) == ([right] if left < 0 else [left, right])
+        """Whether BPE leaves the two tokens side by side; left -1: whether a token is made at all.
+
+        Merges are undone on both sides of the border, the latest first; the tokens fit if at no time a merge
+        across the border came before the merge that was really made (of equal ones the left is made).
+        """
+        key = left, right
+        fits = self.halves(right) is not None
+        if fits and left >= 0:
+            get, tokens, before = self.ranks.get, self.tokens, 1 << 60
+            while True:
+                across = get(tokens[left] + tokens[right])
+                if across is not None and across < before:
+                    fits = False
+                    break
+                inner, outer = self.halves(left)[1], self.halves(right)[0]
+                if inner >= 0 and (left > right or outer < 0):
+                    before, left = left, inner
+                elif outer >= 0:
+                    before, right = right + 1, outer
+                else:
+                    break
+        self.fits[key] = fits
         return fits
 
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        size, fits = len(data), self.fits
-        at: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for end, match in self.auto.iter(data.decode("latin-1")):
-            at[end - match[1] + 1].append(match)  # ends rise, so the longest is last
+        size, fits, latin, tokens, shorter = len(data), self.fits, data.decode("latin-1"), self.tokens, self.shorter
+        longest = {end - match[1] + 1: match[0] for end, match in self.auto.iter_long(latin)}
         ids: list[int] = []
-        starts: list[int] = []
         dead: set[int] = set()
-        pos, left, options = 0, -1, at[0]
+        pos, left, token = 0, -1, longest[0]
         while True:
-            while options:
-                token, length = options.pop()
-                if pos + length in dead:
-                    continue
-                ok = fits.get((-1, token))
+            while token >= 0:
+                end = pos + len(tokens[token])
+                ok = fits.get((left, token))
                 if ok is None:
-                    ok = self.compatible(-1, token)
-                if ok and left >= 0:
-                    ok = fits.get((left, token))
-                    if ok is None:
-                        ok = self.compatible(left, token)
-                if ok:
-                    ids.append(token)
-                    starts.append(pos)
-                    pos, left = pos + length, token
-                    if pos == size:
-                        return tuple(ids)
-                    options = at[pos]
+                    ok = self.compatible(left, token)
+                if ok and end not in dead:
                     break
+                token = shorter[token]
             else:
                 dead.add(pos)
-                ids.pop()
-                pos = starts.pop()
-                left, options = ids[-1] if ids else -1, at[pos]
+                token = ids.pop()
+                pos -= len(tokens[token])
+                left, token = ids[-1] if ids else -1, shorter[token]
+                continue
+            ids.append(token)
+            if end == size:
+                return tuple(ids)
+            pos, left = end, token
+            token = longest.get(pos, -1)
+            if token < 0:
+                token = longest[pos] = next(self.auto.iter_long(latin, pos))[1][0]
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.encode_piece(piece.encode())
@@ -151,11 +189,22 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "bytes", keep:
 
     def make():
         tokens = encoder(path, r".+").tokens
+        table = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             lists = batch.column(batch.schema.get_field_index(ids))
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), lists.value_lengths().fill_null(0).to_numpy().cumsum().tolist()
-            return [pa.array([b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip([0, *ends], ends)], pa.binary())]
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy().cumsum()
+            parts = []
+            for a in range(0, len(flat), DECODE_STEP):
+                some = flat[a : a + DECODE_STEP]
+                size = sizes[some]
+                stop = np.cumsum(size)
+                parts.append(table[np.repeat(starts[some] - stop + size, size) + np.arange(stop[-1])])
+            data = np.concatenate(parts) if parts else table[:0]
+            bounds = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], ends])]
+            return [pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())]
 
         return work
 
