@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ._arrow import append_columns, small_batches
 
-#: Encodings of this many short pieces are memoised by each Python worker; then it starts afresh.
+#: Encodings of this many short pieces are memoised by each Python worker, twice over: a full memo is kept while the next one fills.
 MEMO_PIECES, MEMO_LENGTH = 150_000, 48
 #: Pairs of tokens whose compatibility is decided by undoing merges at the border, and memoised.
 MEMO_PAIRS = 250_000
@@ -67,6 +67,7 @@ class Encoder(dict):
         self.fits: dict[tuple[int, int], bool] = {}
         self.split_of: dict[int, tuple[int, int] | None] = {}
         self.shorter = Shorter(self)
+        self.before: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(pattern).findall
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -146,9 +147,12 @@ class Encoder(dict):
                 token = longest[pos] = next(self.auto.iter_long(latin, pos))[1][0]
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode_piece(piece.encode())
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encode_piece(piece.encode())
         if len(piece) <= MEMO_LENGTH:
-            if len(self) >= MEMO_PIECES:
+            if len(self) >= MEMO_PIECES:  # what is still in use comes back from the memo before
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         if len(self.fits) > MEMO_PAIRS:
