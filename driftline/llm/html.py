@@ -11,6 +11,12 @@ the path from the body to the node of the largest density sum; the chosen subtre
 largest sum whose own density reaches that threshold, and blocks inside it that are boilerplate by their
 element, role or class are left out.
 
+A class, id or role marks an element only as a whole token (each of its words is in MARKS: ``ad-banner``, but
+not ``has-sidebar`` or ``related-work``), and headings are not marked by it. No mark holds for an element
+around the article or main with the most prose, nor, if it is the element's name (or there is no article or
+main), for one that holds most of the page's prose, but what is hidden or only leads elsewhere (NEVER).
+The header of an article that holds a heading stays. Where no text is left at all, such marks are dropped.
+
 Defined results: a null or empty page gives an empty text, as does a page without prose; nothing is cut.
 """
 
@@ -30,7 +36,10 @@ from ._arrow import append_columns, small_batches
 # Element names: fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template textarea title noscript iframe svg math object xmp noembed noframes".split())
-BOILER = frozenset("nav header footer aside form menu dialog button select fieldset figcaption".split())
+BOILER = frozenset("nav header footer aside form menu dialog button select fieldset".split())
+#: Those that are not kept for the prose they hold.
+NEVER = frozenset("nav menu button select footer".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"html", "body"}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -46,22 +55,23 @@ _SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("name", "boiler", "children", "chars", "links", "tags", "linktags", "sum", "density")
 
-    def __init__(self, name: str, boiler: bool = False):
+    def __init__(self, name: str, boiler: str = ""):
         self.name, self.boiler, self.children = name, boiler, []
 
 
-def marked(name: str, attrs: str, content: bool) -> bool:
-    """Whether an element is boilerplate by what it is called. content: it stands inside an article."""
-    if name in BOILER:
-        return True
+def marked(name: str, attrs: str) -> str:
+    """By what an element is boilerplate: hidden, name or mark; empty if it is none."""
+    found = "name" if name in BOILER else ""
     for key, *values in _ATTR.findall(attrs) if attrs else ():
         value = next((v for v in values if v), "").lower()
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role") and name not in ("body", "html", "article", "main") and MARKS.intersection(re.findall(r"[a-z]+", value)):
-            return True
-    return False
+            return "hidden"
+        if not found and key in ("class", "id", "role") and name not in ("body", "html", "article", "main") and name not in HEADINGS:
+            words = (re.findall(r"[^\W\d_]+", token) for token in value.split())
+            if any(w and MARKS.issuperset(w) for w in words):
+                found = "mark"
+    return found
 
 
 def parse(page: str) -> Node:
@@ -114,13 +124,47 @@ def parse(page: str) -> Node:
                 stack.pop()
         if name in LIKE:
             close(LIKE[name], ENDS_AT[name])
-        node = Node(name, marked(name, m["attrs"], True))
+        node = Node(name, marked(name, m["attrs"]))
         stack[-1].children.append(node)
         if name not in VOID and not m["attrs"].endswith("/"):
             stack.append(node)
     return root
 
 
+def spare(root: Node) -> None:
+    """Unmark what holds the article or most of the prose, and headers of articles that hold a heading."""
+    order, todo = [], [(root, None, False)]
+    parent, inside = {}, {}
+    while todo:
+        node, above, linked = todo.pop()
+        order.append((node, linked))
+        parent[node] = above
+        inside[node] = above is not None and (above.name in ("article", "main") or inside[above])
+        todo += [(c, node, linked or node.name == "a") for c in node.children if isinstance(c, Node)]
+    if not any(node.boiler for node, _ in order):
+        return
+    prose = dict.fromkeys(parent, 0)
+    for node, linked in reversed(order):
+        if not linked and node.name != "a":
+            prose[node] += sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        if parent[node] is not None and node.boiler != "hidden":
+            prose[parent[node]] += prose[node]
+    articles = [node for node, _ in order if node.name in ("article", "main") and prose[node]]
+    article = max(articles, key=prose.get) if articles else None
+    for node, _ in order:
+        if node.boiler in ("name", "mark") and node.name not in NEVER and 2 * prose[node] > prose[root] and (article is None or node.boiler == "name"):
+            node.boiler = ""
+        if node.name in HEADINGS and inside[node]:
+            above = parent[node]
+            while above is not None and above.name not in ("header", "article", "main"):
+                above = parent[above]
+            if above is not None and above.name == "header" and above.boiler == "name":
+                above.boiler = ""
+    while article is not None:
+        article.boiler = ""
+        article = parent[article]
+
+
 def measure(root: Node) -> None:
     """Characters, linked characters and tags below each node (without boilerplate), densities and their sums."""
     order, todo = [], [root]
@@ -210,6 +254,25 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    spare(root)
+    text = text_of(root)
+    if not text and unmark(root):
+        text = text_of(root)
+    return text
+
+
+def unmark(root: Node) -> bool:
+    """Where nothing else is left: marks are dropped but for what is hidden or in NEVER. Whether there were any."""
+    todo, any_ = [root], False
+    while todo:
+        node = todo.pop()
+        if node.boiler in ("name", "mark") and node.name not in NEVER:
+            node.boiler, any_ = "", True
+        todo += [c for c in node.children if isinstance(c, Node) and (not c.boiler or c.boiler != "hidden" and c.name not in NEVER)]
+    return any_
+
+
+def text_of(root: Node) -> str:
     measure(root)
     chosen = main_subtree(root)
     return "\n".join(blocks(chosen)) if chosen is not None else ""
