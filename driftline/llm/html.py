@@ -6,10 +6,11 @@ number of its characters outside links for each tag, adjusted by the share of li
 
     density(n) = (chars - link_chars) / tags * log(chars + e) / log(linked share of chars + e)
 
-The density sum of a node is the sum of its children's densities. The threshold is the smallest density on
-the path from the body to the node of the largest density sum; the chosen subtree is the one with the
-largest sum whose own density reaches that threshold, and blocks inside it that are boilerplate by their
-element, role or class are left out.
+The density sum of a node is the sum of its children's densities. The threshold is the smallest density,
+with boilerplate or without, on the path from the body to the node of the largest density sum. From the body down, as far as nodes reach that
+threshold, each keeps the subtree of the largest sum below it, and the text is what is kept, in page order;
+blocks that are boilerplate by their element, role or class are left out. Where the node of the largest sum
+stands in an article (or main), only what stands in one is kept, and that article as a whole.
 
 A class, id or role marks an element only as a whole token (each of its words is in MARKS: ``ad-banner``, but
 not ``has-sidebar`` or ``related-work``), and headings are not marked by it. No mark holds for an element
@@ -53,7 +54,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "boiler", "children", "chars", "links", "tags", "linktags", "sum", "density")
+    __slots__ = ("name", "boiler", "children", "chars", "links", "tags", "linktags", "sum", "density", "top", "whole")
 
     def __init__(self, name: str, boiler: str = ""):
         self.name, self.boiler, self.children = name, boiler, []
@@ -165,16 +166,22 @@ def spare(root: Node) -> None:
         article = parent[article]
 
 
+def density(chars: int, links: int, tags: int) -> float:
+    share = links / chars if chars else 0.0
+    return (chars - links) / max(tags, 1) * math.log(chars + math.e) / math.log(share * chars + math.e)
+
+
 def measure(root: Node) -> None:
-    """Characters, linked characters and tags below each node (without boilerplate), densities and their sums."""
+    """Characters, linked characters and tags below each node without boilerplate (``whole``: with it), densities and their sums."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [c for c in node.children if isinstance(c, Node) and not c.boiler]
+        todo += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
         node.chars = node.links = node.tags = 0
         node.sum = 0.0
+        chars = links = tags = 0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(_SPACE.sub("", c))
@@ -183,40 +190,71 @@ def measure(root: Node) -> None:
                 node.links += c.links
                 node.tags += 1 + c.tags
                 node.sum += c.density
+                chars += c.whole[0] - c.chars
+                links += c.whole[1] - c.links
+                tags += c.whole[2] - c.tags
+            else:
+                chars += c.whole[0]
+                links += c.whole[1]
+                tags += 1 + c.whole[2]
         if node.name == "a":
-            node.links = node.chars
-        share = node.links / node.chars if node.chars else 0.0
-        node.density = (node.chars - node.links) / max(node.tags, 1) * math.log(node.chars + math.e) / math.log(share * node.chars + math.e)
+            node.links, links = node.chars, chars
+        node.whole = (node.chars + chars, node.links + links, node.tags + tags)
+        node.density = density(node.chars, node.links, node.tags)
+        node.top = node if node.chars and node.name not in INLINE else None
+        for c in node.children:
+            if isinstance(c, Node) and not c.boiler and c.top is not None and (node.top is None or c.top.sum > node.top.sum):
+                node.top = c.top
 
 
-def main_subtree(root: Node) -> Node | None:
-    """The subtree with the largest density sum that reaches the threshold of the path from the body."""
-    best, path_of, todo = None, {}, [(root, None)]
-    nodes = []
-    while todo:
-        node, parent = todo.pop()
-        path_of[id(node)] = (node, parent)
-        nodes.append(node)
-        if node.chars and node.name not in INLINE and (best is None or node.sum > best.sum):
-            best = node
-        todo += [(c, node) for c in node.children if isinstance(c, Node) and not c.boiler]
+def main_subtrees(root: Node) -> list[Node]:
+    """What is kept, in page order and apart from each other."""
+    best = root.top
     if best is None:
-        return None
+        return []
+    parent, order, todo = {root: None}, [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        below = [c for c in node.children if isinstance(c, Node) and not c.boiler]
+        parent.update((c, node) for c in below)
+        todo += reversed(below)
+
+    def around(node: Node, names: tuple, last: Node | None = None) -> Node | None:
+        while node is not None and node.name not in names and node is not last:
+            node = parent[node]
+        return node
+
     threshold, node = best.density, best
     while node is not None and node.name not in ("#root", "html"):
-        threshold = min(threshold, node.density)
-        node = path_of[id(node)][1]
-    fit = [n for n in nodes if n.chars and n.name not in INLINE and n.density >= threshold]
-    chosen = max(fit, key=lambda n: n.sum)
-    # a paragraph with inline markup has a sum of its own: the text is what its section holds
-    while chosen.name not in ("article", "main", "section", "div", "body", "td", "#root", "html"):
-        chosen = path_of[id(chosen)][1]
-    above = chosen
-    while above is not None:
-        if above.name in ("article", "main"):
-            return above
-        above = path_of[id(above)][1]
-    return chosen
+        threshold = min(threshold, node.density, density(*node.whole))
+        node = parent[node]
+    scope = around(best, ("article", "main"))
+    kept, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        if node.name not in ("#root", "html"):
+            if node.density < threshold or node.top is None:
+                continue
+            # a paragraph with inline markup has a sum of its own: the text is what its section holds
+            own = around(node.top, ("article", "main", "section", "div", "body", "td"), None if node.top is best else node)
+            if scope is None:
+                kept.add(root if own is None else own)
+            elif (article := around(node.top, (scope.name,))) is not None:
+                kept.add(article)
+        todo += [c for c in node.children if isinstance(c, Node) and not c.boiler and c.name not in INLINE]
+    if scope is not None:
+        kept.add(scope)
+    elif not kept:
+        kept.add(root)
+    out, covered = [], set()
+    for node in order:
+        if parent[node] in covered:
+            covered.add(node)
+        elif node in kept:
+            covered.add(node)
+            out.append(node)
+    return out
 
 
 def blocks(node: Node) -> list[str]:
@@ -274,8 +312,7 @@ def unmark(root: Node) -> bool:
 
 def text_of(root: Node) -> str:
     measure(root)
-    chosen = main_subtree(root)
-    return "\n".join(blocks(chosen)) if chosen is not None else ""
+    return "\n".join(line for chosen in main_subtrees(root) for line in blocks(chosen))
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -34,3 +34,15 @@ def test_what_stays_out():
 def test_nothing_else_left():
     page = "<body><nav>Home</nav>" + "".join(f"<div class='widget'><p>{p}</p></div>" for p in PARTS) + "</body>"
     assert main_text(page) == "\n".join(PARTS)
+
+
+def test_article_over_siblings():
+    """A lead beside the body, and parts split by an advert: all that reach the threshold are kept, the rest is not."""
+    more = [f"And then {p}" for p in PARTS]
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{i}'>Place {i}</a></li>" for i in range(12)) + "</ul></nav>"
+    links = "<div><a href='/x'>Other</a> <a href='/y'>Others</a></div>"
+    for start, end in (("", ""), ("<div>", "</div>"), ("<section><div>", "</div></section>")):
+        for parts in ([PARTS, more + more], [PARTS[:1], more + more], [more + more, PARTS], [more, more, more]):
+            divs = "<div class=ad>Buy</div>".join("<div>" + "".join(f"<p>{p}</p>" for p in part) + "</div>" for part in parts)
+            page = f"<html><body>{menu}{start}{divs}{end}{links}<footer>Foot</footer></body></html>"
+            assert main_text(page) == "\n".join(p for part in parts for p in part), page
