@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import projection as P
 from driftline.functions import scalars as S
+from driftline.llm._arrow import cut
 from driftline.operators import cleaning, correct, features, hmm, matching, models, sessionize, spatial
 from driftline.sources import glh as glh_source
 from driftline.sources import networks as network_source
@@ -393,10 +394,10 @@ def hmm_match(spark, d):
     return m.select("volunteer", "glh_layer", "glh_session_id", us("timestamp"), *r4("hmm_pred_glh_east", "hmm_pred_glh_north", "hmm_perp_distance_m", "hmm_pred_deviation_m", "hmm_improvement_vs_raw_m"))
 
 
-def _regressor(spark, d, trees=4):
-    data = _corrected(spark, d)
+def _regressor(spark, d):
+    data = cut(_corrected(spark, d), "corrected")  # levels, training and scoring read it
     prepared, names, levels = models.prepare_features(data)
-    return models.train(prepared, names, levels, trees), data
+    return models.train(prepared, names, levels), data
 
 
 @query
@@ -407,9 +408,9 @@ def gbt_predict(spark, d):
 
 @query
 def classifier_predict(spark, d):
-    data = _corrected(spark, d)
+    data = cut(_corrected(spark, d), "corrected")
     prepared, names, levels = models.prepare_classifier_features(data)
-    bundle = models.train_classifier(prepared, names, levels, 4)
+    bundle = models.train_classifier(prepared, names, levels)
     return models.apply_classifier_corrector(bundle, data).select("volunteer", "glh_layer", us("timestamp"), *r4("snap_helps_prob", "clf_deviation_m"), "snap_helps_decision")
 
 
