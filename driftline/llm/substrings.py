@@ -164,6 +164,23 @@ def _paths(k: int):
     return run
 
 
+def _merged(parts: list[bytes]) -> bytes:
+    """Spans of one document from several chunks as one list, in order and apart."""
+    out: list[list[int]] = []
+    for a, b in sorted(pair for p in parts for pair in np.frombuffer(p, dtype=np.int32).reshape(-1, 2).tolist()):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return np.array(out, dtype=np.int32).tobytes()
+
+
+def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        spans = [p[0] if len(p) == 1 else _merged(p) for p in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.binary())], names=["doc_id", "spans"])
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, buckets: int | None = None) -> DataFrame:
     """doc_id and its repeated spans of words: pairs of int32, start and end, in order and apart from each other."""
     small_batches(docs.sparkSession, 64)
@@ -171,7 +188,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = _send(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), k, n)
     back = sent.repartition(parts, "bucket").mapInArrow(_repeats, "chunk long, payload binary")
-    return back.repartition(parts, "chunk").mapInArrow(_paths(k), "doc_id long, spans binary")
+    spans = back.repartition(parts, "chunk").mapInArrow(_paths(k), "doc_id long, spans binary")
+    # rows of one id may lie in several chunks; equal lists are one
+    return spans.groupBy("doc_id").agg(F.collect_set("spans").alias("parts")).mapInArrow(_one_each, "doc_id long, spans binary")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str) -> DataFrame:
