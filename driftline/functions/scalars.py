@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,32 +17,38 @@ def latlng_text(value: Column) -> tuple[Column, Column]:
     return part(1), part(2)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once and written once in the plan, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_truthy(*values: Column) -> Column:
     """The first VARIANT that is neither absent, null, empty, zero nor false."""
     full = lambda v: ~F.is_variant_null(v) & ~F.try_variant_get(v, "$", "string").isin("", "0", "0.0", "false", "[]", "{}")
-    return F.coalesce(*[F.when(full(v), v) for v in values])
+    return F.coalesce(*[let(value, lambda v: F.when(full(v), v)) for value in values])
+
+
+def _coordinate(v: Column, deeper: int) -> Column:
+    """Text of a coordinate: a string, E7 integers of an object, or what LatLng, latLng or latlng holds."""
+    at = lambda k, kind: F.try_variant_get(v, f"$.{k}", kind)
+    is_number = lambda k: F.regexp_like(F.schema_of_variant(at(k, "variant")), F.lit("^(BIGINT|DOUBLE|DECIMAL)"))
+    e7 = [F.when(is_number(k), at(k, "double") / 1e7).cast("decimal(12,7)").cast("string") for k in ("latitudeE7", "longitudeE7")]
+    shape = F.schema_of_variant(v)
+    own = F.when(shape == "STRING", F.try_variant_get(v, "$", "string")).when(shape.startswith("OBJECT"), F.concat(e7[0], F.lit(","), e7[1]))
+    if not deeper:
+        return own
+    return F.coalesce(own, let(first_truthy(*[at(k, "variant") for k in ("LatLng", "latLng", "latlng")]), lambda w: _coordinate(w, deeper - 1)))
 
 
 def add_latlng(df: DataFrame, value: Column) -> DataFrame:
     """Add lat and lon of a VARIANT: a string, E7 integers, or an object that holds one of these under LatLng, latLng or latlng.
 
-    Objects are followed two levels down. Each level is a stage of columns, so nothing is worked out twice.
+    Objects are followed two levels down. Every level binds its value by ``let``, so the plan grows with the
+    number of levels and not with its powers.
     """
-    at = lambda v, k, kind: F.try_variant_get(v, f"$.{k}", kind)
-    df = df.withColumn("_v0", value)
-    for i in range(3):
-        v = F.col(f"_v{i}")
-        df = df.withColumn(f"_k{i}", F.schema_of_variant(v))
-        e7 = [F.when(F.schema_of_variant(at(v, k, "variant")).isin("BIGINT", "DOUBLE") | F.schema_of_variant(at(v, k, "variant")).startswith("DECIMAL"), at(v, k, "double")) / 1e7 for k in ("latitudeE7", "longitudeE7")]
-        text = F.when(F.col(f"_k{i}") == "STRING", F.try_variant_get(v, "$", "string"))
-        number = F.concat_ws(",", *[x.cast("decimal(12,7)").cast("string") for x in e7])
-        own = F.when(F.col(f"_k{i}").startswith("OBJECT") & number.contains(","), number).otherwise(text)
-        df = df.withColumn(f"_t{i}", own)
-        if i < 2:
-            df = df.withColumn(f"_v{i + 1}", F.when(F.col(f"_t{i}").isNull(), first_truthy(*[at(v, k, "variant") for k in ("LatLng", "latLng", "latlng")])))
-    df = df.withColumn("_t", F.coalesce("_t0", "_t1", "_t2"))
-    lat, lon = latlng_text(F.col("_t"))
-    return df.withColumns({"lat": lat, "lon": lon}).drop("_t", *[f"_{x}{i}" for x in "vkt" for i in range(3)])
+    pair = lambda t: F.struct(*[x.alias(n) for n, x in zip(("lat", "lon"), latlng_text(t), strict=True)])
+    df = df.withColumn("_place", let(let(value, lambda v: _coordinate(v, 2)), pair))
+    return df.withColumns({"lat": F.col("_place.lat"), "lon": F.col("_place.lon")}).drop("_place")
 
 
 def to_utc(value: Column) -> Column:

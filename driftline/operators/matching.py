@@ -16,6 +16,8 @@ from .sessionize import summarise_sessions
 MAX_BRACKET_GAP_S = 60.0
 #: Sessions meet in buckets of so many seconds, so that overlap is found by an equi-join.
 OVERLAP_BUCKET_S = 86_400
+#: As-of windows hold so many seconds of a stream.
+ASOF_BUCKET_S = 86_400
 _POSITION = ("lat", "lon", "east", "north")
 
 
@@ -43,24 +45,47 @@ def find_overlapping_sessions(gpx_summary: DataFrame, glh_summary: DataFrame, bu
     return pairs.where(first & (F.col("overlap_s") > 0)).select("volunteer", "gpx_session_id", "glh_session_id", "overlap_start", "overlap_end", "overlap_s")
 
 
-def interpolate_asof(truth: DataFrame, targets: DataFrame, by: list[str], time_col: str = "timestamp") -> DataFrame:
+def _edges(truth: DataFrame, by: list[str]) -> DataFrame:
+    """For each bucket of time: the last truth point before it and the first one after it.
+
+    One row for each bucket between the first and the last truth point of a key, so a target in a bucket
+    without truth finds its neighbours by an equi-join too.
+    """
+    key = F.struct("_at", "_ord")
+    days = truth.groupBy(*by, "_bucket").agg(F.min_by("_truth", key).alias("_first"), F.max_by("_truth", key).alias("_last"))
+    w = Window.partitionBy(*by).orderBy("_bucket")
+    days = days.withColumns({"_next": F.lead("_bucket").over(w), "_after": F.lead("_first").over(w), "_prior": F.lag("_last").over(w)})
+    filled = days.withColumn("_b", F.explode(F.sequence("_bucket", F.coalesce(F.col("_next") - 1, "_bucket"))))
+    before = F.when(F.col("_b") == F.col("_bucket"), F.col("_prior")).otherwise(F.col("_last"))
+    return filled.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_b", before.alias("_before"), "_after")
+
+
+def interpolate_asof(truth: DataFrame, targets: DataFrame, by: list[str], time_col: str = "timestamp", bucket_s: int = ASOF_BUCKET_S) -> DataFrame:
     """Truth at the times of the targets: between the last point at or before and the first one after.
 
-    One window over the union of both streams, truth before target at equal times; the position is linear in
-    time. Adds gpx_lat, gpx_lon, gpx_east, gpx_north, bracket_dt_prev_s, bracket_dt_next_s, bracket_total_s
-    and in_bracket; all null (false) where a target is not between two truth points.
+    Both streams meet in windows over a key and a bucket of time, truth before target at equal times; what lies
+    before and after a bucket comes from a table of its edges, so a long stream of one key is many tasks. Both
+    windows run over preceding rows, which Spark carries along; the position is linear in time. Adds gpx_lat,
+    gpx_lon, gpx_east, gpx_north, bracket_dt_prev_s, bracket_dt_next_s, bracket_total_s and in_bracket; all
+    null (false) where a target is not between two truth points.
     """
     names = [c for c in targets.columns if c not in (*by, time_col)]
     point = F.struct(F.col(time_col).alias("t"), *[F.col(c) for c in _POSITION])
     ordinal = F.col("ord") if "ord" in truth.columns else F.lit(0).cast("long")
-    t = truth.select(*by, time_col, F.lit(0).alias("_kind"), ordinal.alias("_ord"), point.alias("_truth"))
-    q = targets.select(*by, time_col, F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_ord"), F.struct(*names).alias("_row"))
+    bucket = F.floor(F.unix_micros(time_col) / (bucket_s * 1_000_000)).cast("long").alias("_bucket")
+    t = truth.select(*by, F.col(time_col).alias("_at"), bucket, F.lit(0).alias("_kind"), ordinal.alias("_ord"), point.alias("_truth"))
+    q = targets.select(*by, F.col(time_col).alias("_at"), bucket, F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_ord"), F.struct(*names).alias("_row"))
     both = t.unionByName(q, allowMissingColumns=True)
-    window = Window.partitionBy(*by).orderBy(time_col, "_kind", "_ord")
+    keys = Window.partitionBy(*by, "_bucket")
+    rising, falling = keys.orderBy("_at", "_kind", "_ord"), keys.orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_ord"))
     both = both.withColumns({
-        "_left": F.last("_truth", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)),
-        "_right": F.first("_truth", ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing)),
+        "_left": F.last("_truth", ignorenulls=True).over(rising.rowsBetween(Window.unboundedPreceding, 0)),
+        "_right": F.last("_truth", ignorenulls=True).over(falling.rowsBetween(Window.unboundedPreceding, -1)),
     }).where("_kind = 1")
+    edges = _edges(t.where("_at is not null"), by)
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    both = both.join(edges, reduce(lambda x, y: x & y, same, F.col("_bucket") == F.col("_b")), "left")
+    both = both.withColumns({"_left": F.coalesce("_left", "_before"), "_right": F.coalesce("_right", "_after")}).withColumnRenamed("_at", time_col)
     left, right = F.col("_left"), F.col("_right")
     ok = left.isNotNull() & right.isNotNull()
     both = both.withColumns({"in_bracket": ok, "bracket_dt_prev_s": F.when(ok, seconds_between(F.col(time_col), left["t"])), "bracket_dt_next_s": F.when(ok, seconds_between(right["t"], F.col(time_col)))})

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from driftline.plans.oracle import ORACLE_SQL
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def plain(frame):
     frame = frame[sorted(frame.columns)].copy()
     for c in frame:
-        if frame[c].dtype == bool or not np.issubdtype(frame[c].dtype, np.number):
+        if pd.api.types.is_bool_dtype(frame[c]) or not pd.api.types.is_numeric_dtype(frame[c]):
             frame[c] = frame[c].astype(object).where(frame[c].notna(), None).map(str)
         else:
             frame[c] = frame[c].astype(float)
