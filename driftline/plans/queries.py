@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from driftline.functions import projection as P
 from driftline.functions import scalars as S
-from driftline.llm._arrow import cut
 from driftline.operators import cleaning, correct, features, hmm, matching, models, sessionize, spatial
 from driftline.sources import glh as glh_source
 from driftline.sources import networks as network_source
 from driftline.streaming import sessions as streaming
+from driftline.tables import cut
 
 from . import fixtures as fx
 
