@@ -1,10 +1,7 @@
-"""Small helpers for operators that work on Arrow batches, and for cutting lineage."""
+"""Small helpers for operators that work on Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,49 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from driftline.session import ship
+from driftline.tables import cut, new_path
 
-_own_dir: list[str] = []
+__all__ = ["append_columns", "cut", "map_batches", "new_path"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="driftline-"))
-    spark.sparkContext.setCheckpointDir(_own_dir[0])
-    return _own_dir[0]
+#: Bytes in one Arrow batch, beside a last row that may be longer.
+BATCH_BYTES = 4 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone; the folder belongs to the cluster's own clean-up
-        pass
+def bound_batches(spark: SparkSession) -> None:
+    """The same bound for every operator, so plans that run later find what they were made for."""
+    is_set = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BOUND))
+    if is_set > BATCH_BYTES:
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what a Python worker holds at once: Arrow batches of few rows, as texts may be long. Workers get this package."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` whose workers find this package, in batches of bounded bytes: texts may be long. A smaller bound of the session stays."""
+    ship(df.sparkSession)
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def append_columns(
@@ -80,4 +56,4 @@ def append_columns(
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept] + work(batch)
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

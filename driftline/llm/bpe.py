@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._arrow import append_columns, small_batches
+from ._arrow import append_columns
 
 #: Encodings of this many short pieces are memoised by each Python worker, twice over: a full memo is kept while the next one fills.
 MEMO_PIECES, MEMO_LENGTH = 150_000, 48
@@ -170,7 +170,6 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add the token ids of ``text`` as ``array<int>``; each match of ``pattern`` is encoded separately."""
-    small_batches(df.sparkSession)
 
     def make():
         bpe = encoder(path, pattern)

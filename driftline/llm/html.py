@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import append_columns, small_batches
+from ._arrow import append_columns
 
 # Element names: fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -317,7 +317,6 @@ def text_of(root: Node) -> str:
 
 def extract(df: DataFrame, html: str = "html", out: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add the main text of each page. A column named like ``out`` is replaced."""
-    small_batches(df.sparkSession, 256)
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:

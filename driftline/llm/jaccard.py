@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import cut, small_batches
+from ._arrow import cut, map_batches
 from ._blobs import bytes_hash, hash_bytes, pack, unpack
 from ._graph import components
 from ._hashing import Words, as_long, groups, mix, ngrams
@@ -124,7 +124,7 @@ def _frequent(reports: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarra
                 for a in range(0, len(tokens), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(as_long(tokens[a : a + 100_000].astype(np.uint64))), pa.array(n[a : a + 100_000].astype(np.int64))], names=["token", "n"])
 
-    counted = reports.select("payload").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = map_batches(reports.select("payload"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= max(32, documents // RARE_SHARE)).toPandas()
     rows["token"] = rows["token"].to_numpy(np.int64).view(np.uint64)
     rows = rows.sort_values(["n", "token"]).reset_index(drop=True).reset_index().sort_values("token")
@@ -379,8 +379,8 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percen
                         columns = [pa.array([p["probe"] for p in some], pa.int64()), pa.array([p["block"] for p in some], pa.int64()), pa.array([p["role"] for p in some], pa.int32()), pa.array([name] * len(some), pa.int64()), pa.array([packed] * len(some), pa.binary())]
                         yield pa.RecordBatch.from_arrays(columns, names=["probe", "block", "role", "node", "tokens"])
 
-    dealt = texts.mapInArrow(run, "probe long, block long, role int, node long, tokens binary").repartition(parts, "probe", "block").sortWithinPartitions("probe", "block", "role")
-    return dealt.mapInArrow(_compare(percent), "a long, b long")
+    dealt = map_batches(texts, run, "probe long, block long, role int, node long, tokens binary").repartition(parts, "probe", "block").sortWithinPartitions("probe", "block", "role")
+    return map_batches(dealt, _compare(percent), "a long, b long")
 
 
 def _large_groups(met: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def _large_groups(met: DataFrame) -> DataFrame:
                 nodes, n = unpack(payload)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), key, np.int64)), pa.array(nodes.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(n), size, np.int64))], names=["token", "node", "n", "size"])
 
-    return met.where("payload is not null").select("a", "shared", "payload").mapInArrow(spread, "token long, node long, n long, size long")
+    return map_batches(met.where("payload is not null").select("a", "shared", "payload"), spread, "token long, node long, n long, size long")
 
 
 def _across(large: DataFrame, held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -437,7 +437,7 @@ def _across(large: DataFrame, held: DataFrame, labels: DataFrame, percent: int)
     rows = cut(first.join(labels, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp")), "large-groups")
     split = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
     open_rows = rows.join(split, "token").select("token", "node", "n", "comp")
-    pairs = open_rows.repartition(parts, "token").mapInArrow(pair, "a long, b long").distinct()
+    pairs = map_batches(open_rows.repartition(parts, "token"), pair, "a long, b long").distinct()
     own = heavy.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"))
     of = lambda side: own.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}"), F.col("n").alias(f"n_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -451,15 +451,14 @@ def _extra_column(n: Column) -> Column:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node (its set; null for none) and component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
-    small_batches(spark, 64)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    passed = cut(docs.mapInArrow(_first_pass(k), "doc_id long, n long, node long, payload binary"), "sets-first-pass")
+    passed = cut(map_batches(docs, _first_pass(k), "doc_id long, n long, node long, payload binary"), "sets-first-pass")
     rows = passed.where("payload is null").select("doc_id", "n", "node")
     linkable = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
     frequent = spark.sparkContext.broadcast(_frequent(passed.where("payload is not null"), rows.count()))
-    sent = docs.mapInArrow(_send(frequent, k, percent, 2 * parts), "bucket int, payload binary")
-    met = cut(sent.repartition(parts, "bucket").mapInArrow(_meet(percent), CANDIDATES), "candidates")
+    sent = map_batches(docs, _send(frequent, k, percent, 2 * parts), "bucket int, payload binary")
+    met = cut(map_batches(sent.repartition(parts, "bucket"), _meet(percent), CANDIDATES), "candidates")
     pairs = met.where("payload is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("leader").alias("leader"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     # what both hold of large groups may be shared too: such pairs are not looked for again
     large = cut(_large_groups(met), "large-members")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import append_columns, small_batches
+from ._arrow import append_columns, map_batches
 
 ORDER = 3
 #: Documents of each language that are learnt from, about.
@@ -62,7 +62,6 @@ def _text_keys(texts: list[bytes]) -> np.ndarray:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> "Model":
     """Count context trees on about ``sample`` documents of each language. Rows without text or label are left out."""
     spark = labelled.sparkSession
-    small_batches(spark)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -85,7 +84,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
         for name, (keys, counts) in found.items():
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"lang": name, "gram": keys.astype(np.int64), "n": counts.astype(np.int64)}), preserve_index=False)
 
-    grams = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    grams = map_batches(drawn, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sizes)
     return Model(langs, {k: grams[grams["lang"] == k] for k in langs})
 
@@ -203,7 +202,6 @@ class Model:
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1) and ``bits_per_byte``; only ``text`` is looked at."""
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import append_columns, small_batches
+from ._arrow import append_columns
 
 KINDS = ("assign", "access", "hex", "lexed")
 MIN_SCORE = 0.6
@@ -91,7 +91,6 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 def scan(df: DataFrame, text: str = "text", out: str = "secrets", keep: list[str] | None = None) -> DataFrame:
     """Add all spans of ``text`` as an array of (kind, start, end), by start and then kind as listed."""
-    small_batches(df.sparkSession)
 
     def make():
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -107,7 +106,6 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets", keep: list[str
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace what the spans cover, overlapping ones as one, by ``mark``; null stays null."""
-    small_batches(df.sparkSession)
 
     def clean(t: str | None) -> str | None:
         spans = scan_text(t)

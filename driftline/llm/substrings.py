@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import append_columns, cut, small_batches
+from ._arrow import append_columns, cut, map_batches
 from ._blobs import bytes_hash, hash_bytes, pack, pack_ids, unpack, unpack_ids
 from ._hashing import Words, groups, mix, ngrams
 
@@ -66,7 +66,7 @@ def _send(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             yield from _chunk_rows(part, chunk, k, buckets)
             chunk += 1
 
-    return docs.mapInArrow(run, BLOB)
+    return map_batches(docs, run, BLOB)
 
 
 def _chunk_rows(part: list[tuple], chunk: int, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -183,14 +183,13 @@ def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, buckets: int | None = None) -> DataFrame:
     """doc_id and its repeated spans of words: pairs of int32, start and end, in order and apart from each other."""
-    small_batches(docs.sparkSession, 64)
     n = buckets or buckets_of(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = _send(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), k, n)
-    back = sent.repartition(parts, "bucket").mapInArrow(_repeats, "chunk long, payload binary")
-    spans = back.repartition(parts, "chunk").mapInArrow(_paths(k), "doc_id long, spans binary")
+    back = map_batches(sent.repartition(parts, "bucket"), _repeats, "chunk long, payload binary")
+    spans = map_batches(back.repartition(parts, "chunk"), _paths(k), "doc_id long, spans binary")
     # rows of one id may lie in several chunks; equal lists are one
-    return spans.groupBy("doc_id").agg(F.collect_set("spans").alias("parts")).mapInArrow(_one_each, "doc_id long, spans binary")
+    return map_batches(spans.groupBy("doc_id").agg(F.collect_set("spans").alias("parts")), _one_each, "doc_id long, spans binary")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str) -> DataFrame:

@@ -3,22 +3,25 @@
 A byte is removed when a string of ``LENGTH`` bytes that covers it also starts anywhere else.
 
 1. Anchors. In every window of LENGTH bytes the smallest hash of its ``GRAM``-byte substrings marks an anchor,
-   so equal windows hold equal anchors at equal places. Anchors are about 0.6 % of the bytes. Each carries
-   hashes of the bytes that windows around it can reach, to its left and right (its context).
-2. Anchors meet in buckets by hash. Where whole contexts are equal, all their windows repeat: no text is
-   needed. Where only the anchor is shared, one text of each different context is fetched.
-3. Suffix arrays. The contexts of a bucket are joined to blocks and sorted by two-stage suffix sorting: only
+   so equal windows hold equal anchors at equal places. About 0.6 % of the bytes are anchors. A window reaches
+   ``LENGTH - GRAM`` bytes beyond its anchor, so at least half of that on one side: each anchor has two *pieces*,
+   one whose windows all hold the next bytes on the right, one whose windows all hold those on the left. A piece's
+   key is a hash of what its windows hold in common, so only pieces of one key can share a window.
+2. Keys meet in buckets. Each chunk of input sends an entry once, however often it holds it; where it holds it several
+   times, the places travel beside, never to one bucket. Keys held once are done with.
+3. The text of one piece of each class of equal pieces is fetched, by a shuffle of texts and places by id.
+4. Suffix arrays. The pieces of whole keys are joined to blocks and sorted by two-stage suffix sorting: only
    suffixes smaller than their successors are sorted directly; one scan over the buckets of first bytes, in
-   rising order, induces all others. Adjacent common prefixes of LENGTH bytes or more, between different
-   source coordinates, are repeats.
-4. Frequent anchors (of a passage that very many texts hold) would make a bucket large. Chunks report the
-   anchors they hold several times; for those found frequent, the windows around them are counted one by one
-   by hash, combined in each chunk, so no key is hot.
-5. The repeats of a document become maximal spans, which are cut out of its text.
+   rising order, induces the others. Neighbours whose first LENGTH bytes agree, byte by byte, at two places or in a
+   class of several, are repeats. Everything that is removed comes from here.
+5. A key with more than ``GROUP_PIECES`` different pieces is cut: a piece into parts of fewer windows, which hold more
+   in common and so have finer keys, and which coincide more often. At one window each part is its key, so
+   blocks stay bounded whatever one key holds.
+6. Repeats go back from classes to all their places and become maximal spans of documents, which are cut out.
 
-Scale: anchors cost about 40 bytes each in one shuffle; texts are read again for the contexts that are
-needed (broadcast ids up to ``BROADCAST_IDS``, else a shuffle). Windows and contexts are told apart by 64-bit
-hashes of each part.
+Scale: an entry costs about 25 bytes in one shuffle; texts of documents with shared keys are shuffled once, pieces of
+different content once. Nothing is broadcast but spans (checked, else a shuffle). Copies of a piece are told
+apart from other pieces by 128 bits of hashes (key and content), and the fetched bytes must have those hashes.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH keep all; equal texts of LENGTH
 bytes lose all, in every copy, and so do repeated rows; a row without id takes no part and keeps all; where
@@ -31,24 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._arrow import append_columns, cut, small_batches
+from ._arrow import append_columns, cut, map_batches
 from ._blobs import pack, pack_ids, unpack, unpack_ids
-from ._hashing import as_long, groups, mix, powers, prefix_sums
+from ._hashing import groups, mix, powers, prefix_sums
+from ._spans import buckets_for, merged_spans, with_spans
 
 LENGTH, GRAM = 400, 64
 CHUNK_BYTES = 24 << 20
-#: Anchors in more contexts than this share of the documents (and than FREQUENT_LEAST) are counted by windows.
-FREQUENT_SHARE, FREQUENT_LEAST = 2000, 64
-#: Text in one suffix array.
+#: Text in one suffix array; keys are not cut by it.
 BLOCK_BYTES = 1 << 20
-BROADCAST_IDS = 500_000
-BROADCAST_BYTES = 32 << 20
+#: Different pieces of one key that are sorted together.
+GROUP_PIECES = 4096
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SALT = np.uint64(0x510E527FADE682D1)
+_MANY = np.uint64(0x9B05688C2B3E6C1F)
 
 
 def _slide(values: np.ndarray, w: int, smallest: bool) -> np.ndarray:
@@ -90,33 +94,68 @@ class Anchors:
         self.text = np.searchsorted(starts, self.at, side="right") - 1
         while len(self.at) and (empty := self.at >= ends[self.text]).any():  # empty texts share a start
             self.text[empty] -= 1
-        reach = length - gram
-        self.low = np.maximum(starts[self.text], self.at - reach)
-        self.high = np.minimum(ends[self.text], self.at + length)
-        self.left, self.right = self.of(self.low, self.at), self.of(self.at + gram, self.high)
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Both kinds of pieces: bytes that all windows hold to the left of the anchor; number of the anchor, key, content hash, bounds in the data."""
+        reach = self.length - self.gram
+        slack = (reach + 1) // 2
+        start, end = self.starts[self.text], self.ends[self.text]
+        for left in (0, reach - slack):  # bytes that all windows hold beside the anchor
+            right = reach - slack - left
+            low, high = np.maximum(start, self.at - left - slack), np.minimum(end, self.at + self.gram + right + slack)
+            fit = np.flatnonzero((self.at - left >= start) & (self.at + self.gram + right <= end) & (high - low >= self.length))
+            at, low, high = self.at[fit], low[fit], high[fit]
+            key = mix(mix(self.hash[fit] + self.of(at - left, at)) + self.of(at + self.gram, at + self.gram + right) + np.uint64(left))
+            yield left, fit, key, piece_hash(self.of(low, at), self.of(at, high)), low, high
+
+    @staticmethod
+    def ranges(data: np.ndarray):
+        """A function of bounds: hashes of byte ranges, sizes included."""
+        sums, inverse = prefix_sums(data), powers(len(data) + 1)[1]
+
+        def of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            return mix((sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64) * _SALT)
+
+        return of
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges, sizes included."""
         return mix((self.sums[high] - self.sums[low]) * self.inverse[low] + (high - low).astype(np.uint64) * _SALT)
 
 
-def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix array of bytes, in order of the first ``depth`` bytes at least. A last byte counts as larger than its successor."""
+def piece_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Content hash of pieces from those of their bytes before the anchor and from it on."""
+    return mix(left * _MANY + right)
+
+
+def two_stage(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffix array of bytes, in order of the first ``depth`` bytes at least. A last byte counts as larger than its successor.
+
+    ``wanted`` marks the suffixes to sort (default: all); those between a wanted one and the next smaller than its
+    successor are sorted too, as it is induced from them.
+    """
     n = len(text)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
     # smaller than its successor: the next different byte is larger
     change = np.flatnonzero(text[1:] != text[:-1])
-    smaller = np.zeros(n, dtype=bool)
     run_end = np.concatenate([change, [n - 1]])
     rises = np.concatenate([text[change + 1] > text[change], [False]])
-    smaller[:] = np.repeat(rises, np.diff(np.concatenate([[-1], run_end])))
-    first = np.bincount(text, minlength=256)
+    smaller = np.repeat(rises, np.diff(np.concatenate([[-1], run_end])))
+    if wanted is None:
+        needed = np.ones(n, dtype=bool)
+    else:  # a larger one needs its successor, and so on up to one that is sorted directly
+        last = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))  # the nearest wanted one at or before
+        stop = np.maximum.accumulate(np.where(smaller, np.arange(n), -1))  # the nearest direct one at or before
+        before = np.concatenate([[-1], stop[:-1]])
+        needed = wanted | ((last >= 0) & (last > before))
+    small = smaller & needed
+    first = np.bincount(text[needed], minlength=256)
     heads = np.cumsum(first) - first  # of the buckets
-    small_count = np.bincount(text[smaller], minlength=256)
-    out = np.full(n, -1, dtype=np.int64)
+    small_count = np.bincount(text[small], minlength=256)
+    out = np.full(int(first.sum()), -1, dtype=np.int64)
     # larger ones come before smaller ones in a bucket: larger(c..) has a smaller byte after its run
-    direct = _sort_directly(text, np.flatnonzero(smaller), depth)
+    direct = _sort_directly(text, np.flatnonzero(small), depth)
     start = 0
     tails = heads + first
     for c in range(256):
@@ -124,10 +163,11 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
         start += small_count[c]
     # induce: scanning buckets upwards, the predecessor of a suffix, if larger than it, is next in its own bucket
     fill = heads.copy()
+    induced = needed & ~smaller
 
     def place(of: np.ndarray) -> None:
         before = of[of > 0] - 1
-        before = before[~smaller[before]]
+        before = before[induced[before]]
         if not len(before):
             return
         c = text[before]
@@ -164,103 +204,149 @@ def _sort_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sort_different(text: np.ndarray, padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """By 8 bytes at a time, within groups still equal."""
-    words = np.zeros(len(text) + depth + 8, dtype=np.uint64)
+    """Sort different suffixes by 8 bytes, then each group still equal around its first member.
+
+    Where a member parts from that one is found by bisection over rolling sums; on either side members stand by
+    how long they agree with it and by the next 8 bytes, so long common passages cost no more rounds than short ones.
+    """
+    sums, inverse = prefix_sums(padded), powers(len(padded) + 1)[1]
+    words = np.zeros(len(padded) - 8, dtype=np.uint64)
     for i in range(8):
         words = (words << np.uint64(8)) | padded[i : i + len(words)].astype(np.uint64)
     order = at[np.argsort(words[at], kind="stable")]
-    group = np.concatenate([[0], np.cumsum(words[order[1:]] != words[order[:-1]])])
-    for shift in range(8, depth, 8):
-        count = np.bincount(group)
-        open_ = np.flatnonzero(count[group] > 1)
-        if not len(open_):
-            break
-        key = words[order[open_] + shift]
-        inner = np.lexsort((key, group[open_]))
-        order[open_] = order[open_][inner]
-        key = key[inner]
-        new = np.zeros(len(order), dtype=np.int64)
-        g = group[open_]
-        new[open_[1:]] = (g[1:] == g[:-1]) & (key[1:] != key[:-1])
-        head = np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)])
-        group = np.cumsum(head + new)
-    return order
+    w = words[order]
+    group = np.concatenate([[0], np.cumsum(w[1:] != w[:-1])])
+    known = np.full(len(order), 8, dtype=np.int64)
+    place = np.arange(len(order))  # of what is still open in the final order
+    out = order.copy()
+    while True:
+        alone = np.bincount(group)[group] == 1
+        out[place[alone]] = order[alone]
+        order, group, known, place = order[~alone], group[~alone], known[~alone], place[~alone]
+        if not len(order):
+            return out
+        head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        first = np.repeat(order[head], np.diff(head, append=len(order)))
+        agree = known.copy()
+        long = np.flatnonzero((words[order + known] == words[first + known]) & (order != first))
+        if len(long):
+            e, f, low, high = order[long], first[long], known[long], np.full(len(long), depth, dtype=np.int64)
+            se, sf, ie, jf = sums[e], sums[f], inverse[e], inverse[f]
+            while True:  # low bytes agree, high bytes do not
+                mid = (low + high + 1) >> 1
+                same = (sums[e + mid] - se) * ie == (sums[f + mid] - sf) * jf
+                low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+                if (low >= high).all():
+                    break
+            agree[long] = low
+        w, other = words[order + agree], words[first + agree]
+        side = np.where(order == first, depth + 1, np.where(w < other, agree, 2 * depth + 2 - agree))
+        by = np.lexsort((w, side, group))
+        order, w, side, agree, old = order[by], w[by], side[by], agree[by], group[by]
+        fresh = (old[1:] != old[:-1]) | (side[1:] != side[:-1]) | (w[1:] != w[:-1])
+        group = np.concatenate([[0], np.cumsum(fresh)])
+        known = np.minimum(agree + 8, depth)
 
 
 def common_prefixes(text: np.ndarray, array: np.ndarray, length: int) -> np.ndarray:
-    """For neighbours in the suffix array: whether their first ``length`` bytes agree, by rolling sums, then byte by byte."""
-    n = len(text)
-    sums, inverse = prefix_sums(text), powers(n + 1)[1]
-    fit = np.minimum(array[1:], array[:-1]) >= 0
-    fit &= np.maximum(array[1:], array[:-1]) + length <= n
+    """For neighbours in the suffix array: whether their first ``length`` bytes agree, by their bytes.
+
+    Neighbours at one distance in the text that follow each other share most of their bytes: the bytes of all
+    such pairs are compared once, and a pair agrees if no difference lies in its stretch.
+    """
     same = np.zeros(len(array) - 1, dtype=bool)
-    i = np.flatnonzero(fit)
+    i = np.flatnonzero(np.maximum(array[1:], array[:-1]) + length <= len(text))
+    if not len(i):
+        return same
+    sums, inverse = prefix_sums(text), powers(len(text) + 1)[1]
     a, b = array[i], array[i + 1]
-    equal = (sums[a + length] - sums[a]) * inverse[a] == (sums[b + length] - sums[b]) * inverse[b]
-    i, a, b = i[equal], a[equal], b[equal]
-    for part in range(0, len(i), 4096):
-        p = slice(part, part + 4096)
-        span = np.arange(length)
-        same[i[p]] = (text[a[p, None] + span] == text[b[p, None] + span]).all(axis=1)
+    likely = (sums[a + length] - sums[a]) * inverse[a] == (sums[b + length] - sums[b]) * inverse[b]
+    i = i[likely]
+    a, b = np.minimum(array[i], array[i + 1]), np.maximum(array[i], array[i + 1])
+    if not len(i):
+        return same
+    far = b - a
+    order = np.lexsort((a, far))
+    a, far = a[order], far[order]
+    apart = np.concatenate([[True], (far[1:] != far[:-1]) | (a[1:] > a[:-1] + length)])
+    first = np.flatnonzero(apart)
+    last = np.append(first[1:], len(a)) - 1
+    size = a[last] + length - a[first]
+    begin = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(a[first] - begin, size)
+    wrong = np.concatenate([[0], np.cumsum(text[at] != text[at + np.repeat(far[first], size)])])
+    run = np.cumsum(apart) - 1
+    start = begin[run] + a - a[first[run]]
+    same[i[order]] = wrong[start + length] == wrong[start]
     return same
 
 
-def repeated_starts(pieces: list[bytes], docs: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece number and place in it of each ``length``-byte string that starts at two source coordinates (doc, offset) or more."""
+def repeated_starts(pieces: list[bytes], docs: np.ndarray, offsets: np.ndarray, several: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece number and place in it of each ``length``-byte string that starts at two source coordinates (doc, offset) or in a piece of several copies."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     ends = np.cumsum(sizes)
+    starts = ends - sizes
     text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    array = two_stage(text, length)
-    piece = np.searchsorted(ends, array, side="right")
-    inside = array + length <= ends[piece]
-    array, piece = array[inside], piece[inside]
-    if len(array) < 2:
+    wanted = np.zeros(len(text) + 1, dtype=np.int32)  # starts of windows
+    long = sizes >= length
+    np.add.at(wanted, starts[long], 1)
+    np.add.at(wanted, ends[long] - length + 1, -1)
+    wanted = np.cumsum(wanted[:-1]) > 0
+    array = two_stage(text, length, wanted)
+    array = array[wanted[array]]
+    if not len(array):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    same = common_prefixes(text, array, length)
-    group = np.concatenate([[0], np.cumsum(~same)])
-    place = array - (ends - sizes)[piece]
+    piece = np.searchsorted(ends, array, side="right")
+    group = np.concatenate([[0], np.cumsum(~common_prefixes(text, array, length))])
+    place = array - starts[piece]
     doc, offset = docs[piece], offsets[piece] + place
     order = np.lexsort((offset, doc, group))
     g, d, o = group[order], doc[order], offset[order]
     fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (o[1:] != o[:-1])])
-    several = np.bincount(g, weights=fresh, minlength=int(g.max()) + 1)[group] > 1
-    return piece[several], place[several]
+    count = np.bincount(g, weights=fresh, minlength=int(g.max()) + 1) + np.bincount(group, weights=several[piece])
+    hit = count[group] > 1
+    return piece[hit], place[hit]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     return ((i, t or b"") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()) if i is not None)
 
 
-def _binary_batches(names: list[str], kinds: list[pa.DataType], rows: list[tuple], step: int = 16) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(rows), step):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + step]), kinds)], names=names)
+SENT = "bucket long, key long, content long, payload binary"
 
 
 def _send(buckets: int, length: int, gram: int):
-    """A chunk's anchors, packed for each bucket; with bucket -1 those hashes that it holds in several contexts."""
-    names, kinds = ["bucket", "payload"], [pa.int32(), pa.binary()]
+    """A chunk's entries, packed for each bucket, and the places (payload: ids, offsets) of entries that it holds several times (bucket -1)."""
+    names, kinds = ["bucket", "key", "content", "payload"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def flush(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, low, at, high, h, left, right = (np.concatenate(x) for x in zip(*found))
+        key, content, doc, low, at, size, left = (np.concatenate(x) for x in zip(*found))
+        bucket = (mix(key ^ _SALT) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((content, key, bucket))
+        key, content, doc, low, at, size, left, bucket = (x[order] for x in (key, content, doc, low, at, size, left, bucket))
+        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
+        n = np.diff(heads, append=len(key))
         rows: list[tuple] = []
-        once = np.unique(np.stack([h, left, right], axis=1), axis=0)[:, 0]
-        own, n = np.unique(once, return_counts=True)
-        rows.append((-1, pack(own[n > 2], n[n > 2])))
-        bucket = (mix(h ^ _SALT) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for h in np.flatnonzero(n > 1):
+            a, b = heads[h], heads[h] + n[h]
+            rows.append((-1, int(key[a].view(np.int64)), int(content[a].view(np.int64)), pack(pack_ids(doc[a:b]), low[a:b])))
+        bounds = np.searchsorted(bucket[heads], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(bounds)):
-            o = order[bounds[b] : bounds[b + 1]]
-            rows.append((int(b), pack(pack_ids(doc[o]), at[o], at[o] - low[o], high[o] - at[o], h[o], left[o], right[o])))
-        yield from _binary_batches(names, kinds, rows)
+            o = slice(bounds[b], bounds[b + 1])
+            own = heads[o]
+            rows.append((int(b), None, None, pack(key[own], content[own], np.minimum(n[o], 2), pack_ids(doc[own]), low[own], at[own], size[own], left[own])))
+        for a in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 256]), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for group in groups(_rows(batches)):
             a = Anchors([t for _, t in group], length, gram)
-            if len(a.at):
-                ids, begin = np.array([i for i, _ in group], dtype=np.int64)[a.text], a.starts[a.text]
-                found.append((ids, a.low - begin, a.at - begin, a.high - begin, a.hash, a.left, a.right))
+            ids = np.array([i for i, _ in group], dtype=np.int64)
+            for left, anchor, key, content, low, high in a.pieces():
+                if len(anchor):
+                    text = a.text[anchor]
+                    found.append((key, content, ids[text], low - a.starts[text], a.at[anchor] - low, high - low, np.full(len(anchor), left)))
             size += len(a.data)
             if size > CHUNK_BYTES and found:
                 yield from flush(found)
@@ -271,253 +357,194 @@ def _send(buckets: int, length: int, gram: int):
     return run
 
 
-def _frequent(sent: DataFrame, documents: int) -> np.ndarray:
-    """Anchors in so many contexts that their windows are counted one by one. Bounded by the anchors of a mean document times FREQUENT_SHARE."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for payload in b.column(0).to_pylist():
-                h, n = unpack(payload)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h.astype(np.uint64))), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    rows = sent.where("bucket = -1").select("payload").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    found = rows.where(F.col("n") >= max(FREQUENT_LEAST, documents // FREQUENT_SHARE)).select("h").toPandas()["h"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
-
-
-def _is_in(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(h), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-
-
-FOUND = "doc_id long, low long, high long, at long, payload binary"
-
-
-def _meet(frequent, length: int, gram: int):
-    """In a bucket: spans of equal contexts (doc_id, low, high), and the contexts to fetch (doc_id, low, high, at; payload: anchor hash).
-
-    A fetched context stands for its class; of a class of several, whose windows are spans already, one is enough.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            for payload in b.column(1).to_pylist():
-                ids, *rest = unpack(payload)
-                parts.append((unpack_ids(ids), *(x.astype(np.int64) for x in rest[:3]), *(x.astype(np.uint64) for x in rest[3:])))
-        if not parts:
-            return
-        doc, at, before, after, h, left, right = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        usual = ~_is_in(h, frequent.value)
-        doc, at, before, after, h, left, right = (x[usual] for x in (doc, at, before, after, h, left, right))
-        if not len(h):
-            return
-        order = np.lexsort((at, doc, right, left, h))
-        doc, at, before, after, h, left, right = (x[order] for x in (doc, at, before, after, h, left, right))
-        apart = np.concatenate([[True], (h[1:] != h[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
-        twin = np.concatenate([[False], ~apart[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])])  # a repeated row
-        cls = np.cumsum(apart) - 1
-        heads = np.flatnonzero(apart)
-        size = np.bincount(cls)
-        fresh = np.concatenate([[True], h[1:] != h[:-1]])
-        group = np.cumsum(fresh) - 1
-        low, high = at - before, at + after
-        wide = high - low >= length
-        several = (size[cls] > 1) & wide
-        spans = np.flatnonzero(several & ~twin)
-        classes = np.bincount(group[heads])
-        fetch = heads[(classes[group[heads]] > 1)]
-        fetch = fetch[wide[fetch]]
-        for i in range(0, len(spans), 20_000):
-            s = spans[i : i + 20_000]
-            nulls = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(low[s]), pa.array(high[s]), pa.nulls(nulls, pa.int64()), pa.nulls(nulls, pa.binary())], names=["doc_id", "low", "high", "at", "payload"])
-        names = np.array([x.tobytes() for x in h[fetch]], dtype=object)
-        for i in range(0, len(fetch), 20_000):
-            s = fetch[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(low[s]), pa.array(high[s]), pa.array(at[s]), pa.array(names[i : i + 20_000], pa.binary())], names=["doc_id", "low", "high", "at", "payload"])
-
-    return run
-
-
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts: anchor hash, doc_id, low, text."""
-    places = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "payload")).alias("places")).withColumnRenamed("doc_id", "_id"), "places")
-    rows, size = places.select(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    small = rows <= BROADCAST_IDS and size * 40 <= BROADCAST_BYTES
-    texts = docs.join(F.broadcast(places) if small else places, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "places")
+MET = "role int, key long, content long, several boolean, doc_id long, low long, at int, size int, left int, payload binary"
+CLASS, PLACE, PLACES = 0, 1, 2
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In a bucket, of keys held twice or more: a row for each class of equal pieces, and one for each single place. Places pass through."""
+    names = [c.split()[0] for c in MET.split(", ")]
+    parts = []
+    for b in batches:
+        some = b.filter(pc.less(b.column(0), 0))
+        if some.num_rows:
+            n = some.num_rows
+            empty = [pa.nulls(n, t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, PLACES, np.int32)), some.column(1), some.column(2), *empty, some.column(3)], names=names)
+        for payload in b.filter(pc.greater_equal(b.column(0), 0)).column(3).to_pylist():
+            key, content, n, doc, *rest = unpack(payload)
+            parts.append((key.astype(np.uint64), content.astype(np.uint64), n.astype(np.int64), unpack_ids(doc), *(x.astype(np.int64) for x in rest)))
+    if not parts:
+        return
+    key, content, n, doc, low, at, size, left = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order = np.argsort(key)
+    k = key[order]
+    group = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
+    live = order[np.bincount(group, weights=n[order])[group] > 1]
+    live = live[np.lexsort((content[live], key[live]))]
+    key, content, n, doc, low, at, size, left = (x[live] for x in (key, content, n, doc, low, at, size, left))
+    if not len(key):
+        return
+    head = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
+    total = np.bincount(np.cumsum(head) - 1, weights=n)
+    classes, single = np.flatnonzero(head), np.flatnonzero(n == 1)
+    for role, some in ((CLASS, classes), (PLACE, single)):
+        for i in range(0, len(some), 20_000):
+            x = some[i : i + 20_000]
+            several = pa.array(total[i : i + 20_000] > 1) if role == CLASS else pa.nulls(len(x), pa.bool_())
+            columns = [pa.array(np.full(len(x), role, np.int32)), pa.array(key[x].view(np.int64)), pa.array(content[x].view(np.int64)), several]
+            columns += [pa.array(doc[x]), pa.array(low[x]), *(pa.array(y[x].astype(np.int32)) for y in (at, size, left)), pa.nulls(len(x), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+PIECES = "key long, content long, several boolean, doc_id long, low long, at int, left int, piece binary"
+
+
+def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The bytes of a piece of each class. Texts and places meet by id; a piece must have its class's hash, as texts may differ under one id."""
+    place = F.struct("key", "content", "several", "low", "at", "size", "left")
+    places = classes.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(place).alias("places"))
+    texts = docs.where("text is not null").join(places.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "places")
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def checked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint8)
+        sizes = np.array([len(r[7]) for r in rows], dtype=np.int64)
+        end = np.cumsum(sizes)
+        at = end - sizes + np.minimum(np.array([r[5] for r in rows], dtype=np.int64), sizes)
+        of = Anchors.ranges(data)
+        same = piece_hash(of(end - sizes, at), of(at, end)).view(np.int64) == np.array([r[1] for r in rows], dtype=np.int64)
+        kept = [r for r, ok in zip(rows, same.tolist()) if ok]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for b in batches:
-            rows = []
             for doc, text, own in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                rows += [(int.from_bytes(p["payload"], "little", signed=True), doc, p["low"], text[p["low"] : p["high"]]) for p in own]
-            yield from _binary_batches(["h", "doc_id", "low", "piece"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], rows, 4000)
+                rows += [(p["key"], p["content"], p["several"], doc, p["low"], p["at"], p["left"], text[p["low"] : p["low"] + p["size"]]) for p in own]
+                if len(rows) > 4000:
+                    yield from checked(rows)
+                    rows = []
+        if rows:
+            yield from checked(rows)
 
-    return texts.mapInArrow(run, "h long, doc_id long, low long, piece binary")
+    return map_batches(texts, run, PIECES)
 
 
 def _sorted_blocks(length: int):
-    """Rows sorted by anchor: blocks of whole anchors, a suffix array each; the repeats as spans of their documents."""
+    """Rows sorted by key and content: blocks of whole keys, a suffix array each; repeats as spans of places in their classes."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pieces = [r[3] for r in rows]
-        docs, lows = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
-        piece, place = repeated_starts(pieces, docs, lows, length)
+        docs, lows = np.array([r[3] for r in rows], dtype=np.int64), np.array([r[4] for r in rows], dtype=np.int64)
+        piece, place = repeated_starts([r[7] for r in rows], docs, lows, np.array([r[2] for r in rows], dtype=bool), length)
         if not len(piece):
             return
-        doc, start = docs[piece], lows[piece] + place
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        head = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)])
-        first = np.flatnonzero(head)
-        last = np.concatenate([first[1:], [len(doc)]]) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first]), pa.array(start[last] + length)], names=["doc_id", "low", "high"])
+        order = np.lexsort((place, piece))
+        piece, place = piece[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (place[1:] > place[:-1] + length)]))
+        last = np.append(first[1:], len(piece)) - 1
+        owner = piece[first]
+        columns = [pa.array([rows[i][c] for i in owner.tolist()], pa.int64()) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(place[first].astype(np.int32)), pa.array((place[last] + length).astype(np.int32))], names=["key", "content", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, anchor = 0, None
+        size, seen = 0, (None, None)
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if row[0] != anchor and held and size > BLOCK_BYTES:
+            for row in zip(*(b.column(i).to_pylist() for i in range(8))):
+                if row[:2] == seen:
+                    continue
+                if row[0] != seen[0] and size > BLOCK_BYTES:
                     yield from solve(held)
                     held, size = [], 0
-                anchor = row[0]
+                seen = row[:2]
                 held.append(row)
-                size += len(row[3])
+                size += len(row[7])
         if held:
             yield from solve(held)
 
     return run
 
 
-def _windows(frequent, buckets: int, length: int, gram: int):
-    """Around frequent anchors: hashes of a chunk's windows, each once with its count, and where they are, for each bucket."""
-
-    def flush(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, doc, start = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((start, doc, h))
-        h, doc, start = h[order], doc[order], start[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
-        h, doc, start = h[fresh], doc[fresh], start[fresh]
-        heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        count = np.diff(heads, append=len(h))
-        # repeats within the chunk are known here; only what is single may need others
-        rows = []
-        bucket = (mix(h[heads] ^ _SALT) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(bounds)):
-            o = by[bounds[b] : bounds[b + 1]]
-            one = heads[o]
-            rows.append((int(b), pack(h[one], np.minimum(count[o], 2), pack_ids(doc[one]), start[one])))
-        yield from _binary_batches(["bucket", "payload"], [pa.int32(), pa.binary()], rows)
-        twice = np.repeat(count > 1, count)
-        yield from _span_rows(doc[twice], start[twice], length)
-
-    def _span_rows(doc: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-        rows = [(-1, pack(pack_ids(d), s)) for d, s in _merged(doc, start, length)]
-        yield from _binary_batches(["bucket", "payload"], [pa.int32(), pa.binary()], rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-        found, size = [], 0
-        for group in groups(_rows(batches)):
-            a = Anchors([t for _, t in group], length, gram)
-            hit = np.flatnonzero(_is_in(a.hash, known))
-            if len(hit):
-                first = a.low[hit]
-                last = np.minimum(a.at[hit], a.high[hit] - length)
-                count = np.maximum(last - first + 1, 0)
-                start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                text = np.repeat(a.text[hit], count)
-                ids = np.array([i for i, _ in group], dtype=np.int64)
-                found.append((a.of(start, start + length), ids[text], start - a.starts[text]))
-                size += len(start) * 24
-            if size > CHUNK_BYTES and found:
-                yield from flush(found)
-                found, size = [], 0
-        if found:
-            yield from flush(found)
-
-    return run
-
-
-def _merged(doc: np.ndarray, start: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spans of windows, as ids and low, high pairs one after another; in pieces."""
-    if not len(doc):
-        return
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length)]))
-    last = np.concatenate([first[1:], [len(doc)]]) - 1
-    spans = np.stack([start[first], start[last] + length], axis=1)
-    for a in range(0, len(first), 50_000):
-        yield doc[first[a : a + 50_000]], spans[a : a + 50_000].reshape(-1)
-
-
-def _count_windows(length: int):
-    """In a bucket: windows seen in two places or more, as spans; spans found before pass through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, spans = [], []
-        for b in batches:
-            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if bucket < 0:
-                    ids, pairs = unpack(payload)
-                    spans.append((unpack_ids(ids), pairs.astype(np.int64).reshape(-1, 2)))
-                else:
-                    h, n, ids, start = unpack(payload)
-                    parts.append((h.astype(np.uint64), n.astype(np.int64), unpack_ids(ids), start.astype(np.int64)))
-        if parts:
-            h, n, doc, start = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((start, doc, h))
-            h, n, doc, start = h[order], n[order], doc[order], start[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            place = np.concatenate([[True], new[1:] | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])])
-            group = np.cumsum(new) - 1
-            total = np.bincount(group, weights=np.where(place, n, 0))
-            hit = (total[group] > 1) & (n == 1)
-            spans += [(d, s.reshape(-1, 2)) for d, s in _merged(doc[hit], start[hit], length)]
-        for doc, pairs in spans:
-            for a in range(0, len(doc), 20_000):
-                p = pairs[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + 20_000]), pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["doc_id", "low", "high"])
-
-    return run
+def _parts(pieces: DataFrame, slack: int, step: int, length: int, gram: int) -> DataFrame:
+    """Pieces cut into parts of up to ``step`` windows each, by how far these reach to the left of the anchor. _key and _content are the part's."""
+    reach = length - gram
+    most = F.least(F.col("_least") + (step - 1), F.col("left") + slack)  # bytes to the left of the anchor
+    each = pieces.withColumn("_least", F.explode(F.sequence(F.col("left"), F.col("left") + slack, F.lit(step)))).withColumn("_most", most)
+    size = F.octet_length("piece")
+    each = each.withColumns({"_from": F.greatest(F.col("at") - F.col("_most"), F.lit(0)), "_to": F.least(F.col("at") + length - F.col("_least"), size)})
+    fit = (F.col("at") >= F.col("_least")) & (F.col("at") + length - F.col("_most") <= size) & (F.col("_to") - F.col("_from") >= length)
+    part = F.col("piece").substr(F.col("_from") + 1, F.col("_to") - F.col("_from"))
+    shared = F.col("piece").substr(F.col("at") - F.col("_least") + 1, F.col("_least") + gram + reach - F.col("_most"))
+    return each.where(fit).select(
+        F.xxhash64("key", "_least", shared).alias("_key"), F.xxhash64(F.lit(1), part).alias("_content"), "key", "content", "several", "doc_id",
+        (F.col("low") + F.col("_from")).alias("low"), (F.col("at") - F.col("_from")).alias("at"), F.col("_least").alias("left"), F.col("_from"), part.alias("part"),
+    )
+
+
+def _repeats(pieces: DataFrame, slack: int, length: int, gram: int) -> DataFrame:
+    """key, content, start, end: repeated stretches of the pieces' classes. Pieces hold up to ``slack`` + 1 windows; keys of very many pieces are cut first."""
+    large = None
+    if slack:
+        sizes = pieces.groupBy("key").agg(F.count("*").alias("_n"))
+        large = cut(sizes.where(F.col("_n") > GROUP_PIECES).select(F.col("key").alias("_large")), "large-keys")
+    usual, found = pieces, None
+    if large is not None and not large.isEmpty():
+        usual = pieces.join(large, F.col("key") == F.col("_large"), "left_anti")
+        step = max(1, (slack + 1) // 4)
+        some = pieces.join(large, F.col("key") == F.col("_large"), "left_semi").dropDuplicates(["key", "content"])
+        parts = cut(_parts(some, slack, step, length, gram), "parts")
+        # a part that stands at several places, or comes from a class of several, is one of several
+        place = F.struct("doc_id", "low", "at", "left", "part")
+        where = F.struct("doc_id", "low")
+        finer = parts.groupBy("_key", "_content").agg((F.max("several") | (F.min(where) != F.max(where))).alias("several"), F.min_by(place, where).alias("p"))
+        finer = cut(finer.select(F.col("_key").alias("key"), F.col("_content").alias("content"), "several", "p.doc_id", "p.low", "p.at", "p.left", F.col("p.part").alias("piece")), "finer-pieces")
+        spans = _repeats(finer, step - 1, length, gram).withColumnsRenamed({"key": "_k", "content": "_c"})
+        own = parts.select("key", "content", "_from", "_key", "_content")
+        back = own.join(spans, (F.col("_key") == F.col("_k")) & (F.col("_content") == F.col("_c")))
+        found = back.select("key", "content", (F.col("_from") + F.col("start")).alias("start"), (F.col("_from") + F.col("end")).alias("end"))
+    dealt = usual.repartition("key").sortWithinPartitions("key", "content")
+    direct = map_batches(dealt, _sorted_blocks(length), "key long, content long, start int, end int")
+    return direct if found is None else direct.unionByName(found)
+
+
+def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, low, high of repeated stretches, from places and packed places of their classes."""
+    names = ["doc_id", "low", "high"]
+    for b in batches:
+        doc, low, payload, start, end = (b.column(i) for i in range(5))
+        start, end = start.to_numpy().astype(np.int64), end.to_numpy().astype(np.int64)
+        one = pc.is_valid(doc).to_numpy(zero_copy_only=False)
+        if one.any():
+            base = low.filter(pa.array(one)).to_numpy()
+            yield pa.RecordBatch.from_arrays([doc.filter(pa.array(one)), pa.array(base + start[one]), pa.array(base + end[one])], names=names)
+        for i in np.flatnonzero(~one).tolist():
+            ids, lows = unpack(payload[i].as_py())
+            lows = lows.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(unpack_ids(ids)), pa.array(lows + start[i]), pa.array(lows + end[i])], names=names)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, low, high: byte ranges of repeated strings, in no order and overlapping. docs: doc_id long, text."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = cut(docs.mapInArrow(_send(2 * parts, length, gram), "bucket int, payload binary"), "anchors")
-    frequent = spark.sparkContext.broadcast(_frequent(sent, docs.count()))
-    usual = sent.where("bucket >= 0").repartition(parts, "bucket")
-    met = cut(usual.mapInArrow(_meet(frequent, length, gram), FOUND), "contexts")
-    spans = met.where("at is null").select("doc_id", "low", "high")
-    fetched = _fetch(docs, met.where("at is not null"))
-    dealt = fetched.repartition(parts, "h").sortWithinPartitions("h")
-    spans = spans.union(dealt.mapInArrow(_sorted_blocks(length), "doc_id long, low long, high long"))
-    if len(frequent.value):
-        windows = docs.mapInArrow(_windows(frequent, 2 * parts, length, gram), "bucket int, payload binary")
-        spread = windows.withColumn("bucket_key", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload") % parts))
-        counted = spread.repartition(parts, "bucket_key").select("bucket", "payload").mapInArrow(_count_windows(length), "doc_id long, low long, high long")
-        spans = spans.union(counted)
-    return spans
+    buckets = buckets_for(docs, "text")
+    sent = map_batches(docs, _send(buckets, length, gram), SENT)
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("payload") % buckets).otherwise(F.col("bucket"))
+    met = cut(map_batches(sent.repartition(max(1, buckets // 2), spread), _meet, MET), "met-pieces")
+    pieces = cut(_fetch(docs, met.where(F.col("role") == CLASS)), "pieces")
+    slack = (length - gram + 1) // 2
+    repeats = cut(_repeats(pieces, slack, length, gram), "repeats")
+    places = met.where(F.col("role") != CLASS).select("key", "content", "doc_id", "low", "payload")
+    both = places.join(repeats, ["key", "content"]).select("doc_id", "low", "payload", "start", "end")
+    return map_batches(both, _open_places, "doc_id long, low long, high long")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep: list[str] | None = None) -> DataFrame:
     """Add ``kept`` (bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``. Columns of these names are replaced."""
-    small_batches(docs.sparkSession, 64)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = repeated_spans(own, length, gram).groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("_spans"))
-    found = cut(found.withColumnRenamed("doc_id", "_span_id"), "suffix-spans")
-    rows, size = found.select(F.count("*"), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
-    small = rows <= BROADCAST_IDS and size * 16 <= BROADCAST_BYTES
-    both = docs.join(F.broadcast(found) if small else found, F.col(doc_id) == F.col("_span_id"), "left").drop("_span_id")
+    both, spans = with_spans(docs, merged_spans(repeated_spans(own, length, gram)), doc_id)
     names = ["kept", "n_bytes", "n_removed", "n_spans"]
     fields = [T.StructField("kept", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in names[1:])]
 
@@ -525,14 +552,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             at = batch.schema.get_field_index
             kept, sizes, gone, runs = [], [], [], []
-            for t, spans in zip(batch.column(at(text)).cast(pa.binary()).to_pylist(), batch.column(at("_spans")).to_pylist()):
+            for t, own in zip(batch.column(at(text)).cast(pa.binary()).to_pylist(), batch.column(at(spans)).to_pylist()):
                 t = t or b""
                 out, last, count = [], 0, 0
-                for low, high in sorted((s["low"], s["high"]) for s in spans or ()):
-                    if low > last or not count:
-                        out.append(t[last:low])
-                        count += 1
-                    last = max(last, high)
+                for low, high in np.frombuffer(own or b"", dtype=np.int64).reshape(-1, 2).tolist():
+                    if low >= len(t):  # another text under the same id
+                        break
+                    out.append(t[last:low])
+                    last, count = high, count + 1
                 out.append(t[last:])
                 kept.append(b"".join(out))
                 sizes.append(len(t))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import cut, small_batches
+from ._arrow import cut, map_batches
 
 K = 20
 QUERY_EVERY = 20
@@ -63,7 +63,7 @@ def quantise(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
             out[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.floor(64 * lists.flatten().to_numpy()) + 0.0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in out], pa.binary())], names=["vec_id", "vec"])
 
-    return fit.mapInArrow(run, "vec_id long, vec binary")
+    return map_batches(fit, run, "vec_id long, vec binary")
 
 
 def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
@@ -86,8 +86,8 @@ def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
         return run
 
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = vectors.select("vec_id", "vec").mapInArrow(combine(True), "ids array<long>, vec binary")
-    return near.repartition(parts, "vec").mapInArrow(combine(False), "ids array<long>, vec binary")
+    near = map_batches(vectors.select("vec_id", "vec"), combine(True), "ids array<long>, vec binary")
+    return map_batches(near.repartition(parts, "vec"), combine(False), "ids array<long>, vec binary")
 
 
 def _solve(k: int):
@@ -139,7 +139,6 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by ``every``, its own id left out."""
     spark = df.sparkSession
-    small_batches(spark, 2000)
     vectors = cut(quantise(df, vec_id, vector), "vectors")
     data = cut(distinct_vectors(vectors, k + 1), "distinct-vectors")
     asking = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")).distinct()
@@ -159,7 +158,7 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
             far = np.sqrt(((x - p[pivot]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pivot, pa.int32()), pa.array(far), pa.array(np.sqrt((x * x).sum(axis=1)))], names=["ids", "vec", "pivot", "far", "norm"])
 
-    grouped = cut(data.mapInArrow(assign, "ids array<long>, vec binary, pivot int, far double, norm double"), "voronoi")
+    grouped = cut(map_batches(data, assign, "ids array<long>, vec binary, pivot int, far double, norm double"), "voronoi")
     summary = grouped.groupBy("pivot").agg(F.max("far").alias("radius"), F.max("norm").alias("norm")).orderBy("pivot").toPandas()
     groups = spark.sparkContext.broadcast((summary["pivot"].to_numpy(), summary["radius"].to_numpy(), summary["norm"].to_numpy()))
 
@@ -192,12 +191,12 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
 
     schema = "qvec binary, bound long, pivot int"
     distinct = cut(asking.select("qvec").distinct(), "queries")
-    start = cut(_local(grouped, distinct.mapInArrow(send(True), schema), k), "first-answers")
+    start = cut(_local(grouped, map_batches(distinct, send(True), schema), k), "first-answers")
     # the k-th best besides the query itself bounds the rest; fewer answers bound nothing
     bound = start.select("qvec", F.explode("scores").alias("score"))
     order = Window.partitionBy("qvec").orderBy(F.desc("score"))
     bound = bound.withColumn("place", F.row_number().over(order)).where(F.col("place") == k + 1).select("qvec", F.col("score").alias("bound"))
-    again = cut(distinct.join(bound, "qvec", "left").mapInArrow(send(False), schema), "replicas")
+    again = cut(map_batches(distinct.join(bound, "qvec", "left"), send(False), schema), "replicas")
     best = _best(start.unionByName(_local(grouped, again, k)), k)
     pairs = asking.join(best, "qvec").where(F.col("vec_id") != F.col("query_id"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._arrow import cut, new_path, small_batches
+from ._arrow import cut, map_batches, new_path
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 20_000
@@ -114,9 +114,8 @@ def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    small_batches(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    return map_batches(files, run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
