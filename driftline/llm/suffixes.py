@@ -3,17 +3,18 @@
 A byte is removed when a string of ``LENGTH`` bytes that covers it also starts anywhere else.
 
 1. Anchors. In every window of LENGTH bytes the smallest hash of its ``GRAM``-byte substrings marks an anchor,
-   so equal windows hold equal anchors at equal places. About 0.6 % of the bytes are anchors. A window reaches
-   ``LENGTH - GRAM`` bytes beyond its anchor, so at least half of that on one side: each anchor has two *pieces*,
-   one whose windows all hold the next bytes on the right, one whose windows all hold those on the left. A piece's
-   key is a hash of what its windows hold in common, so only pieces of one key can share a window.
+   so equal windows hold equal anchors at equal places. About 0.6 % of the bytes are anchors. A window belongs to its
+   leftmost anchor of the smallest hash. It reaches ``LENGTH - GRAM`` bytes beyond that, so at least half of it on one
+   side: each anchor has up to two *pieces* of text, one whose windows all hold the next bytes on the right, one
+   whose windows all hold those on the left. A piece's key is a hash of what its windows hold in common, so only
+   pieces of one key can share a window, and each window is in one piece.
 2. Keys meet in buckets. Each chunk of input sends an entry once, however often it holds it; where it holds it several
    times, the places travel beside, never to one bucket. Keys held once are done with.
 3. The text of one piece of each class of equal pieces is fetched, by a shuffle of texts and places by id.
 4. Suffix arrays. The pieces of whole keys are joined to blocks and sorted by two-stage suffix sorting: only
    suffixes smaller than their successors are sorted directly; one scan over the buckets of first bytes, in
-   rising order, induces the others. Neighbours whose first LENGTH bytes agree, byte by byte, at two places or in a
-   class of several, are repeats. Everything that is removed comes from here.
+   rising order, induces the others. Neighbours whose first LENGTH bytes agree, byte by byte, and strings in a
+   class of several equal pieces, are repeats. Everything that is removed comes from here.
 5. A key with more than ``GROUP_PIECES`` different pieces is cut: a piece into parts of fewer windows, which hold more
    in common and so have finer keys, and which coincide more often. At one window each part is its key, so
    blocks stay bounded whatever one key holds.
@@ -95,17 +96,41 @@ class Anchors:
         while len(self.at) and (empty := self.at >= ends[self.text]).any():  # empty texts share a start
             self.text[empty] -= 1
 
+    def reaches(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each anchor the least and the most that its own windows reach to its left; most < least for none.
+
+        A window is its leftmost smallest anchor's own. So an anchor before, of no larger hash, and one after, of a
+        smaller hash, bound the windows of an anchor.
+        """
+        reach, n = self.length - self.gram, len(self.at)
+        least = np.maximum(0, self.at + self.length - self.ends[self.text])
+        most = np.minimum(reach, self.at - self.starts[self.text])
+        for side, step in ((-1, -1), (1, 1)):
+            todo, other = np.arange(n), np.arange(n) + step
+            while len(todo):
+                inside = (other >= 0) & (other < n)
+                todo, other = todo[inside], other[inside]
+                far = np.abs(self.at[other] - self.at[todo])
+                near = far <= reach
+                todo, other, far = todo[near], other[near], far[near]
+                beats = self.hash[other] <= self.hash[todo] if side < 0 else self.hash[other] < self.hash[todo]
+                if side < 0:
+                    most[todo[beats]] = np.minimum(most[todo[beats]], far[beats] - 1)
+                else:
+                    least[todo[beats]] = np.maximum(least[todo[beats]], reach + 1 - far[beats])
+                todo, other = todo[~beats], other[~beats] + step
+        return least, most
+
     def pieces(self) -> Iterator[tuple[np.ndarray, ...]]:
         """Both kinds of pieces: bytes that all windows hold to the left of the anchor; number of the anchor, key, content hash, bounds in the data."""
         reach = self.length - self.gram
         slack = (reach + 1) // 2
-        start, end = self.starts[self.text], self.ends[self.text]
-        for left in (0, reach - slack):  # bytes that all windows hold beside the anchor
-            right = reach - slack - left
-            low, high = np.maximum(start, self.at - left - slack), np.minimum(end, self.at + self.gram + right + slack)
-            fit = np.flatnonzero((self.at - left >= start) & (self.at + self.gram + right <= end) & (high - low >= self.length))
-            at, low, high = self.at[fit], low[fit], high[fit]
-            key = mix(mix(self.hash[fit] + self.of(at - left, at)) + self.of(at + self.gram, at + self.gram + right) + np.uint64(left))
+        least, most = self.reaches()
+        for left, last in ((0, slack), (slack + 1, reach)):  # how far windows reach to the left
+            low, high = np.maximum(least, left), np.minimum(most, last)
+            fit = np.flatnonzero(low <= high)
+            at, low, high = self.at[fit], self.at[fit] - high[fit], self.at[fit] - low[fit] + self.length
+            key = mix(mix(self.hash[fit] + self.of(at - left, at)) + self.of(at + self.gram, at + self.length - last) + np.uint64(left))
             yield left, fit, key, piece_hash(self.of(low, at), self.of(at, high)), low, high
 
     @staticmethod
@@ -281,8 +306,8 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, length: int) -> np.ndar
     return same
 
 
-def repeated_starts(pieces: list[bytes], docs: np.ndarray, offsets: np.ndarray, several: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece number and place in it of each ``length``-byte string that starts at two source coordinates (doc, offset) or in a piece of several copies."""
+def repeated_starts(pieces: list[bytes], several: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece number and place in it of each ``length``-byte string that starts twice or more, or in a piece of several copies."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -296,16 +321,13 @@ def repeated_starts(pieces: list[bytes], docs: np.ndarray, offsets: np.ndarray,
     array = array[wanted[array]]
     if not len(array):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    piece = np.searchsorted(ends, array, side="right")
+    piece_of = np.repeat(np.arange(len(pieces)), sizes)
     group = np.concatenate([[0], np.cumsum(~common_prefixes(text, array, length))])
-    place = array - starts[piece]
-    doc, offset = docs[piece], offsets[piece] + place
-    order = np.lexsort((offset, doc, group))
-    g, d, o = group[order], doc[order], offset[order]
-    fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (o[1:] != o[:-1])])
-    count = np.bincount(g, weights=fresh, minlength=int(g.max()) + 1) + np.bincount(group, weights=several[piece])
-    hit = count[group] > 1
-    return piece[hit], place[hit]
+    piece = piece_of[array]
+    hit = (np.bincount(group) > 1)[group] | (np.bincount(group, weights=several[piece]) > 0)[group]
+    array = np.sort(array[hit])
+    piece = piece_of[array]
+    return piece, array - starts[piece]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -438,12 +460,9 @@ def _sorted_blocks(length: int):
     """Rows sorted by key and content: blocks of whole keys, a suffix array each; repeats as spans of places in their classes."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        docs, lows = np.array([r[3] for r in rows], dtype=np.int64), np.array([r[4] for r in rows], dtype=np.int64)
-        piece, place = repeated_starts([r[7] for r in rows], docs, lows, np.array([r[2] for r in rows], dtype=bool), length)
+        piece, place = repeated_starts([r[7] for r in rows], np.array([r[2] for r in rows], dtype=bool), length)
         if not len(piece):
             return
-        order = np.lexsort((place, piece))
-        piece, place = piece[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (place[1:] > place[:-1] + length)]))
         last = np.append(first[1:], len(piece)) - 1
         owner = piece[first]
@@ -497,10 +516,9 @@ def _repeats(pieces: DataFrame, slack: int, length: int, gram: int) -> DataFrame
         step = max(1, (slack + 1) // 4)
         some = pieces.join(large, F.col("key") == F.col("_large"), "left_semi").dropDuplicates(["key", "content"])
         parts = cut(_parts(some, slack, step, length, gram), "parts")
-        # a part that stands at several places, or comes from a class of several, is one of several
+        # a part of several pieces, or of a class of several, is one of several: each window is in one piece only
         place = F.struct("doc_id", "low", "at", "left", "part")
-        where = F.struct("doc_id", "low")
-        finer = parts.groupBy("_key", "_content").agg((F.max("several") | (F.min(where) != F.max(where))).alias("several"), F.min_by(place, where).alias("p"))
+        finer = parts.groupBy("_key", "_content").agg((F.max("several") | (F.count("*") > 1)).alias("several"), F.min_by(place, F.struct("doc_id", "low")).alias("p"))
         finer = cut(finer.select(F.col("_key").alias("key"), F.col("_content").alias("content"), "several", "p.doc_id", "p.low", "p.at", "p.left", F.col("p.part").alias("piece")), "finer-pieces")
         spans = _repeats(finer, step - 1, length, gram).withColumnsRenamed({"key": "_k", "content": "_c"})
         own = parts.select("key", "content", "_from", "_key", "_content")
