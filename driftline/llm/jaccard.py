@@ -11,16 +11,17 @@ they share at least ``PERCENT`` of the union. The work is on different sets: equ
    share at least k shingles within their first n - need + k. These prefixes meet in buckets by shingle, as
    packed arrays of many sets. Small groups give pairs with the number of shingles shared; in large groups
    each member is paired with a leader only.
-3. Pairs are verified with whole sets in a prefix tree: the sets to compare with a probe are stored in global
-   order by their tokens, the walk down shares the overlap counted so far, and a subtree is left when even
-   all that remains of its sets and of the probe cannot reach the overlap needed.
-4. Links make components. Sets of large groups that still stand in several components, and that hold enough
-   tokens of large groups to link by these alone, are compared across components by the same tree, so no link
-   is lost; then components are made anew.
+3. Prefix-tree join. The sets of the pairs that one shingle (or one leader) showed are a block. A block stores its sets
+   in one trie, in an order of its own shingles, and all of them walk it together: what stored sets share is
+   counted once for every walker, a subtree is left by those that all that remains cannot bring to the overlap
+   needed, and left altogether when none is left in it.
+4. Links make components. Sets of large groups that still stand in several components, and whose sizes and common
+   shingles allow a link, are compared across components by the same tree, so no link is lost; then components
+   are made anew.
 
 Defined results: texts without words (null, empty) have an empty set and are linked with nothing; fewer than
-five words are one shingle; equal texts and repeated rows link; a row without id takes no part and gets no
-component; sets are told apart by a 64-bit hash of shingles and size.
+five words are one shingle; equal texts and repeated rows link; rows of one id with different texts are sets of their
+own, with that id; a row without id takes no part and gets no component; sets are told apart by a 64-bit hash of shingles and size.
 """
 
 from __future__ import annotations
@@ -186,30 +187,31 @@ def _send(frequent, k: int, percent: int, buckets: int):
     return run
 
 
-CANDIDATES = "a long, b long, shared long, leader long, na long, nb long, payload binary"
+CANDIDATES = "a long, b long, shared long, leader long, na long, nb long, token long, payload binary"
 
 
-def _candidate_batch(a, b, shared, leader, na, nb, payloads=None) -> Iterator[pa.RecordBatch]:
+def _candidate_batch(a, b, shared, leader, na, nb, token=None, payloads=None) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in CANDIDATES.split(", ")]
     for i in range(0, len(a), 20_000):
         cutout = slice(i, i + 20_000)
         n = len(a[cutout])
         arrays = [pa.array(a[cutout], pa.int64()), pa.array(b[cutout], pa.int64()), pa.array(shared[cutout], pa.int64())]
         arrays += [pa.nulls(n, pa.int64()) if leader is None else pa.array(leader[cutout], pa.int64()), pa.array(na[cutout], pa.int64()), pa.array(nb[cutout], pa.int64())]
+        arrays.append(pa.nulls(n, pa.int64()) if token is None else pa.array(token[cutout], pa.int64()))
         arrays.append(pa.nulls(n, pa.binary()) if payloads is None else pa.array(payloads[cutout], pa.binary()))
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Different pairs, smaller node first, whose sizes allow a link; with how often each came."""
+def _counted(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, key: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Different pairs, smaller node first, whose sizes allow a link; with how often each came and the smallest key that showed it."""
     fit = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (a != b)
-    a, b, na, nb = a[fit], b[fit], na[fit], nb[fit]
+    a, b, na, nb, key = a[fit], b[fit], na[fit], nb[fit], key[fit]
     turn = a > b
     a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
-    order = np.lexsort((b, a))
-    a, b, na, nb = a[order], b[order], na[order], nb[order]
+    order = np.lexsort((key, b, a))
+    a, b, na, nb, key = a[order], b[order], na[order], nb[order], key[order]
     heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return a[heads], b[heads], na[heads], nb[heads], np.diff(heads, append=len(a))
+    return a[heads], b[heads], na[heads], nb[heads], key[heads], np.diff(heads, append=len(a))
 
 
 def _meet(percent: int):
@@ -251,8 +253,8 @@ def _meet(percent: int):
             right.append(at + step)
         if left:
             i, j = np.concatenate(left), np.concatenate(right)
-            a, b, na, nb, shared = _counted(sn[i], sn[j], sz[i], sz[j], percent)
-            yield from _candidate_batch(a, b, shared, None, na, nb)
+            a, b, na, nb, token, shared = _counted(sn[i], sn[j], sz[i], sz[j], as_long(sk[i]), percent)
+            yield from _candidate_batch(a, b, shared, None, na, nb, token)
         lead_a, lead_b, lead_na, lead_nb = [], [], [], []
         for start, m in zip(heads[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist()):
             members = slice(start, start + m)
@@ -264,7 +266,7 @@ def _meet(percent: int):
             for s in range(start, start + m, 50_000):
                 piece = slice(s, min(s + 50_000, start + m))
                 none = np.zeros(1, np.int64)
-                yield from _candidate_batch(as_long(key[s : s + 1]), none, np.full(1, m), None, none, none, [pack(node[piece].view(np.uint64), n[piece])])
+                yield from _candidate_batch(as_long(key[s : s + 1]), none, np.full(1, m), None, none, none, None, [pack(node[piece].view(np.uint64), n[piece])])
         if lead_a:
             leader, member = np.concatenate(lead_a), np.concatenate(lead_b)
             order = np.lexsort((leader, member))
@@ -280,60 +282,78 @@ def _meet(percent: int):
     return run
 
 
-def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """Indexes of the sets that link to the probe. All sets are in one global order (here: of their values)."""
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    stored = [sets[i] for i in order]
+def trie_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs of indexes of linked sets. All sets walk one prefix tree of them together."""
+    m = len(sets)
+    tokens = np.concatenate(sets)
+    distinct, which, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    place = np.empty(len(distinct), dtype=np.int64)
+    place[np.argsort(-often, kind="stable")] = np.arange(len(distinct))  # common tokens first, so that prefixes are shared
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    ranked = [np.sort(place[which[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])]
+    order = sorted(range(m), key=lambda i: ranked[i].astype(">u8").tobytes())
+    stored = [ranked[i] for i in order]
     sizes = np.array([len(s) for s in stored])
-    needed = (percent * (len(probe) + sizes) + 99 + percent) // (100 + percent)  # overlap o: 100 o >= percent (a + b - o)
-    out: list[int] = []
-    todo = [(0, len(stored), 0, 0)]
+    needed = (percent * (sizes[:, None] + sizes) + 99 + percent) // (100 + percent)  # overlap o: 100 o >= percent (a + b - o)
+    token = np.concatenate(stored)
+    holder = np.repeat(np.arange(m), sizes)
+    by = np.lexsort((holder, token))
+    token, holder = token[by], holder[by]
+    start = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(distinct)))])  # of a token's holders
+    out: list[tuple[int, int]] = []
+    todo = [(0, m, 0, np.zeros(m, dtype=np.int64), np.arange(m))]
     while todo:
-        low, high, depth, overlap = todo.pop()
+        low, high, depth, overlap, walkers = todo.pop()
         first, last = stored[low], stored[high - 1]
-        m = min(len(first), len(last))
-        apart = np.flatnonzero(first[depth:m] != last[depth:m])
-        end = depth + int(apart[0]) if len(apart) else m  # sorted: what first and last share, all share
+        n = min(len(first), len(last))
+        apart = np.flatnonzero(first[depth:n] != last[depth:n])
+        end = depth + int(apart[0]) if len(apart) else n  # sorted: what first and last share, all share
         label = first[depth:end]
-        if len(label):
-            at = np.searchsorted(probe, label)
-            overlap += int((probe[np.minimum(at, len(probe) - 1)] == label).sum())
-        rest = len(probe) - int(np.searchsorted(probe, first[end - 1], side="right")) if end else len(probe)
+        if len(label):  # counted once for all walkers
+            size = start[label + 1] - start[label]
+            at = np.arange(int(size.sum())) + np.repeat(start[label] - np.cumsum(size) + size, size)
+            overlap = overlap + np.bincount(holder[at], minlength=m)
         while low < high and len(stored[low]) == end:  # sets that end here
-            if overlap >= needed[low]:
-                out.append(order[low])
+            hits = walkers[(overlap[walkers] >= needed[walkers, low]) & (walkers < low)]
+            out += [(order[w], order[low]) for w in hits.tolist()]
             low += 1
-        if low == high or not (overlap + np.minimum(sizes[low:high] - end, rest) >= needed[low:high]).any():
+        if low == high:
+            continue
+        rest = np.array([len(stored[w]) - np.searchsorted(stored[w], first[end - 1], side="right") if end else len(stored[w]) for w in walkers.tolist()])
+        most = overlap[walkers, None] + np.minimum(sizes[low:high] - end, rest[:, None])
+        walkers = walkers[((most >= needed[walkers, low:high]) & (walkers[:, None] < np.arange(low, high))).any(axis=1)]
+        if not len(walkers):
             continue
         branch = np.array([s[end] for s in stored[low:high]])
         cuts = [0, *(np.flatnonzero(branch[1:] != branch[:-1]) + 1).tolist(), high - low]
-        todo += [(low + a, low + b, end, overlap) for a, b in zip(cuts, cuts[1:])]
+        todo += [(low + a, low + b, end, overlap, walkers) for a, b in zip(cuts, cuts[1:])]
     return out
 
 
-def _compare(percent: int):
-    """Sorted rows (probe, block, role, node, tokens): a probe, then the sets to compare it with."""
+def _join_blocks(percent: int):
+    """Rows sorted by block: its sets, each as (node, tokens). The pairs of a block that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, probe, nodes, sets = None, None, [], []
+        key, nodes, sets = None, [], []
         left, right = [], []
 
         def done() -> None:
-            if probe is not None and sets:
-                for i in walk(probe, sets, percent):
-                    left.append(key[0])
-                    right.append(nodes[i])
+            if len(nodes) > 1:
+                for i, j in trie_join(sets, percent):
+                    left.append(nodes[i])
+                    right.append(nodes[j])
 
         for b in batches:
-            for p, block, role, node, tokens in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if (p, block) != key:
+            for of, part, node, tokens in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (of, part) != key:
                     done()
-                    key, probe, nodes, sets = (p, block), None, [], []
-                if role == 0:
-                    probe = bytes_hash(np.frombuffer(tokens, np.uint8), SET_BYTES)
-                else:
+                    key, nodes, sets = (of, part), [], []
+                if not nodes or node != nodes[-1]:  # repeated rows bring a set again
                     nodes.append(node)
                     sets.append(bytes_hash(np.frombuffer(tokens, np.uint8), SET_BYTES))
+            if len(left) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                left, right = [], []
         done()
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -341,27 +361,29 @@ def _compare(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, leader) that link, by the prefix tree. Each probe's partners are cut into blocks.
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links among the sets of the pairs (a, b, leader, token), by prefix trees.
 
-    A set is made from the text of one document that has it, once, and goes with all its places to the blocks
-    that need it, in the one shuffle of whole sets.
+    Pairs of a small group are one block, named by its shingle; those of a leader are cut into blocks of ``BLOCK`` sets
+    besides the leader. A set is made from the text of one document that has it, once, and goes with all its blocks in
+    the one shuffle of whole sets.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probe = F.coalesce("leader", "a")
-    pairs = cut(pairs.select(probe.alias("probe"), F.when(probe == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), "pairs")
-    degree = pairs.groupBy("probe").agg(F.count("*").alias("degree"))
-    placed = cut(pairs.join(degree, "probe").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / BLOCK))).drop("degree"), "blocks")
-    members = placed.select("node", "probe", "block", F.lit(1).alias("role"))
-    probes = placed.select(F.col("probe").alias("node"), "probe", "block").distinct().withColumn("role", F.lit(0))
+    led = F.col("leader").isNotNull()
+    of = F.coalesce("leader", "token")
+    pairs = cut(pairs.select(of.alias("of"), led.alias("led"), "a", "b"), "pairs")
+    degree = pairs.where("led").groupBy("of").agg(F.count("*").alias("degree"))
+    member = F.when(F.col("a") == F.col("of"), F.col("b")).otherwise(F.col("a"))
+    placed = pairs.join(degree, "of", "left").withColumn("part", F.when(F.col("led"), F.pmod(F.xxhash64(member), F.ceil(F.col("degree") / BLOCK))).otherwise(F.lit(-1)))
+    members = placed.select("of", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
     # a set in very many blocks has its places in several rows, so that no row is long
-    share = F.pmod(F.xxhash64("probe", "block"), F.lit(64))
-    places = members.union(probes).groupBy("node", share.alias("share")).agg(F.collect_list(F.struct("probe", "block", "role")).alias("places"))
+    share = F.pmod(F.xxhash64("of", "part"), F.lit(64))
+    places = members.groupBy("node", share.alias("share")).agg(F.collect_list(F.struct("of", "part")).alias("places"))
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("_rep"))
     placed = cut(places.join(reps, "node").select("_rep", "node", "places"), "places")
     n_rows, n_places = placed.select(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
     small = n_rows <= BROADCAST_IDS and n_places * 24 <= BROADCAST_BYTES
-    texts = docs.join(F.broadcast(placed) if small else placed, F.col("doc_id") == F.col("_rep")).select("text", "node", "places")
+    texts = docs.where("text is not null").join(F.broadcast(placed) if small else placed, F.col("doc_id") == F.col("_rep")).select("text", "node", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -370,17 +392,19 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percen
                 held.setdefault(text, []).append((node, own))
             for group in groups((None, t.encode()) for t in held):
                 for (_, text), tokens in zip(group, token_sets([t for _, t in group], k)):
+                    if not len(tokens):
+                        continue
                     name = node_of(tokens)
                     packed = hash_bytes(np.unique(bytes_hash(hash_bytes(tokens, SET_BYTES), SET_BYTES)), SET_BYTES).tobytes()
                     out = [p for node, own in held[text.decode()] if node == name for p in own]  # else another text under the same id
                     step = max(1, (4 << 20) // max(1, len(packed)))
                     for i in range(0, len(out), step):
                         some = out[i : i + step]
-                        columns = [pa.array([p["probe"] for p in some], pa.int64()), pa.array([p["block"] for p in some], pa.int64()), pa.array([p["role"] for p in some], pa.int32()), pa.array([name] * len(some), pa.int64()), pa.array([packed] * len(some), pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names=["probe", "block", "role", "node", "tokens"])
+                        columns = [*(pa.array([p[c] for p in some], pa.int64()) for c in ("of", "part")), pa.array([name] * len(some), pa.int64()), pa.array([packed] * len(some), pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["of", "part", "node", "tokens"])
 
-    dealt = map_batches(texts, run, "probe long, block long, role int, node long, tokens binary").repartition(parts, "probe", "block").sortWithinPartitions("probe", "block", "role")
-    return map_batches(dealt, _compare(percent), "a long, b long")
+    dealt = map_batches(texts, run, "of long, part long, node long, tokens binary").repartition(parts, "of", "part").sortWithinPartitions("of", "part", "node")
+    return map_batches(dealt, _join_blocks(percent), "a long, b long").distinct()
 
 
 def _large_groups(met: DataFrame) -> DataFrame:
@@ -399,49 +423,54 @@ def _across(large: DataFrame, held: DataFrame, labels: DataFrame, percent: int)
     """Pairs of sets in one large group but, so far, in different components, that no small group has shown.
 
     Two such sets must share k tokens of large groups alone. A set that holds fewer takes no part, and of
-    those that hold more, in order of group size, only the first that k shared ones cannot all miss.
+    those that hold more, in order of group size, only the first that k shared ones cannot all miss. The set whose
+    prefix ends first in the global order shares nothing of it but what it holds of large groups, so the overlap is at
+    most the larger ``most`` of a pair (all but the rest of the prefix): pairs whose sizes need more are passed over.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[], [], [], []]
+        columns = [[], [], [], [], []]
         for b in batches:
-            for i in range(4):
+            for i in range(5):
                 columns[i].append(b.column(i).to_numpy())
         if not columns[0]:
             return
-        token, node, n, comp = (np.concatenate(c) for c in columns)
+        token, node, n, comp, most = (np.concatenate(c) for c in columns)
         order = np.lexsort((n, token))
-        token, node, n, comp = token[order], node[order], n[order], comp[order]
+        token, node, n, comp, most = token[order], node[order], n[order], comp[order], most[order]
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found, size = [], 0
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            reach = np.searchsorted(n[a:b], n[a:b] * 100 // percent, side="right") + a  # sizes rise: partners stand close by
-            for i in range(a, b):
+            top = int(most[a:b].max())
+            limit = np.minimum(n[a:b] * 100 // percent, top * (100 + percent) // percent - n[a:b])  # sizes rise: partners stand close by
+            reach = np.searchsorted(n[a:b], limit, side="right") + a
+            for i in np.flatnonzero(reach > np.arange(a, b) + 1).tolist():
+                i += a
                 later = np.arange(i + 1, reach[i - a])
-                later = later[comp[later] != comp[i]]
-                found.append((np.full(len(later), node[i]), node[later], np.full(len(later), n[i]), n[later]))
-                size += len(later)
-            if size > 2_000_000:
-                found = [_counted(*(np.concatenate(x) for x in zip(*found)), percent)[:4]]
-                size = len(found[0][0])
+                later = later[(comp[later] != comp[i]) & ((100 + percent) * np.maximum(most[later], most[i]) >= percent * (n[later] + n[i]))]
+                if len(later):
+                    found.append((np.full(len(later), node[i]), node[later], np.full(len(later), n[i]), n[later], np.full(len(later), token[i])))
+                    size += len(later)
+                if size > 2_000_000:
+                    found = [_counted(*(np.concatenate(x) for x in zip(*found)), percent)[:5]]
+                    size = len(found[0][0])
         if found:
             x, y, *_ = _counted(*(np.concatenate(f) for f in zip(*found)), percent)
             for i in range(0, len(x), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]), pa.array(y[i : i + 50_000])], names=["a", "b"])
 
     parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = _extra_column(F.ceil(F.col("n") * percent / 100))
+    need_of = F.ceil(F.col("n") * percent / 100)
+    least = F.least(_extra_column(F.col("n")), need_of)
     heavy = large.join(held, "node").where(F.col("held") >= least)
     rank = F.row_number().over(Window.partitionBy("node").orderBy("size", "token"))
     first = heavy.withColumn("rank", rank).where(F.col("rank") <= F.col("held") - least + 1)
-    rows = cut(first.join(labels, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp")), "large-groups")
+    most = (need_of - least + F.col("held")).cast("long").alias("most")
+    rows = cut(first.join(labels, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"), most), "large-groups")
     split = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    open_rows = rows.join(split, "token").select("token", "node", "n", "comp")
+    open_rows = rows.join(split, "token").select("token", "node", "n", "comp", "most")
     pairs = map_batches(open_rows.repartition(parts, "token"), pair, "a long, b long").distinct()
-    own = heavy.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"))
-    of = lambda side: own.select(F.col("node").alias(side), F.col("tokens").alias(f"tokens_{side}"), F.col("n").alias(f"n_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= _extra_column(F.least("n_a", "n_b"))).select("a", "b")
+    return pairs.select("a", "b", F.col("a").alias("leader"), F.lit(None).cast("long").alias("token"))
 
 
 def _extra_column(n: Column) -> Column:
@@ -459,7 +488,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     frequent = spark.sparkContext.broadcast(_frequent(passed.where("payload is not null"), rows.count()))
     sent = map_batches(docs, _send(frequent, k, percent, 2 * parts), "bucket int, payload binary")
     met = cut(map_batches(sent.repartition(parts, "bucket"), _meet(percent), CANDIDATES), "candidates")
-    pairs = met.where("payload is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("leader").alias("leader"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    pairs = met.where("payload is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("leader").alias("leader"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.min("token").alias("token"))
     # what both hold of large groups may be shared too: such pairs are not looked for again
     large = cut(_large_groups(met), "large-members")
     held = cut(large.groupBy("node").agg(F.count("*").alias("held")), "large-held")
@@ -467,12 +496,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     more = F.coalesce(F.least("held_a", "held_b", F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), F.lit(0))), F.lit(0))
     pairs = pairs.where(F.col("leader").isNotNull() | (F.col("shared") + more >= F.least(_extra_column(F.col("na")), _extra_column(F.col("nb")))))
-    links = cut(_verified(docs, linkable, pairs, k, percent), "links")
+    links = cut(_verified(docs, linkable, pairs, percent, k), "links")
     labels = components(links)
     if held.limit(1).count():
-        more = cut(_across(large, held, labels, percent), "across").withColumn("leader", F.lit(None).cast("long"))
+        more = cut(_across(large, held, labels, percent), "across")
         if more.limit(1).count():
-            again = cut(_verified(docs, linkable, more, k, percent), "links")
+            again = cut(_verified(docs, linkable, more, percent, k), "links")
             if again.limit(1).count():
                 labels = components(links.union(again))
     smallest = linkable.groupBy("node").agg(F.min("doc_id").alias("own"))
