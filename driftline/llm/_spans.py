@@ -16,11 +16,11 @@ BUCKET_BYTES = 64 << 20
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 500_000
 
 
-def buckets_for(docs: DataFrame, text: str) -> int:
-    """By the bytes of the texts, and at least two for each shuffle partition."""
+def buckets_for(docs: DataFrame, text: str, each: int = BUCKET_BYTES) -> int:
+    """One for ``each`` bytes of the texts, and at least two for each shuffle partition."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(2 * parts, -(-size // BUCKET_BYTES))
+    return max(2 * parts, -(-size // each))
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
@@ -41,10 +41,15 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return map_batches(own, run, "doc_id long, spans binary")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
-    """Left join of the texts with their spans (by broadcast where these are few, else by a shuffle of both), and the name of the new column."""
+def with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, left: bool = True) -> tuple[DataFrame, str]:
+    """Join of the texts with their spans (by broadcast where these are few, else by a shuffle of both), and the name of the new column.
+
+    ``spans`` has doc_id and one more column, packed or an array.
+    """
     name = next(n for i in range(len(docs.columns) + 1) if (n := f"_spans{i}") not in docs.columns)
-    found = cut(spans, "spans").select(F.col("doc_id").alias(f"{name}_id"), F.col("spans").alias(name))
-    rows, size = found.select(F.count("*"), F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()
+    own = next(c for c in spans.columns if c != "doc_id")
+    found = cut(spans, "spans").select(F.col("doc_id").alias(f"{name}_id"), F.col(own).alias(name))
+    weight = F.octet_length(name) if found.schema[name].dataType.typeName() == "binary" else 40 * F.size(name)
+    rows, size = found.select(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
     small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    return docs.join(F.broadcast(found) if small else found, F.col(doc_id) == F.col(f"{name}_id"), "left").drop(f"{name}_id"), name
+    return docs.join(F.broadcast(found) if small else found, F.col(doc_id) == F.col(f"{name}_id"), "left" if left else "inner").drop(f"{name}_id"), name
