@@ -6,16 +6,23 @@ largest id holds the payload and the others revisit it. Records are written by S
 file for each task, so any file system and any lost executor is covered by its commit protocol; a record
 ends with two line breaks, which is that writer's line separator here.
 
-Reading: archives come in as binary files (bounded by ``RECORDS_PER_FILE`` records each) and are cut by
-Content-Length, never by what a payload holds. ``assemble`` joins the records of a capture through their
-concurrent-to identifiers into one nested row.
+Reading: archives (plain or gzip, of one member or one for each record) come in as binary files and are cut by
+Content-Length, never by what a payload holds. Sizes and digests of payloads are worked out from the bytes read.
+``assemble`` joins the records of a capture through their concurrent-to identifiers into one nested row, and
+``per_page`` follows a revisit to the record that holds its payload.
+
+Scale: a file holds about ``FILE_BYTES`` and at most ``FILE_LIMIT``, as a row of a binary file must. Blocks are dropped where
+they are read, unless asked for; what is shuffled is the headers.
 
 Defined results: a null payload counts as empty; a repeated row is one capture with a metadata record for
-each repeat; equal ids with different payloads are captures of their own; no rows give no archive.
+each repeat; equal ids with different payloads are captures of their own; no rows give no archive; a revisit of
+a record that is nowhere has no payload (null).
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,11 +32,14 @@ from pyspark.sql import functions as F
 from ._arrow import cut, map_batches, new_path
 
 MIN_REVISIT = 1000
-RECORDS_PER_FILE = 20_000
+#: Bytes of records in a file: about, and at most (but for a single record).
+FILE_BYTES, FILE_LIMIT = 64 << 20, 1 << 30
+HEADER_BYTES = 2000
 #: Up to so many payload groups are broadcast when captures look up what they revisit.
 BROADCAST_ROWS = 200_000
 _BREAK = "\r\n"
-RECORD = "kind string, record_id string, concurrent_to string, target_uri string, refers_to string, digest string, content_type string, block binary"
+_HEADERS = (b"warc-type", b"warc-record-id", b"warc-concurrent-to", b"warc-target-uri", b"warc-refers-to", b"warc-payload-digest", b"content-type")
+RECORD = "kind string, record_id string, concurrent_to string, target_uri string, refers_to string, digest string, content_type string, block binary, payload_bytes long, payload_sha1 string"
 
 
 def _record(kind: str, ident: Column, block: Column, **more: Column) -> Column:
@@ -70,12 +80,16 @@ def write(pages: DataFrame, path: str, ident: str = "page_id", url: str = "url",
     request = _record("request", _urn("request", page), F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1" + _BREAK * 2)), concurrent_to=_urn("response", page), uri=uri, content_type=F.lit("application/http;msgtype=request"))
     fields = F.concat(F.lit("captureId: "), F.coalesce(page.cast("string"), F.lit("null")), F.lit(_BREAK + "payloadLength: "), F.col("_bytes").cast("string"), F.lit(_BREAK))
     metadata = _record("metadata", _urn("metadata", page), fields, concurrent_to=_urn("response", page), uri=uri, content_type=F.lit("application/warc-fields"))
+    mean, top = planned.select(F.avg("_bytes"), F.max("_bytes")).first()
+    per_file = max(3, min(FILE_BYTES // (int(mean or 0) + HEADER_BYTES), FILE_LIMIT // (int(top or 0) + HEADER_BYTES)) * 3)  # three records a page
     records = F.array(request, F.when(F.col("_refers").isNull(), response).otherwise(revisit), metadata)
-    planned.select(F.explode(records).alias("value")).write.option("lineSep", _BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    planned.select(F.explode(records).alias("value")).write.option("lineSep", _BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple]:
-    """Records of an archive, cut by Content-Length."""
+    """Records of an archive, cut by Content-Length: headers, block, and size and SHA-1 of the payload of an HTTP response."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)  # all its members
     at, size = 0, len(data)
     while at < size:
         end = data.index(b"\r\n\r\n", at)
@@ -86,35 +100,37 @@ def parse_records(data: bytes) -> Iterator[tuple]:
         start = end + 4
         stop = start + int(head[b"content-length"])
         get = head.get
-        yield get(b"warc-type"), get(b"warc-record-id"), get(b"warc-concurrent-to"), get(b"warc-target-uri"), get(b"warc-refers-to"), get(b"warc-payload-digest"), get(b"content-type"), data[start:stop]
+        payload = None
+        if get(b"warc-type") == "response":
+            split = data.find(b"\r\n\r\n", start, stop) if (get(b"content-type") or "").startswith("application/http") else start - 4
+            payload = data[split + 4 if split >= 0 else stop : stop]
+        measured = (None, None) if payload is None else (len(payload), hashlib.sha1(payload).hexdigest())
+        yield (*(get(k) for k in _HEADERS), data[start:stop], *measured)
         at = stop + 4
 
 
 def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     """One row for each record of the archives in a folder. blocks False: HTTP blocks only up to their headers' end."""
-    import zlib
-
     names = [c.split()[0] for c in RECORD.split(", ")]
+    kinds = [{"block": pa.binary(), "payload_bytes": pa.int64()}.get(n, pa.string()) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.binary() if n == "block" else pa.string() for n in names]
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
             for data in batch.column(0):
-                raw = zlib.decompress(data.as_buffer(), 47)
-                rows: list[tuple] = []
-                held = 0
-                for r in parse_records(raw):
+                for r in parse_records(data.as_py()):
                     if not blocks and (r[6] or "").startswith("application/http"):
-                        r = (*r[:7], r[7][: r[7].find(b"\r\n\r\n") + 4])
+                        r = (*r[:7], r[7][: r[7].find(b"\r\n\r\n") + 4], *r[8:])
                     rows.append(r)
                     held += len(r[7])
                     if held > 4_000_000 or len(rows) >= 4000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                         rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz,txt,txt.gz}").load(path).select("content")
     return map_batches(files, run, RECORD)
 
 
@@ -125,7 +141,7 @@ def assemble(records: DataFrame) -> DataFrame:
     ``metadata`` is an array: a page that came several times, unchanged, has several.
     """
     key = F.coalesce(F.col("concurrent_to"), F.col("record_id"))
-    part = F.struct("record_id", "kind", "target_uri", "refers_to", "digest", "block")
+    part = F.struct("record_id", "kind", "target_uri", "refers_to", "digest", "block", "payload_bytes", "payload_sha1")
     of = lambda *kinds: F.max_by(part, F.when(F.col("kind").isin(*kinds), F.col("record_id")))
     return records.groupBy(key.alias("capture")).agg(of("request").alias("request"), of("response", "revisit").alias("response"), F.collect_list(F.when(F.col("kind") == "metadata", part)).alias("metadata"))
 
@@ -143,14 +159,17 @@ def field(block: Column, name: str) -> Column:
 
 
 def per_page(nested: DataFrame) -> DataFrame:
-    """A row for each page that was written, from the nested captures."""
-    rows = nested.select("response", F.explode("metadata").alias("m"))
+    """A row for each page that was written, from the nested captures. Sizes and digests are those of payload bytes read, for revisits of the record that they refer to."""
+    of = F.coalesce(F.col("response.refers_to"), F.col("response.record_id"))
+    rows = nested.select("response", of.alias("_held_in"), F.explode("metadata").alias("m"))
+    held = nested.where("response.kind = 'response'").select(F.col("response.record_id").alias("_record"), F.col("response.payload_bytes").alias("_bytes"), F.col("response.payload_sha1").alias("_sha1"))
+    rows = rows.join(held, F.col("_held_in") == F.col("_record"), "left")
     block, response = F.col("m.block"), F.col("response")
     revisited = F.regexp_extract(response["refers_to"], r"^<urn:capture:response:([^:]*):", 1)
     return rows.select(
         field(block, "captureId").try_cast("long").alias("page_id"),
-        field(block, "payloadLength").cast("long").alias("payload_bytes"),
-        F.substring_index(response["digest"], ":", -1).alias("payload_digest"),
+        F.col("_bytes").alias("payload_bytes"),
+        F.col("_sha1").alias("payload_digest"),
         response["kind"].alias("record_type"),
         revisited.try_cast("long").alias("refers_to"),
         response["target_uri"].alias("target_uri"),
