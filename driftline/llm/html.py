@@ -1,16 +1,18 @@
 """Main text of web pages by composite text density.
 
 A page is read into a DOM (scripts, styles, forms and other parts that are never prose are left out while
-reading; open paragraphs and inline markup close as browsers close them). For every node the density is the
-number of its characters outside links for each tag, adjusted by the share of linked characters:
+reading; open paragraphs and inline markup close as browsers close them, and as in browsers nesting goes no deeper than
+``DEPTH``). For every node the composite text density is its characters for each tag, times the logarithm of characters and tags
+over those of links, to a base that grows with the links of the node and of the whole page (e at least, or a few
+characters on a page of few links would count for most):
 
-    density(n) = (chars - link_chars) / tags * log(chars + e) / log(linked share of chars + e)
+    density(n) = chars / tags * log[ln(chars / unlinked * links + page_links / page_chars * chars + e)](chars / links * tags / link_tags)
 
 The density sum of a node is the sum of its children's densities. The threshold is the smallest density,
-with boilerplate or without, on the path from the body to the node of the largest density sum. From the body down, as far as nodes reach that
-threshold, each keeps the subtree of the largest sum below it, and the text is what is kept, in page order;
-blocks that are boilerplate by their element, role or class are left out. Where the node of the largest sum
-stands in an article (or main), only what stands in one is kept, and that article as a whole.
+with boilerplate or without, on the path from the body to the node of the largest density sum. From the body down, as far
+as nodes reach that threshold, each keeps the subtree of the largest sum below it, and the text is what is kept, in page
+order; blocks that are boilerplate by their element, role or class are left out of it and of the densities. What an article is
+called decides nothing here: pages with and without ``article`` go the same way.
 
 A class, id or role marks an element only as a whole token (each of its words is in MARKS: ``ad-banner``, but
 not ``has-sidebar`` or ``related-work``), and headings are not marked by it. No mark holds for an element
@@ -48,13 +50,15 @@ LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ENDS_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 #: Words of class, id and role that mark boilerplate.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent notice notices newsletter subscribe share sharing social related recommended comment comments disqus reply replies respond popup modal login signup search copyright contentinfo complementary alert".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.DOTALL)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*'|["'])*+)(?:>|$)""", re.DOTALL)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
+#: Open elements at once, as browsers have it.
+DEPTH = 512
 
 
 class Node:
-    __slots__ = ("name", "boiler", "children", "chars", "links", "tags", "linktags", "sum", "density", "top", "whole")
+    __slots__ = ("name", "boiler", "children", "counts", "whole", "density", "full_density", "sum", "top")
 
     def __init__(self, name: str, boiler: str = ""):
         self.name, self.boiler, self.children = name, boiler, []
@@ -80,6 +84,7 @@ def parse(page: str) -> Node:
     root = Node("#root")
     stack = [root]
     at, size = 0, len(page)
+    endless: set[str] = set()  # raw elements that do not end from here on
 
     def text(raw: str) -> None:
         if raw:
@@ -115,7 +120,9 @@ def parse(page: str) -> Node:
             continue
         if name in RAW:
             if not m["attrs"].endswith("/") or name not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+                if end is None:
+                    endless.add(name)
                 if name == "iframe" or end or name in ("script", "style", "textarea", "title", "xmp"):
                     at = end.end() if end else size
             continue
@@ -127,7 +134,7 @@ def parse(page: str) -> Node:
             close(LIKE[name], ENDS_AT[name])
         node = Node(name, marked(name, m["attrs"]))
         stack[-1].children.append(node)
-        if name not in VOID and not m["attrs"].endswith("/"):
+        if name not in VOID and not m["attrs"].endswith("/") and len(stack) < DEPTH:
             stack.append(node)
     return root
 
@@ -166,44 +173,46 @@ def spare(root: Node) -> None:
         article = parent[article]
 
 
-def density(chars: int, links: int, tags: int) -> float:
-    share = links / chars if chars else 0.0
-    return (chars - links) / max(tags, 1) * math.log(chars + math.e) / math.log(share * chars + math.e)
+def density(chars: int, links: int, tags: int, link_tags: int, page_share: float) -> float:
+    """Composite text density; page_share: linked characters of the page over all."""
+    if not chars:
+        return 0.0
+    base = max(math.log(chars / max(chars - links, 1) * links + page_share * chars + math.e), math.e)
+    return chars / max(tags, 1) * math.log(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1)) / math.log(base)
 
 
 def measure(root: Node) -> None:
-    """Characters, linked characters and tags below each node without boilerplate (``whole``: with it), densities and their sums."""
+    """Characters, linked characters, tags and link tags below each node without boilerplate (``whole``: with it), densities and their sums."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
-        node.chars = node.links = node.tags = 0
-        node.sum = 0.0
-        chars = links = tags = 0
+        own, whole = [0, 0, 0, 0], [0, 0, 0, 0]
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len(_SPACE.sub("", c))
-            elif not c.boiler:
-                node.chars += c.chars
-                node.links += c.links
-                node.tags += 1 + c.tags
-                node.sum += c.density
-                chars += c.whole[0] - c.chars
-                links += c.whole[1] - c.links
-                tags += c.whole[2] - c.tags
-            else:
-                chars += c.whole[0]
-                links += c.whole[1]
-                tags += 1 + c.whole[2]
+                n = len(_SPACE.sub("", c))
+                own[0] += n
+                whole[0] += n
+                continue
+            for i, (a, b) in enumerate(zip(c.counts, c.whole)):
+                own[i] += 0 if c.boiler else a
+                whole[i] += b
+            for x in (whole,) if c.boiler else (own, whole):
+                x[2] += 1
+                x[3] += c.name == "a"
         if node.name == "a":
-            node.links, links = node.chars, chars
-        node.whole = (node.chars + chars, node.links + links, node.tags + tags)
-        node.density = density(node.chars, node.links, node.tags)
-        node.top = node if node.chars and node.name not in INLINE else None
-        for c in node.children:
-            if isinstance(c, Node) and not c.boiler and c.top is not None and (node.top is None or c.top.sum > node.top.sum):
+            own[1], whole[1] = own[0], whole[0]
+        node.counts, node.whole = own, whole
+    share = root.counts[1] / max(root.counts[0], 1)
+    for node in reversed(order):
+        node.density, node.full_density = density(*node.counts, share), density(*node.whole, share)
+        kept = [c for c in node.children if isinstance(c, Node) and not c.boiler]
+        node.sum = sum(c.density for c in kept)
+        node.top = node if node.counts[0] and node.name not in INLINE else None
+        for c in kept:
+            if c.top is not None and (node.top is None or c.top.sum > node.top.sum):
                 node.top = c.top
 
 
@@ -227,9 +236,8 @@ def main_subtrees(root: Node) -> list[Node]:
 
     threshold, node = best.density, best
     while node is not None and node.name not in ("#root", "html"):
-        threshold = min(threshold, node.density, density(*node.whole))
+        threshold = min(threshold, node.density, node.full_density)
         node = parent[node]
-    scope = around(best, ("article", "main"))
     kept, todo = set(), [root]
     while todo:
         node = todo.pop()
@@ -238,14 +246,9 @@ def main_subtrees(root: Node) -> list[Node]:
                 continue
             # a paragraph with inline markup has a sum of its own: the text is what its section holds
             own = around(node.top, ("article", "main", "section", "div", "body", "td"), None if node.top is best else node)
-            if scope is None:
-                kept.add(root if own is None else own)
-            elif (article := around(node.top, (scope.name,))) is not None:
-                kept.add(article)
+            kept.add(root if own is None else own)
         todo += [c for c in node.children if isinstance(c, Node) and not c.boiler and c.name not in INLINE]
-    if scope is not None:
-        kept.add(scope)
-    elif not kept:
+    if not kept:
         kept.add(root)
     out, covered = [], set()
     for node in order:

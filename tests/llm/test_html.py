@@ -46,3 +46,32 @@ def test_article_over_siblings():
             divs = "<div class=ad>Buy</div>".join("<div>" + "".join(f"<p>{p}</p>" for p in part) + "</div>" for part in parts)
             page = f"<html><body>{menu}{start}{divs}{end}{links}<footer>Foot</footer></body></html>"
             assert main_text(page) == "\n".join(p for part in parts for p in part), page
+
+
+def test_density_decides():
+    """No article, no main, no mark: what is dense stays, lists of links and captions of pictures go; with the header of the article kept."""
+    links = "".join(f"<li><a href='/{i}'>Something to read {i}</a></li>" for i in range(30))
+    teasers = "".join(f"<div><a href='/t{i}'><span>Teaser {i}</span></a><span>now</span></div>" for i in range(20))
+    for name in ("div", "section", "td"):
+        page = f"<html><body><div><ul>{links}</ul></div><div>{teasers}</div><{name}><div><header><h1>Title of it</h1></header>{PROSE}{PROSE}</div></{name}><div><ul>{links}</ul></div></body></html>"
+        text = main_text(page)
+        assert text.split("\n")[-12:] == [*PARTS, *PARTS] and "Teaser" not in text and "Something" not in text, (name, text)
+
+
+def test_linear_time():
+    import time
+
+    for junk in ("<a " * 60_000 + '"', "<svg>" * 60_000, "<b>" * 20_000 + "</i>" * 20_000, '<p class="' * 60_000, "<div>" * 30_000 + "</p>" * 30_000, "<!--" * 60_000, "&" * 60_000):
+        start = time.time()
+        main_text(junk)
+        assert time.time() - start < 6, junk[:8]
+
+
+def test_rows(spark):
+    from driftline.llm import html
+
+    rows = [(1, None, "a", "n"), (2, "", "b", "n"), (3, f"<article>{PROSE}</article>", None, "n"), (3, f"<article>{PROSE}</article>", None, "n"), (None, "<p>" + "word " * 300_000 + "</p>", "c", None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars string")  # columns named like the new ones
+    out = html.with_length(html.extract(df, keep=["page_id"])).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 1_499_999), (1, 0), (2, 0), (3, len("\n".join(PARTS))), (3, len("\n".join(PARTS)))]
+    assert html.extract(df.limit(0)).count() == 0
