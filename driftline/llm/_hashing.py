@@ -20,16 +20,22 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _power: list[np.ndarray] = []
 
 
+#: Powers that a worker keeps; longer texts make their own.
+KEPT_POWERS = 1 << 21
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i for i below n."""
-    if not _power or len(_power[0]) < n:
-        size = max(n, 1 << 21)
-        _power[:] = []
-        for r in (_R, pow(_R, -1, 1 << 64)):
-            p = np.full(size, r, dtype=np.uint64)
-            p[0] = 1
-            _power.append(np.cumprod(p, dtype=np.uint64))
-    return _power[0], _power[1]
+    """R**i and R**-i for i below n (at least)."""
+    if n <= KEPT_POWERS and _power:
+        return _power[0], _power[1]
+    made = []
+    for r in (_R, pow(_R, -1, 1 << 64)):
+        p = np.full(max(n, KEPT_POWERS), r, dtype=np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p, dtype=np.uint64))
+    if n <= KEPT_POWERS:
+        _power[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -26,10 +26,12 @@ from pyspark.sql import types as T
 
 from ._arrow import append_columns
 
-#: Encodings of this many short pieces are memoised by each Python worker, twice over: a full memo is kept while the next one fills.
-MEMO_PIECES, MEMO_LENGTH = 150_000, 48
-#: Pairs of tokens whose compatibility is decided by undoing merges at the border, and memoised.
-MEMO_PAIRS = 250_000
+#: Encodings of short pieces are memoised by each Python worker, up to about so many bytes, twice over: a full memo is kept while the next one fills.
+MEMO_BYTES, MEMO_LENGTH = 24 << 20, 48
+#: Bytes of an entry of the memo besides its text and ids.
+ENTRY_BYTES = 220
+#: Pairs of tokens whose compatibility is decided by undoing merges at the border, and memoised (about 150 bytes each).
+MEMO_PAIRS = 150_000
 #: Ids that are decoded at once.
 DECODE_STEP = 1 << 17
 
@@ -68,6 +70,7 @@ class Encoder(dict):
         self.split_of: dict[int, tuple[int, int] | None] = {}
         self.shorter = Shorter(self)
         self.before: dict[str, tuple[int, ...]] = {}
+        self.weight = 0
         self.split = regex.compile(pattern).findall
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -151,10 +154,12 @@ class Encoder(dict):
         if ids is None:
             ids = self.encode_piece(piece.encode())
         if len(piece) <= MEMO_LENGTH:
-            if len(self) >= MEMO_PIECES:  # what is still in use comes back from the memo before
+            if self.weight >= MEMO_BYTES:  # what is still in use comes back from the memo before
                 self.before = dict(self)
                 self.clear()
+                self.weight = 0
             self[piece] = ids
+            self.weight += ENTRY_BYTES + len(piece) + 8 * len(ids)
         if len(self.fits) > MEMO_PAIRS:
             self.fits.clear()
         return ids
@@ -163,11 +168,22 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@lru_cache(maxsize=1)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after another, by rank, with where each starts and its size. Ranks that no token has are empty."""
+    ranks = read_ranks(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add the token ids of ``text`` as ``array<int>``; each match of ``pattern`` is encoded separately."""
 
@@ -191,10 +207,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "bytes", keep:
     """Add the bytes that the token ids stand for; null ids count as none."""
 
     def make():
-        tokens = encoder(path, r".+").tokens
-        table = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
+        table, starts, sizes = token_bytes(path)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             lists = batch.column(batch.schema.get_field_index(ids))

@@ -82,6 +82,13 @@ def candidates(docs: DataFrame, index: DataFrame, doc_id: str, text: str, k: int
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Pairs (doc_id, item_id) whose document holds at least ``percent`` of the item's shingles, with n_item, n_shared, containment."""
+    kept = contaminated_rows(docs, items, doc_id, text, item_id, item_text, k, percent)
+    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment")
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, row (a hash of its text), item_id, n_item, n_shared: a row for each row of documents that holds enough of an item."""
     index = cut(sketches(items, item_id, item_text, k, percent), "item-sketches")
     found = cut(candidates(docs, index, doc_id, text, k), "candidates")
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -89,9 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     wanted = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("item_id", "item")).alias("_asked")).withColumnsRenamed({"doc_id": "_doc_id", "row": "_row"})
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("_text"))
     texts = texts.join(F.broadcast(wanted) if few else wanted, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    pairs = texts.select("doc_id", shingles(F.col("_text"), k).alias("_shingles"), F.explode("_asked").alias("_a"))
+    pairs = texts.select("doc_id", "row", shingles(F.col("_text"), k).alias("_shingles"), F.explode("_asked").alias("_a"))
     both = pairs.join(tests, (F.col("_a.item") == F.col("_item")) & F.col("_a.item_id").eqNullSafe(F.col("_item_id")))
-    shared = both.select("doc_id", F.col("_item_id").alias("item_id"), F.size("_item_shingles").cast("long").alias("n_item"), F.size(F.array_intersect("_shingles", "_item_shingles")).cast("long").alias("n_shared"))
-    kept = shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_item", "n_shared")).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_item", "best.n_shared", "best.containment")
+    shared = both.select("doc_id", "row", F.col("_item_id").alias("item_id"), F.size("_item_shingles").cast("long").alias("n_item"), F.size(F.array_intersect("_shingles", "_item_shingles")).cast("long").alias("n_shared"))
+    return shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)

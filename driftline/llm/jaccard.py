@@ -82,9 +82,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _first_pass(k: int):
-    """A row for each document (doc_id, n, node); rows with a payload: shingles that a chunk holds three times, with counts."""
-    names = ["doc_id", "n", "node", "payload"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    """A row for each document (doc_id, row, n, node); rows with a payload: shingles that a chunk holds three times, with counts."""
+    names = ["doc_id", "row", "n", "node", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -93,13 +93,15 @@ def _first_pass(k: int):
 
         def report() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            row = [None, None, None, pack(tokens[n > 2], n[n > 2])]
+            row = [None, None, None, None, pack(tokens[n > 2], n[n > 2])]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
-        for group in groups(_rows(batches)):
-            sets = token_sets([t for _, t in group], k)
+        named = ((i, r, t or b"") for b in batches for i, t, r in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()))
+        for group in groups(named):
+            sets = token_sets([t for _, _, t in group], k)
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([i for i, _ in group], [len(s) for s in sets], nodes, [None] * len(sets)), kinds)], names=names)
+            columns = [i for i, _, _ in group], [r for _, r, _ in group], [len(s) for s in sets], nodes, [None] * len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
             for node, tokens in zip(nodes, sets):
                 if node is not None and node not in seen:
                     seen.add(node)
@@ -478,12 +480,12 @@ def _extra_column(n: Column) -> Column:
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (its set; null for none) and component_id (the smallest id reachable by links)."""
+    """doc_id, row (a hash of its text), n_shingles, node (its set; null for none) and component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    passed = cut(map_batches(docs, _first_pass(k), "doc_id long, n long, node long, payload binary"), "sets-first-pass")
-    rows = passed.where("payload is null").select("doc_id", "n", "node")
+    passed = cut(map_batches(docs.withColumn("row", F.xxhash64("text")), _first_pass(k), "doc_id long, row long, n long, node long, payload binary"), "sets-first-pass")
+    rows = passed.where("payload is null").select("doc_id", "row", "n", "node")
     linkable = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
     frequent = spark.sparkContext.broadcast(_frequent(passed.where("payload is not null"), rows.count()))
     sent = map_batches(docs, _send(frequent, k, percent, 2 * parts), "bucket int, payload binary")
@@ -510,4 +512,4 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     named = cut(joined.join(best, "comp").select(F.col("node").alias("_node"), "component"), "components")
     out = rows.join(named, F.col("node") == F.col("_node"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))

@@ -1,14 +1,18 @@
 """Secret scans by assignment-aware lexing.
 
 Base patterns mark assigned literals, access keys and long hex runs. Around them a lexer reads source and
-configuration syntax (``name = literal``, ``name: literal``, ``name := literal``, ``name => literal``,
-quoted or bare, JSON and YAML keys, shell and dotted names) into name-literal pairs. Constants are
-propagated: ``key = "..."`` followed by ``client.secret = key`` makes the first literal a secret. A literal
-is scored by how sensitive the names are that it reaches and by how random it looks; at ``MIN_SCORE`` and
-above it becomes a span of kind ``lexed``. Base spans always stay.
+configuration syntax into name-literal pairs: ``name = literal``, ``:``, ``:=`` and ``=>``, quoted (with escapes,
+prefixes, triple quotes) or bare, annotated names, JSON and YAML keys, YAML block scalars, subscripts
+(``env["NAME"] = ..``), dotted, shell and option names, and elements of markup (``<name>literal</name>``).
+
+Constants are propagated: ``key = "..."`` followed by ``client.secret = key`` makes the first literal a secret.
+Braces and the bodies of ``def`` and ``class`` are scopes; what is bound in one is forgotten where it ends, and the outer
+binding holds again. A comment is lexed too (what is commented out still leaks), but binds nothing. A name bound to an
+expression stands for no literal. A literal is scored by how sensitive the names are that it reaches and by how random it
+looks; at ``MIN_SCORE`` and above it becomes a span of kind ``lexed``. Base spans always stay. Time is linear in the text.
 
 Spans are (kind, start, end) in code points, end exclusive. Defined results: a null or empty text has no
-spans; repeated rows give repeated results; columns with the names of the new ones are replaced.
+spans; repeated rows give repeated results; columns with the names of the new ones are replaced; spans may overlap.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,16 +34,31 @@ MIN_SCORE = 0.6
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # greedy runs: those of 18 or more characters
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)["'\]]{0,2}[\x20\t]*(?::=|=>|=(?!=)|:(?!//))[\x20\t]*"""
-    r"""(?:"(?P<double>[^"\\\n]*(?:\\.[^"\\\n]*)*)"|'(?P<single>[^'\\\n]*(?:\\.[^'\\\n]*)*)'|(?P<bare>[A-Za-z0-9+/_.=$%@!#*^&~-]+))""",
-    re.ASCII,
+# A name ends where no name character follows and starts where none precedes, so each run of them is tried once.
+_TOKEN = re.compile(
+    r"""(?P<line>\n[ \t]*+)
+    |(?P<comment>(?<![^\s;{}])(?:\#|//|--(?=\s)))
+    |(?P<brace>[{}])
+    |<(?P<tag>[A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?+>(?P<element>[^<>]++)(?=</(?P=tag)>)
+    |(?<![\w.\-])(?P<block>(?:def|class)(?=[ \t]))
+    |(?<![\w.\-])(?P<name>-{0,2}[A-Za-z_][\w.\-]*+)(?P<index>(?:\[["']?[\w.\-]{1,200}+["']?\])*+)["'\]]{0,2}[ \t]*+
+      (?:(?P<type>:[ \t]*[A-Za-z_][\w.\[\],|\x20]{0,60}?)(?==(?!=)))?(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*+
+    |(?P<quote>"|(?<!\w)'|`)""",
+    re.ASCII | re.VERBOSE,
 )
+_BODY = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+", re.DOTALL) for q in "\"'`"}
+_PREFIX = re.compile(r"[rbfuRBFU]{0,2}(?=[\"'`])")
+_BARE = re.compile(r"[A-Za-z0-9+/_.=$%@!#*^&~-]++")
+_SCALAR = re.compile(r"[|>][+\-0-9]{0,2}[ \t]*+(?=\n)")
+_INDENTED = re.compile(r"(?:\n(?P<margin>[ \t]*+)(?P<rest>[^\n]*+))")
 # How sensitive a part of a name is: fixed values.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "key": 0.5, "private": 0.5, "api": 0.4, "access": 0.3, "bearer": 0.9, "signature": 0.5, "pass": 0.8}
+_LINES = re.compile(r"[ \t]*+\n\s*+")
+_HINT = re.compile("|".join(sorted(SENSITIVE)), re.IGNORECASE)
 HARMLESS = frozenset({"example", "changeme", "placeholder", "none", "null", "true", "false", "undefined", "test", "dummy", "sample", "redacted"})
 
 
+@lru_cache(maxsize=4096)
 def name_score(name: str) -> float:
     """Sensitivity of a name by its parts (snake, kebab, dotted or camel case)."""
     parts = re.findall(r"[a-z0-9]+|[A-Z]+(?![a-z])|[A-Z][a-z0-9]*", name)
@@ -46,7 +66,8 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret: long enough, no placeholder, many different characters, digits."""
+    """How much a literal looks like a secret: long enough, no placeholder, many different characters, digits. Lines of one literal count joined."""
+    value = _LINES.sub("", value)
     if len(value) < 8 or value.lower() in HARMLESS or value.startswith(("$", "%", "http:", "https:")) or " " in value:
         return 0.0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
@@ -64,22 +85,134 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+class Scopes:
+    """What names stand for: the place of a literal, or None for an expression. Leaving a scope undoes its bindings."""
+
+    def __init__(self):
+        self.of: dict[str, tuple[int, int] | None] = {}
+        self.stack: list[tuple[str, int, list]] = []  # kind, margin, what was bound before
+        self.braces = 0
+
+    def enter(self, kind: str, margin: int = 0) -> None:
+        self.stack.append((kind, margin, []))
+        self.braces += kind == "brace"
+
+    def leave(self) -> None:
+        kind, _, bound = self.stack.pop()
+        self.braces -= kind == "brace"
+        for name, was in reversed(bound):
+            if was is Scopes:
+                del self.of[name]
+            else:
+                self.of[name] = was
+
+    def bind(self, name: str, place: tuple[int, int] | None) -> None:
+        for n in {name, name.rsplit(".", 1)[-1]}:
+            if self.stack:
+                self.stack[-1][2].append((n, self.of.get(n, Scopes)))
+            self.of[n] = place
+
+    def close_line(self, margin: int | None) -> None:
+        """At a line's end: its comment is over, as are the blocks that the next line (None: empty) does not belong to."""
+        while self.stack and (self.stack[-1][0] == "comment" or margin is not None and self.stack[-1][0] == "block" and margin <= self.stack[-1][1]):
+            self.leave()
+
+    def close_brace(self) -> None:
+        """Ends the innermost brace and what is open in it; without one it is no brace of ours."""
+        if self.braces:
+            while self.stack[-1][0] != "brace":
+                self.leave()
+            self.leave()
+
+
+def _after_quote(text: str, m: re.Match) -> int:
+    """Where a string ends that is no value. One that is a key (a name and an operator follow) is read from inside."""
+    end = _BODY[m["quote"]].match(text, m.end()).end()
+    after = text[end + 1 : end + 4].lstrip(" \t]")
+    return m.end() if after[:1] in (":", "=") else min(len(text), end + 1)
+
+
+def _block_scalar(text: str, at: int, margin: int) -> tuple[int, int]:
+    """The lines after ``at`` that are indented more than ``margin``: from their first to their last character."""
+    start = end = at
+    empty = True
+    while m := _INDENTED.match(text, at):
+        if m["rest"].strip():
+            if len(m["margin"]) <= margin:
+                break
+            start, empty = (m.start("rest") if empty else start), False
+            end = m.start("rest") + len(m["rest"].rstrip())
+        at = m.end()
+    return start, end
+
+
+def _value(text: str, at: int, margin: int) -> tuple[tuple[int, int] | None, bool, int]:
+    """The literal at a place (None: there is none), whether it is bare, and where it ends."""
+    start = _PREFIX.match(text, at)
+    at = start.end() if start else at
+    mark = text[at : at + 1]
+    if mark and mark in "\"'`":
+        if text.startswith(mark * 3, at) and mark != "`":
+            end = text.find(mark * 3, at + 3)
+            end = len(text) if end < 0 else end
+            return (at + 3, end), False, end + 3
+        end = _BODY[mark].match(text, at + 1).end()
+        return (at + 1, end), False, end + 1
+    if m := _SCALAR.match(text, at):
+        place = _block_scalar(text, m.end(), margin)
+        return place, False, place[1]
+    if m := _BARE.match(text, at):
+        called = text[m.end() : m.end() + 1] in ("(", "[")
+        return (None if called else m.span()), True, m.end()
+    return None, False, at
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of literals that reach a sensitive name."""
-    if "=" not in text and ":" not in text:
+    if not _HINT.search(text):  # no name of the text can be sensitive
         return []
     literals: dict[tuple[int, int], float] = {}
-    bound: dict[str, tuple[int, int]] = {}  # what a name stands for just now
-    for m in _PAIR.finditer(text):
-        name, which = m["name"], m.lastgroup
-        value, place = m[which], m.span(which)
-        quoted = which != "bare"
-        if not quoted and value in bound:  # a constant under a new name
-            place = bound[value]
-        bound[name] = bound[name.rsplit(".", 1)[-1]] = place
-        score = name_score(name) * literal_score(text[place[0] : place[1]])
-        literals[place] = max(score, literals.get(place, 0.0))
-    return sorted((a, 3, b) for (a, b), score in literals.items() if score >= MIN_SCORE)
+    scopes, at, margin = Scopes(), 0, 0
+    margin = len(text) - len(text.lstrip(" \t"))
+    while m := _TOKEN.search(text, at):
+        at = m.end()
+        kind = m.lastgroup
+        if kind == "line":
+            margin = at - m.start() - 1
+            scopes.close_line(None if text[at : at + 1] in ("\n", "\r", "") else margin)
+        elif kind == "comment":
+            if not (scopes.stack and scopes.stack[-1][0] == "comment"):
+                scopes.enter("comment")
+        elif kind == "brace":
+            if m["brace"] == "{":
+                scopes.enter("brace")
+            else:
+                scopes.close_brace()
+        elif kind == "block":
+            scopes.enter("block", margin)
+        elif kind == "quote":
+            at = _after_quote(text, m)
+        else:
+            if kind == "element":
+                name, place, bare = m["tag"], m.span("element"), False
+                inner = m["element"]
+                place = (place[0] + len(inner) - len(inner.lstrip()), place[1] - len(inner) + len(inner.rstrip()))
+            else:
+                name = re.split(r"[\[\]\"']+", m["index"])[-2] if m["index"] else m["name"].lstrip("-")
+                place, bare, at = _value(text, at, margin)
+            if bare and place is not None:
+                word = text[place[0] : place[1]]
+                for known in (word, word.rsplit(".", 1)[-1]):
+                    if known in scopes.of:  # a constant under a new name, or an expression
+                        place = scopes.of[known]
+                        break
+            scopes.bind(name, place)
+            if place is not None and place[0] < place[1]:
+                sensitive = name_score(name)
+                if sensitive > literals.get(place, 0.0):
+                    literals[place] = sensitive
+    scored = ((a, b) for (a, b), sensitive in literals.items() if sensitive and sensitive * literal_score(text[a:b]) >= MIN_SCORE)
+    return sorted((a, 3, b) for a, b in scored)
 
 
 def scan_text(text: str | None) -> list[tuple[int, int, int]]:
