@@ -14,7 +14,7 @@ they share at least ``PERCENT`` of the union. The work is on different sets: equ
 3. Prefix-tree join. The sets of the pairs that one shingle (or one leader) showed are a block. A block stores its sets
    in one trie, in an order of its own shingles, and all of them walk it together: what stored sets share is
    counted once for every walker, a subtree is left by those that all that remains cannot bring to the overlap
-   needed, and left altogether when none is left in it.
+   needed, or that are joined with its sets already, and left altogether when none is left in it.
 4. Links make components. Sets of large groups that still stand in several components, and whose sizes and common
    shingles allow a link, are compared across components by the same tree, so no link is lost; then components
    are made anew.
@@ -284,9 +284,13 @@ def _meet(percent: int):
     return run
 
 
-def trie_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of indexes of linked sets. All sets walk one prefix tree of them together."""
+def trie_join(sets: list[np.ndarray], percent: int = PERCENT, forest: bool = False) -> list[tuple[int, int]]:
+    """Pairs of indexes of linked sets. All sets walk one prefix tree of them together.
+
+    ``forest``: only as many links as join each component; a walker leaves a subtree whose sets it is joined with.
+    """
     m = len(sets)
+    joined = np.arange(m)
     tokens = np.concatenate(sets)
     distinct, which, often = np.unique(tokens, return_inverse=True, return_counts=True)
     place = np.empty(len(distinct), dtype=np.int64)
@@ -316,14 +320,19 @@ def trie_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
             at = np.arange(int(size.sum())) + np.repeat(start[label] - np.cumsum(size) + size, size)
             overlap = overlap + np.bincount(holder[at], minlength=m)
         while low < high and len(stored[low]) == end:  # sets that end here
-            hits = walkers[(overlap[walkers] >= needed[walkers, low]) & (walkers < low)]
-            out += [(order[w], order[low]) for w in hits.tolist()]
+            for w in walkers[(overlap[walkers] >= needed[walkers, low]) & (walkers < low)].tolist():
+                if not forest or joined[w] != joined[low]:
+                    out.append((order[w], order[low]))
+                    joined[joined == joined[w]] = joined[low]
             low += 1
         if low == high:
             continue
         rest = np.array([len(stored[w]) - np.searchsorted(stored[w], first[end - 1], side="right") if end else len(stored[w]) for w in walkers.tolist()])
         most = overlap[walkers, None] + np.minimum(sizes[low:high] - end, rest[:, None])
-        walkers = walkers[((most >= needed[walkers, low:high]) & (walkers[:, None] < np.arange(low, high))).any(axis=1)]
+        able = (most >= needed[walkers, low:high]) & (walkers[:, None] < np.arange(low, high))
+        if forest:
+            able &= joined[walkers, None] != joined[low:high]
+        walkers = walkers[able.any(axis=1)]
         if not len(walkers):
             continue
         branch = np.array([s[end] for s in stored[low:high]])
@@ -333,7 +342,7 @@ def trie_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
 
 
 def _join_blocks(percent: int):
-    """Rows sorted by block: its sets, each as (node, tokens). The pairs of a block that link."""
+    """Rows sorted by block: its sets, each as (node, tokens). Links of a block, as many as join its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets = None, [], []
@@ -341,7 +350,7 @@ def _join_blocks(percent: int):
 
         def done() -> None:
             if len(nodes) > 1:
-                for i, j in trie_join(sets, percent):
+                for i, j in trie_join(sets, percent, forest=True):
                     left.append(nodes[i])
                     right.append(nodes[j])
 
@@ -480,7 +489,7 @@ def _extra_column(n: Column) -> Column:
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, row (a hash of its text), n_shingles, node (its set; null for none) and component_id (the smallest id reachable by links)."""
+    """doc_id, row (a hash of its text), n_shingles, node (its set; null for none), group (its component) and component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -509,7 +518,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     smallest = linkable.groupBy("node").agg(F.min("doc_id").alias("own"))
     joined = cut(smallest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "nodes")
     best = joined.groupBy("comp").agg(F.min("own").alias("component"))
-    named = cut(joined.join(best, "comp").select(F.col("node").alias("_node"), "component"), "components")
+    named = cut(joined.join(best, "comp").select(F.col("node").alias("_node"), "component", F.col("comp").alias("group")), "components")
     out = rows.join(named, F.col("node") == F.col("_node"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "node", "group", own.alias("component_id"))
