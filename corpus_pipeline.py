@@ -43,10 +43,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, that with the smallest id; one row of repeated rows."""
-    found = cut(jaccard.near_copies(docs).where("doc_id is not null").select("doc_id", "row", "n_shingles", "component_id"), "near-copies")
-    heads = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.min("row").alias("first"), F.max("row").alias("last"))
-    several = heads.where("first < last").select(F.col("doc_id").alias("_id"), "first")  # texts under one id, copies of each other
-    beside = found.where("doc_id = component_id and n_shingles > 0").join(several, (F.col("doc_id") == F.col("_id")) & (F.col("row") > F.col("first")))
+    found = cut(jaccard.near_copies(docs).where("doc_id is not null").select("doc_id", "row", "group", "component_id"), "near-copies")
+    own = found.where("doc_id = component_id and group is not null")
+    # texts under one id that are copies of each other
+    several = own.groupBy("group").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select(F.col("group").alias("_group"), "first")
+    beside = own.join(several, (F.col("group") == F.col("_group")) & (F.col("row") > F.col("first")))
     kept = _without(docs, found.where("doc_id <> component_id").select("doc_id", "row").union(beside.select("doc_id", "row")))
     repeated = not found.groupBy("doc_id", "row").count().where("count > 1").isEmpty()
     if not repeated:
