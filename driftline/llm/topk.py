@@ -30,7 +30,10 @@ from ._arrow import cut, map_batches
 
 K = 20
 QUERY_EVERY = 20
-MAX_PIVOTS = 512
+#: Pivots grow with the root of the number of vectors, as far as so many bytes of them are broadcast.
+PIVOT_BYTES = 64 << 20
+#: Distances worked out at once.
+CELLS = 4 << 20
 BLOCK, QUERY_BLOCK = 4096, 8192
 _EXACT = 2.0**53
 
@@ -116,15 +119,14 @@ def _solve(k: int):
 
 def _local(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Solve queries (qvec, bound, pivot) in the blocks of their pivots' groups; a row for each query and block."""
-    sizes = {r["pivot"]: r["n"] for r in data.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    asked = {r["pivot"]: r["n"] for r in queries.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
-    if not asked:
-        return queries.sparkSession.createDataFrame([], "qvec binary, scores array<long>, ids array<long>")
-    parts = lambda n, of: F.coalesce(F.create_map(*[F.lit(x) for p, c in n.items() for x in (p, -(-c // of))])[F.col("pivot")], F.lit(1))
-    blocks, query_blocks = parts(sizes, BLOCK), parts(asked, QUERY_BLOCK)
-    some = data.where(F.col("pivot").isin([int(p) for p in asked]))
-    some = some.withColumn("block", F.pmod(F.xxhash64("vec"), blocks)).withColumn("qblock", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
-    sent = queries.withColumn("qblock", F.pmod(F.xxhash64("qvec"), query_blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    # a row for each pivot: how many blocks its vectors and its queries are cut into
+    parts = lambda df, of, name: df.groupBy("pivot").agg(F.ceil(F.count("*") / of).cast("int").alias(name))
+    asked = parts(queries, QUERY_BLOCK, "qblocks")
+    plan = cut(parts(data, BLOCK, "blocks").join(asked, "pivot"), "blocks").withColumnRenamed("pivot", "_pivot")
+    own = lambda df: df.join(F.broadcast(plan), F.col("pivot") == F.col("_pivot")).drop("_pivot")
+    some = own(data).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)))
+    sent = own(queries).withColumn("qblock", F.pmod(F.xxhash64("qvec"), F.col("qblocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    some, sent = some.drop("blocks", "qblocks"), sent.drop("blocks", "qblocks")
     keys = ["pivot", "block", "qblock"]
     return some.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_solve(k), "qvec binary, scores array<long>, ids array<long>")
 
@@ -143,7 +145,8 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
     data = cut(distinct_vectors(vectors, k + 1), "distinct-vectors")
     asking = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")).distinct()
     n = data.count()
-    wanted = min(MAX_PIVOTS, max(1, math.isqrt(n) // 2))
+    width = data.select(F.max(F.octet_length("vec"))).first()[0] or 8
+    wanted = max(1, min(math.isqrt(n) // 2, PIVOT_BYTES // width))
     sample = data.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(wanted).toPandas()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -154,7 +157,8 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
         own = (p * p).sum(axis=1)
         for b in batches:
             x = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float64).reshape(b.num_rows, -1)
-            pivot = (own - 2 * (x @ p.T)).argmin(axis=1)
+            step = max(1, CELLS // len(p))
+            pivot = np.concatenate([(own - 2 * (x[i : i + step] @ p.T)).argmin(axis=1) for i in range(0, len(x), step)])
             far = np.sqrt(((x - p[pivot]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pivot, pa.int32()), pa.array(far), pa.array(np.sqrt((x * x).sum(axis=1)))], names=["ids", "vec", "pivot", "far", "norm"])
 
@@ -172,7 +176,8 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
     def send(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = groups.value[0]
-            for b in batches:
+            step = max(1, CELLS // len(which))
+            for b in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
                 q = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.float64).reshape(b.num_rows, -1)
                 most = bounds(q)
                 best = most.argmax(axis=1)
@@ -185,7 +190,9 @@ def search(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k:
                     wanted[np.arange(len(q)), best] = False
                     row, group = np.nonzero(wanted)
                     bound = b.column(1).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), bound, pa.array(which[group], pa.int32())], names=["qvec", "bound", "pivot"])
+                for i in range(0, len(row), 4000):
+                    some = row[i : i + 4000]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), bound.slice(i, 4000), pa.array(which[group[i : i + 4000]], pa.int32())], names=["qvec", "bound", "pivot"])
 
         return run
 
