@@ -23,11 +23,18 @@ def against_truth(df: DataFrame, east: str, north: str, deviation: str, **improv
     return df.withColumns({name: column_or(df, other) - F.col(deviation) for name, other in improvements.items()})
 
 
-def apply_rule_based_correction(df: DataFrame, networks: Networks | None = None, max_snap_m: float = MAX_SNAP_M) -> DataFrame:
-    """Snap to the nearer network, to the carriageway on ties; null where there is neither."""
+def apply_rule_based_correction(df: DataFrame, networks: Networks | None = None, max_snap_m: float = MAX_SNAP_M, project_root: str | None = None) -> DataFrame:
+    """Snap to the nearer network, to the carriageway on ties; null where there is neither.
+
+    Where map context is missing it is worked out from ``networks`` or, without these, from those under ``project_root``.
+    """
     if not set(_CONTEXT) <= set(df.columns):
+        if networks is None and project_root is None:
+            raise KeyError("map context is missing: give networks or project_root")
         if networks is None:
-            raise KeyError("map context is missing: give networks")
+            from driftline.sources.networks import load_all_networks  # which needs the operators
+
+            networks = load_all_networks(df.sparkSession, project_root)
         df = add_map_context_features(df, networks, max_snap_m=max_snap_m)
     car, ped = F.col("nearest_car_distance_m"), F.col("nearest_ped_distance_m")
     car_wins = car.isNotNull() & (ped.isNull() | (car <= ped))

@@ -17,11 +17,11 @@ from driftline.functions.projection import to_wgs84
 MAX_SNAP_M, MAX_SEARCH_M, BUILDING_SEARCH_M, HMM_RADIUS_M, HMM_K = 100.0, 500.0, 200.0, 100.0, 5
 # Attribute columns of a snap, and where they come from in order of preference: fixed values.
 ATTRIBUTES = {
-    "toid": ("toid",),
+    "toid": ("toid",),  # names are matched without case
     "network_kind": ("network_kind",),
-    "road_name": ("road_name", "street_name"),
-    "road_class": ("road_class", "road_classification"),
-    "form_of_way": ("form_of_way",),
+    "road_name": ("road_name", "road_name_alt", "street_name", "pathname", "name"),
+    "road_class": ("road_class", "road_classification", "roadclassi", "roadclas_1", "fclass"),
+    "form_of_way": ("form_of_way", "formofway", "formofway_"),
     "city": ("city",),
 }
 
@@ -40,9 +40,9 @@ def _by_cell(layer: DataFrame, item: Column, reach: float, size: float) -> DataF
 def line_index(network: DataFrame, reach: float) -> DataFrame:
     """Edges by cell: (edge_ord, attributes, segments that can be nearest to a point of the cell)."""
     size = max(reach, 1.0)
-    attrs = []
+    attrs, known = [], {c.lower() for c in network.columns}
     for name, sources in ATTRIBUTES.items():
-        have = [F.col(c) for c in sources if c in network.columns]
+        have = [F.col(c) for c in sources if c in known]
         attrs.append((F.coalesce(*have) if have else F.lit(None)).cast("string").alias(name))
     segs = network.select("edge_ord", F.struct(*attrs).alias("attrs"), F.explode(segments_of(F.col("parts"))).alias("s"))
     low, high = (lambda a, b: F.least(F.col(f"s.{a}"), F.col(f"s.{b}"))), (lambda a, b: F.greatest(F.col(f"s.{a}"), F.col(f"s.{b}")))

@@ -26,6 +26,24 @@ def _r(*names: str, digits: int = 4) -> str:
     return ", ".join(f"round({n}, {digits}) as {n}" for n in names)
 
 
+def _bng(source: str) -> str:
+    """g: ord, east and north of ``source`` (ord, lat, lon): geocentric coordinates, shift, Airy ellipsoid, transverse Mercator (the published series)."""
+    rad, sec = "pi() / 180", "pi() / 648000"
+    a, b, f0, n = "6377563.396::double", "6356256.909::double", "0.9996012717::double", "((6377563.396::double - 6356256.909) / (6377563.396::double + 6356256.909))"
+    we2, ae2 = "(1 - power(6356752.314245179::double / 6378137, 2))", f"(1 - power({b} / {a}, 2))"
+    return f"""g1 as (select ord, lat * {rad} as p, lon * {rad} as l, 6378137 / sqrt(1 - {we2} * power(sin(lat * {rad}), 2)) as v from {source}),
+        g2 as (select ord, v * cos(p) * cos(l) as x, v * cos(p) * sin(l) as y, (1 - {we2}) * v * sin(p) as z from g1),
+        g3 as (select ord, -446.448 + (1 + 20.4894e-6::double) * x + 0.8421 * {sec} * y - 0.2470 * {sec} * z as x, 125.157 - 0.8421 * {sec} * x + (1 + 20.4894e-6::double) * y + 0.1502 * {sec} * z as y,
+            -542.060 + 0.2470 * {sec} * x - 0.1502 * {sec} * y + (1 + 20.4894e-6::double) * z as z from g2),
+        g4 as (select *, sqrt(x * x + y * y) as r, atan2(z * {a}, sqrt(x * x + y * y) * {b}) as th from g3),
+        g5 as (select ord, atan2(z + (power({a} / {b}, 2) - 1) * {b} * power(sin(th), 3), r - {ae2} * {a} * power(cos(th), 3)) as p, atan2(y, x) + 2 * {rad} as d from g4),
+        g6 as (select *, sin(p) as sp, cos(p) as cp, power(tan(p), 2) as t2, {a} * {f0} / sqrt(1 - {ae2} * power(sin(p), 2)) as nu, {a} * {f0} * (1 - {ae2}) / power(1 - {ae2} * power(sin(p), 2), 1.5) as rho, p - 49 * {rad} as dp, p + 49 * {rad} as s from g5),
+        g7 as (select *, nu / rho - 1 as h, {b} * {f0} * ((1 + {n} + 1.25 * power({n}, 2) + 1.25 * power({n}, 3)) * dp - (3 * {n} + 3 * power({n}, 2) + 2.625 * power({n}, 3)) * sin(dp) * cos(s)
+            + 1.875 * (power({n}, 2) + power({n}, 3)) * sin(2 * dp) * cos(2 * s) - 35::double / 24 * power({n}, 3) * sin(3 * dp) * cos(3 * s)) as m from g6),
+        g as (select ord, 400000 + nu * cp * d + nu / 6 * power(cp, 3) * (nu / rho - t2) * power(d, 3) + nu / 120 * power(cp, 5) * (5 - 18 * t2 + t2 * t2 + 14 * h - 58 * t2 * h) * power(d, 5) as east,
+            m - 100000 + nu / 2 * sp * cp * d * d + nu / 24 * sp * power(cp, 3) * (5 - t2 + 9 * h) * power(d, 4) + nu / 720 * sp * power(cp, 5) * (61 - 58 * t2 + t2 * t2) * power(d, 6) as north from g7)"""
+
+
 _BOXES = ", ".join(f"{f}({c}) as {c}_{f}" for c in ("lat", "lon", "east", "north") for f in ("min", "max"))
 _BOX_NAMES = [f"{c}_{f}" for c in ("lat", "lon", "east", "north") for f in ("min", "max")]
 _SUMMARY = f"select volunteer, session_id, count(*) as n_points, min(us) as start_time_us, max(us) as end_time_us, (max(us) - min(us)) / 1e6::double as duration_s, {_BOXES} from {{}} group by 1, 2"
@@ -150,6 +168,7 @@ ORACLE_SQL = {
     "deviation_summary": f"""{MATCHED} select volunteer, glh_layer, count(*) as n_total, count(*) filter (where matched) as n_matched, round(count(*) filter (where matched) / count(*), 4) as match_rate,
         round(avg(case when matched then deviation_m end), 4) as mean_m, {_QUANTILES}, round(max(case when matched then deviation_m end), 4) as max_m from m group by 1, 2""",
     # there and back is the identity to the sixth decimal
+    "bng_forward": f"{BASE}, {_bng('t')} select ord, round(east, 3) as east, round(north, 3) as north from g",
     "bng_roundtrip": f"{BASE} select ord, round(lat, 6) as lat, round(lon, 6) as lon from t",
     "bng_distance": f"{BASE} select ord, round(sqrt(power(east - 325500, 2) + power(north - 673500, 2)), 4) as distance_m from t",
     "parse_latlng": f"{BASE} select ord, case when ord % 5 in (0, 1, 2) then lat end as lat, case when ord % 5 in (0, 1, 2) then lon end as lon from t",

@@ -253,10 +253,11 @@ def osm_classify(spark, d):
 @query
 def union_dedupe_network(spark, d):
     s = fx.table(spark, d, "supplier")
-    a = s.select((F.col("s_suppkey") % 20).cast("string").alias("toid"), F.col("s_name").alias("road_name"), F.col("s_suppkey").cast("long").alias("k")).orderBy("k")
-    b = s.select(F.concat(F.lit("osm_"), (F.col("s_suppkey") % 7).cast("string")).alias("toid"), F.col("s_suppkey").cast("long").alias("k"), F.lit("x").alias("city")).orderBy("k")
-    c = s.select((F.col("s_suppkey") % 30).cast("string").alias("toid"), F.col("s_suppkey").cast("long").alias("k")).orderBy("k")
-    return network_source.combine([a.coalesce(1), b.coalesce(1), c.coalesce(1)]).select("toid", "road_name", "city", "k")
+    by = F.struct(F.lit("supplier").alias("file"), F.lit(0).cast("long").alias("split"), F.col("s_suppkey").cast("long").alias("row")).alias("record")
+    a = s.select((F.col("s_suppkey") % 20).cast("string").alias("toid"), F.col("s_name").alias("road_name"), F.col("s_suppkey").cast("long").alias("k"), by)
+    b = s.select(F.concat(F.lit("osm_"), (F.col("s_suppkey") % 7).cast("string")).alias("toid"), F.col("s_suppkey").cast("long").alias("k"), F.lit("x").alias("city"), by)
+    c = s.select((F.col("s_suppkey") % 30).cast("string").alias("toid"), F.col("s_suppkey").cast("long").alias("k"), by)
+    return network_source.combine([a, b, c]).select("toid", "road_name", "city", "k")
 
 
 # --- spatial

@@ -1,7 +1,8 @@
 """Road, path and building layers: readers, attribute maps, combined networks and their parquet caches.
 
 A layer is a table with ``parts``: its lines or rings as arrays of points on the grid. Layers come as parquet
-(with ``parts``), as WKT or GeoJSON text, or as shapefiles.
+(with ``parts``), as WKT or GeoJSON text, or as shapefiles. ``record`` is the place of a feature in its layer (file, offset of
+the split, row), which orders features alike however files are split.
 """
 
 from __future__ import annotations
@@ -61,9 +62,9 @@ def read_features(spark: SparkSession, root: str, name: str) -> DataFrame | None
     """
     base = f"{root.rstrip('/')}/map/{name}"
     for suffix, read in (
-        (".parquet", lambda p: spark.read.parquet(p)),
+        (".parquet", lambda p: spark.read.parquet(p).withColumn("record", _record(F.col("_metadata.row_index")))),
         (".geojsonl", lambda p: _geojson(spark, p)),
-        (".csv", lambda p: spark.read.option("header", True).csv(p).withColumn("parts", parts_of_wkt(F.col("wkt"))).drop("wkt")),
+        (".csv", lambda p: spark.read.option("header", True).csv(p).withColumns({"record": _record(), "parts": parts_of_wkt(F.col("wkt"))}).drop("wkt")),
         (".shp", lambda p: read_shapefile(spark, p.removesuffix(".shp"))),
     ):
         try:
@@ -76,22 +77,28 @@ def read_features(spark: SparkSession, root: str, name: str) -> DataFrame | None
     return None
 
 
+def _record(row: Column | None = None) -> Column:
+    """File, offset of the split and row: rows of a split come in order, so this is the order of the file however it is split."""
+    at = F.lit(0).cast("long") if row is not None else F.col("_metadata.file_block_start")
+    return F.struct(F.col("_metadata.file_path").alias("file"), at.alias("split"), (F.monotonically_increasing_id() if row is None else row).alias("row"))
+
+
 def _geojson(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     names = sorted({k for r in lines.select(F.explode(F.json_object_keys(F.get_json_object("value", "$.properties"))).alias("k")).distinct().collect() for k in [r["k"]]})
-    return lines.select(*[F.get_json_object("value", f"$.properties.{k}").alias(k) for k in names], parts_of_geojson(F.get_json_object("value", "$.geometry")).alias("parts"))
+    return lines.select(*[F.get_json_object("value", f"$.properties.{k}").alias(k) for k in names], _record().alias("record"), parts_of_geojson(F.get_json_object("value", "$.geometry")).alias("parts"))
 
 
 def _on_grid(layer: DataFrame, default_crs: str) -> DataFrame:
     """Parts on the grid: what is in degrees (by its crs, else the default) is reprojected."""
-    layer = layer.withColumn("_row", F.monotonically_increasing_id()).withColumn("_crs", F.coalesce("crs", F.lit(default_crs)))
+    layer = layer.withColumn("_crs", F.coalesce("crs", F.lit(default_crs)))
     degrees = layer.where("_crs <> '27700'")
-    return layer.where("_crs = '27700'").unionByName(reproject(degrees, "_row")).drop("_row", "_crs", "crs")
+    return layer.where("_crs = '27700'").unionByName(reproject(degrees, "record")).drop("_crs", "crs")
 
 
 def _kept(layer: DataFrame, keep: dict[str, str]) -> DataFrame:
     present = {s: d for s, d in keep.items() if s in layer.columns}
-    return layer.select(*[F.col(s).cast("string").alias(d) for s, d in present.items()], "parts")
+    return layer.select(*[F.col(s).cast("string").alias(d) for s, d in present.items()], "parts", "record")
 
 
 def _load(spark: SparkSession, root: str, name: str, keep: dict[str, str], kind: str) -> DataFrame:
@@ -127,7 +134,7 @@ def load_osm_roads_for_city(spark: SparkSession, root: str, name: str, city: str
     layer = _on_grid(layer, "4326")
     toid = [F.concat(F.lit("osm_"), F.col("osm_id").cast("string")).alias("toid")] if "osm_id" in layer.columns else []
     present = [F.col(s).cast("string").alias(d) for s, d in OSM_ROAD.items() if s in layer.columns]
-    return layer.select(*toid, *present, "network_kind", F.lit(city).alias("city"), "parts")
+    return layer.select(*toid, *present, "network_kind", F.lit(city).alias("city"), "parts", "record")
 
 
 def _osm(spark: SparkSession, root: str, kind: str) -> list[DataFrame]:
@@ -141,14 +148,18 @@ def _osm(spark: SparkSession, root: str, kind: str) -> list[DataFrame]:
 
 
 def combine(parts: list[DataFrame]) -> DataFrame:
-    """Union in the given order; of a toid the first is kept (missing toids are equal); edge_ord numbers what is left."""
-    ordered = [p.withColumn("_part", F.lit(i)).withColumn("_row", F.monotonically_increasing_id()) for i, p in enumerate(parts)]
+    """Union in the given order, each part by its ``record``; of a toid the first is kept (missing toids are equal); edge_ord rises in that order."""
+    ordered = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ordered)
     if "toid" in union.columns:
-        first = Window.partitionBy("toid").orderBy("_part", "_row")
+        first = Window.partitionBy("toid").orderBy("_part", "record")
         union = union.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    # parts and rows within them stay in order; ids need not be dense
-    return union.withColumn("edge_ord", F.col("_part").cast("long") * F.lit(1 << 53) + F.col("_row")).drop("_part", "_row")
+    return _numbered(union, "edge_ord")
+
+
+def _numbered(union: DataFrame, name: str) -> DataFrame:
+    """Numbers that rise with part and record (a distributed sort; they need not be dense)."""
+    return union.orderBy("_part", "record").withColumn(name, F.monotonically_increasing_id()).drop("_part", "record")
 
 
 def cached(spark: SparkSession, path: str | None, force_rebuild: bool, build) -> DataFrame:
@@ -182,7 +193,7 @@ def load_full_network(spark: SparkSession, root: str = ".", force_rebuild: bool
     """Both, not deduplicated across; carriageways come first."""
     def build() -> DataFrame:
         car, ped = load_carriageway_network(spark, root, force_rebuild), load_pedestrian_network(spark, root, force_rebuild)
-        shifted = ped.withColumn("edge_ord", F.col("edge_ord") + F.lit(1 << 60))
+        shifted = ped.withColumn("edge_ord", F.col("edge_ord") + F.lit(1 << 62))
         return car.unionByName(shifted, allowMissingColumns=True)
 
     return cached(spark, _cache_path(root, "full_network"), force_rebuild, build)
@@ -190,7 +201,7 @@ def load_full_network(spark: SparkSession, root: str = ".", force_rebuild: bool
 
 def load_streets(spark: SparkSession, root: str = ".", force_rebuild: bool = False) -> DataFrame:
     """Named streets, for labels only."""
-    return cached(spark, _cache_path(root, "streets"), force_rebuild, lambda: load_street(spark, root))
+    return cached(spark, _cache_path(root, "streets"), force_rebuild, lambda: load_street(spark, root).drop("record"))
 
 
 def load_all_networks(spark: SparkSession, root: str = ".", force_rebuild: bool = False) -> Networks:
@@ -205,10 +216,10 @@ def load_buildings(spark: SparkSession, root: str = ".", cache_path: str | None
             layer = read_features(spark, root, name)
             if layer is not None:
                 layer = _on_grid(layer, "4326")
-                found.append(layer.select(*[F.col(c).cast("string").alias(c) for c in BUILDING if c in layer.columns], F.lit(city).alias("city"), "parts", F.lit(len(found)).alias("_part")))
+                found.append(layer.select(*[F.col(c).cast("string").alias(c) for c in BUILDING if c in layer.columns], F.lit(city).alias("city"), "parts", "record", F.lit(len(found)).alias("_part")))
         if not found:
             raise FileNotFoundError(f"{root}/map: no building layer")
         union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
-        return union.withColumn("b_ord", F.col("_part").cast("long") * F.lit(1 << 53) + F.monotonically_increasing_id()).drop("_part")
+        return _numbered(union, "b_ord")
 
     return cached(spark, cache_path, force_rebuild, build)

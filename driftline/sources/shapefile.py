@@ -83,14 +83,15 @@ def read_shapefile(spark: SparkSession, base: str) -> DataFrame:
         for frame in frames:
             for shp, dbf in zip(frame["shp"], frame["dbf"]):
                 rows = []
-                for parts, row in zip(geometry_records(bytes(shp)), attribute_records(bytes(dbf))):
+                for number, (parts, row) in enumerate(zip(geometry_records(bytes(shp)), attribute_records(bytes(dbf)))):
                     shape = None if parts is None else [[{"x": float(x), "y": float(y)} for x, y in p] for p in parts]
-                    rows.append([*row, shape])
+                    rows.append([*row, shape, number])
                     if len(rows) == 5000:
-                        yield pd.DataFrame(rows, columns=[*names, "parts"])
+                        yield pd.DataFrame(rows, columns=[*names, "parts", "_number"])
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=[*names, "parts"])
+                    yield pd.DataFrame(rows, columns=[*names, "parts", "_number"])
 
-    schema = ", ".join([*(f"`{n}` string" for n in names), "parts array<array<struct<x: double, y: double>>>"])
-    return both.mapInPandas(run, schema).where("parts is not null").withColumn("crs", F.lit(crs).cast("string"))
+    schema = ", ".join([*(f"`{n}` string" for n in names), "parts array<array<struct<x: double, y: double>>>", "_number long"])
+    record = F.struct(F.lit(base).alias("file"), F.lit(0).cast("long").alias("split"), F.col("_number").alias("row"))
+    return both.mapInPandas(run, schema).where("parts is not null").withColumn("record", record).drop("_number").withColumn("crs", F.lit(crs).cast("string"))
