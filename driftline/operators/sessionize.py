@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import seconds_between
 
 GLH_GAP_S = 600
+#: Windows over streams hold so many seconds.
+DAY_S = 86_400
 
 
 def keys(df: DataFrame, *names: str) -> list[str]:
@@ -29,12 +33,33 @@ def _numbered(df: DataFrame, new: Column, by: list[str], within: list[Column], o
     return df.withColumn("_new", new.cast("int")).withColumn(out, F.sum("_new").over(running) - 1 + base).drop("_new")
 
 
+def _carried(df: DataFrame, days: DataFrame, by: list[str], *values: str) -> DataFrame:
+    """Join values of a table of days (by, _day) to the rows of the days; null is a day."""
+    own = days.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_day").alias("_d"), *values)
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return df.join(own, reduce(lambda x, y: x & y, same, F.col("_day").eqNullSafe(F.col("_d"))), "left").drop("_d", *[f"_by_{c}" for c in by])
+
+
 def sessionise_raw_signals(df: DataFrame, gap_seconds: float = GLH_GAP_S, time_col: str = "timestamp") -> DataFrame:
-    """Add session_id and point_id: a session starts after a gap of more than ``gap_seconds``; points without time are sessions of their own, last."""
+    """Add session_id and point_id: a session starts after a gap of more than ``gap_seconds``; points without time are sessions of their own, last.
+
+    Windows run over a user's day, so a long stream is many tasks; the last time and the sessions of the days before come
+    from two tables of days.
+    """
     by, within = keys(df), order(df, time_col)
-    gap = seconds_between(F.col(time_col), F.lag(time_col).over(Window.partitionBy(*by).orderBy(*within)))
-    new = F.coalesce(gap > gap_seconds, F.lit(True))
-    return _point_ids(_numbered(df, new, by, within, "session_id"), "session_id", time_col)
+    df = df.withColumn("_day", F.floor(F.unix_micros(time_col) / (DAY_S * 1_000_000)).cast("long"))
+    day = Window.partitionBy(*by, "_day").orderBy(*within)
+    before = Window.partitionBy(*by).orderBy(F.col("_day").asc_nulls_last())
+    ends = df.where("_day is not null").groupBy(*by, "_day").agg(F.max(time_col).alias("_end"))
+    ends = ends.withColumn("_last", F.lag("_end").over(before))
+    df = _carried(df, ends, by, "_last")
+    gap = seconds_between(F.col(time_col), F.coalesce(F.lag(time_col).over(day), "_last"))
+    df = df.withColumn("_new", F.coalesce(gap > gap_seconds, F.lit(True)).cast("int"))
+    df = df.withColumn("_own", F.sum("_new").over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = df.groupBy(*by, "_day").agg(F.sum("_new").alias("_n"))
+    counts = counts.withColumn("_earlier", F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    df = _carried(df, counts, by, "_earlier").withColumn("session_id", F.coalesce("_earlier", F.lit(0)) + F.col("_own") - 1)
+    return _point_ids(df.drop("_day", "_last", "_new", "_own", "_earlier"), "session_id", time_col)
 
 
 def sessionise_track_segments(df: DataFrame, max_gap_seconds: float | None = None, base_session_id: int = 0, files: str = "source_file") -> DataFrame:
