@@ -124,7 +124,7 @@ def path_ends(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     for payload in payloads:
         ids, counts, gap, before, after, h = unpack(payload)
         counts = counts.astype(np.int64)
-        parts.append((np.repeat(unpack_ids(ids), counts), _positions(counts, gap.astype(np.int64)), before.astype(np.uint16), after.astype(np.uint16), bytes_hash(h, HASH_BYTES)))
+        parts.append((np.repeat(unpack_ids(ids), counts), _positions(counts, gap.astype(np.int64)), before.astype(np.uint16), after.astype(np.uint16), bytes_hash(h, len(h) // len(gap))))
     doc, pos, before, after, h = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(h)
     same = h[order[1:]] == h[order[:-1]]
