@@ -26,6 +26,8 @@ CATEGORICAL = ("glh_source", "glh_layer", "corrected_glh_network_kind", "nearest
 TREES, CLASSIFIER_TREES, DEPTH, STEP, SHARE, MIN_LEAF, SEED = 600, 400, 5, 0.04, 0.9, 6, 42
 #: Stands for a missing number, beside an indicator: MLlib trees know no missing values.
 MISSING = -1.0e6
+#: Training rows in a partition: boosting runs some jobs for each level of each tree, so small tables are few tasks.
+ROWS_EACH = 50_000
 
 
 @dataclass
@@ -89,13 +91,25 @@ def vectors(prepared: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
 
 
+def _few_parts(data: DataFrame) -> DataFrame:
+    """The training rows, kept in memory, in partitions of about ``ROWS_EACH``; boosting reads them many times."""
+    held = data.persist()
+    parts = max(1, -(-held.count() // ROWS_EACH))
+    if parts >= held.rdd.getNumPartitions():
+        return held
+    few = held.coalesce(parts).persist()
+    few.count()
+    held.unpersist()
+    return few
+
+
 def _settings(trees: int | None, default: int, params: dict) -> dict:
     return dict(featuresCol="features", labelCol="y", maxIter=trees or default, maxDepth=DEPTH, stepSize=STEP, subsamplingRate=SHARE, featureSubsetStrategy=str(SHARE), minInstancesPerNode=MIN_LEAF, seed=SEED, maxBins=256, checkpointInterval=10) | params
 
 
 def train(prepared: DataFrame, features: list[str], levels: dict[str, list[str]], trees: int | None = None, **params) -> Bundle:
     """Boosted regression trees on log1p(deviation_m)."""
-    data = vectors(prepared, features).select("y", "features").persist()  # boosting reads it many times
+    data = _few_parts(vectors(prepared, features).select("y", "features"))
     model = GBTRegressor(**_settings(trees, TREES, params)).fit(data)
     data.unpersist()
     return Bundle(PipelineModel([model]), features, levels)
@@ -105,7 +119,8 @@ def train_classifier(prepared: DataFrame, features: list[str], levels: dict[str,
     """Boosted classification trees; positives weigh as much as negatives where there are both."""
     n, pos = prepared.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     weight = (n - pos) / pos if 0 < pos < n else 1.0
-    data = vectors(prepared, features).withColumn("w", F.when(F.col("y") > 0, F.lit(weight)).otherwise(F.lit(1.0))).select("y", "w", "features").persist()
+    data = vectors(prepared, features).withColumn("w", F.when(F.col("y") > 0, F.lit(weight)).otherwise(F.lit(1.0)))
+    data = _few_parts(data.select("y", "w", "features"))
     model = GBTClassifier(weightCol="w", **_settings(trees, CLASSIFIER_TREES, params)).fit(data)
     data.unpersist()
     return Bundle(PipelineModel([model]), features, levels, pos / max(n, 1))
