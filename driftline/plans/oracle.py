@@ -209,6 +209,8 @@ ORACLE_SQL = {
     "log_target": f"{MATCHED} select {_POINT}, round(ln(1 + deviation_m), 6) as y from m where matched",
     "one_hot": f"""{CORRECTED} select volunteer, us as timestamp_us, glh_layer, (glh_layer = 'raw_signals')::bigint as glh_layer__raw_signals, (glh_layer = 'timeline_paths')::bigint as glh_layer__timeline_paths,
         coalesce(glh_source = 'click', false)::bigint as glh_source__click, coalesce(glh_source = 'view', false)::bigint as glh_source__view, 0::bigint as inside_building, {_r("corrected_snap_distance_m")} from c""",
+    "feature_levels": f"""{CORRECTED}, l as (select distinct 'glh_source' as feature, glh_source as level from c union select distinct 'glh_layer', glh_layer from c union select distinct 'corrected_glh_network_kind', corrected_glh_network_kind from c)
+        select feature, row_number() over (partition by feature order by level) - 1 as place, level from l where level is not null""",
     "snap_helped_label": f"{CORRECTED} select {_POINT}, (corrected_deviation_m < deviation_m)::bigint as snap_helped from c where matched and corrected_deviation_m < deviation_m is not null",
     "glh_raw_signals": f"{_EXPORT} select who as volunteer, us as timestamp_us, lat, lon, {_r('accuracy_m')}, source from e where ord % 3 = 0",
     "glh_activity_records": f"{_EXPORT} select who as volunteer, us as timestamp_us, case when ord % 10 > 5 then 'STILL' else source end as top_activity, round(greatest(0.5::double, ord % 10 / 10), 4) as confidence, 2::bigint as n_candidates from e where ord % 3 = 1",

@@ -78,3 +78,73 @@ def test_export_first_tie_wins(spark):
     df = spark.createDataFrame([("v", "f", doc)], "volunteer string, source_file string, d string").withColumn("doc", F.parse_json("d")).drop("d")
     row = glh.parse_raw_signals(df)[1].first()
     assert (row.top_activity, row.n_candidates) == ("WALKING", 2)
+
+
+def test_viterbi_finds_the_best_path():
+    """Against every path of small sequences without gaps."""
+    import itertools
+    import math
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(1, 6))
+        observed = rng.uniform(0, 60, (n, 2))
+        steps = []
+        for x, y in observed:
+            spots = np.array([x, y]) + rng.uniform(-25, 25, (int(rng.integers(1, 4)), 2))
+            steps.append([(math.dist((x, y), s), float(s[0]), float(s[1])) for s in spots])
+
+        def score(path):
+            total = sum(-(steps[t][i][0] ** 2) / (2 * hmm.SIGMA_Z**2) for t, i in enumerate(path))
+            for t in range(1, n):
+                a, b = steps[t - 1][path[t - 1]], steps[t][path[t]]
+                total -= abs(math.dist(a[1:], b[1:]) - math.dist(observed[t - 1], observed[t])) / hmm.BETA
+            return total
+
+        best = max(itertools.product(*(range(len(s)) for s in steps)), key=score)
+        for mode in ("parity", "segmented"):
+            chosen, totals = hmm.viterbi(steps, observed, mode=mode)
+            assert tuple(chosen) == best and totals[-1] == pytest.approx(score(best))
+
+
+def test_hmm_on_two_streets(spark):
+    """A walk along one street that once comes nearer to the other stays on its street."""
+    parts = lambda x: f"array(array(named_struct('x', {x}D, 'y', 0D), named_struct('x', {x}D, 'y', 200D)))"
+    network = spark.sql(f"select 0L as edge_ord, 'a' as toid, {parts(0.0)} as parts union all select 1L, 'b', {parts(14.0)}")
+    rows = [(i, "v", 7, T0 + timedelta(seconds=10 * i), 8.0 if i == 3 else 2.0, 10.0 * i, 0.0, 10.0 * i) for i in range(7)]
+    rows += [(9, "v", 8, T0, 2.0, 5.0, 0.0, 5.0), (10, None, 7, T0, 2.0, 5.0, 0.0, 5.0)]  # a session of one; no volunteer
+    df = spark.createDataFrame(rows, "ord long, volunteer string, glh_session_id long, timestamp timestamp, glh_east double, glh_north double, gpx_east double, gpx_north double").withColumn("deviation_m", F.abs(F.col("glh_east")))
+    out = {r.ord: r for r in hmm.apply_hmm(df, network).collect()}
+    assert len(out) == 9 and all(out[i].hmm_pred_glh_east == 0.0 and out[i].hmm_pred_glh_north == 10.0 * i for i in range(7))
+    assert out[3].hmm_perp_distance_m == 8.0 and out[3].hmm_pred_deviation_m == 0.0 and out[3].hmm_improvement_vs_raw_m == 8.0
+    assert out[9].hmm_pred_glh_east is None and out[10].hmm_pred_glh_east is None
+
+
+def test_streams_over_days(spark):
+    """Sessions and as-of neighbours that lie days apart, against plain Python; a day is a window, so what is carried over counts."""
+    rng = np.random.default_rng(8)
+    seconds = sorted(int(s) for s in rng.choice(6 * 86_400, 300, replace=False) if not 90_000 < s < 260_000)
+    seconds += [seconds[-1]] * 2  # ties, by ordinal
+    df = stream(spark, seconds).repartition(7)
+    got = [(r.ord, r.session_id, r.point_id) for r in sessionize.sessionise_raw_signals(df, 3000).orderBy("ord").collect()]
+    expected, session, point = [], -1, 0
+    for i, s in enumerate(seconds):
+        new = i == 0 or s - seconds[i - 1] > 3000
+        session, point = (session + 1, 0) if new else (session, point + 1)
+        expected.append((i, session, point))
+    assert got == expected
+    late = spark.createDataFrame([(900, "v", None, 0.0, 0.0, 0.0, 0.0), (901, "v", None, 0.0, 0.0, 0.0, 0.0), (902, "w", T0, 0.0, 0.0, 0.0, 0.0)], df.schema)
+    more = {r.ord: (r.session_id, r.point_id) for r in sessionize.sessionise_raw_signals(df.union(late), 3000).where("ord >= 900").collect()}
+    assert more == {900: (session + 1, 0), 901: (session + 2, 0), 902: (0, 0)}  # without time: sessions of their own, last
+
+    truth = df.withColumn("lat", F.unix_seconds("timestamp").cast("double"))
+    asked = [int(s) for s in rng.choice(7 * 86_400, 200, replace=False)] + seconds[:5]
+    targets = stream(spark, asked).select("volunteer", "timestamp", F.col("ord").alias("k"))
+    found = {r.k: r for r in matching.interpolate_asof(truth, targets, ["volunteer"]).collect()}
+    times = sorted(set(seconds))
+    for k, s in enumerate(asked):
+        before, after = [t for t in seconds if t <= s], [t for t in times if t > s]
+        row = found[k]
+        assert row.in_bracket == bool(before and after)
+        if row.in_bracket:
+            assert (row.bracket_dt_prev_s, row.bracket_dt_next_s) == (s - before[-1], after[0] - s)
