@@ -96,7 +96,26 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_byte_bpe, op2_language_
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _SHINGLES = "list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)"
 
+_OWN_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": f"""
+        with recursive d as (select doc_id, {_SHINGLES} as h from (select doc_id, {_OWN_WORDS.format(_LOWER)} as w from documents)),
+             s as (select doc_id, len(h) as n, unnest(h) as x from d),
+             o as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as shared from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+             l as (select a, b from o where 100 * shared >= 75 * (na + nb - shared)),
+             e as (select a, b from l union select b, a from l),
+             r as (select doc_id, doc_id as top from d union select e.b, r.top from r join e on e.a = r.doc_id where r.top < e.b)
+        select d.doc_id, len(d.h)::bigint as n_shingles, c.component_id from d join (select doc_id, min(top) as component_id from r group by 1) c on c.doc_id = d.doc_id""",
+    "op7_substring_dedup": f"""
+        with d as (select doc_id, {_OWN_WORDS.format("coalesce(text, '')")} as w from documents),
+             g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from d, unnest(range(1, len(w) - 11)) as t(i)),
+             f as (select s, min(doc_id) as owner from g group by s),
+             r as (select distinct doc_id, i + j as p from g join f on g.s = f.s, unnest(range(13)) as t(j) where doc_id > owner),
+             o as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+             k as (select o.doc_id, string_agg(o.word, ' ' order by o.p) as kept, count(*) as n from o left join r on r.doc_id = o.doc_id and r.p = o.p where r.p is null group by 1)
+        select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from d left join k on k.doc_id = d.doc_id""",
     "op9_exact_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
