@@ -14,6 +14,7 @@ single bytes are tokens; a long piece costs time and memory in proportion to its
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._arrow import append_columns
+from ._arrow import append_columns, kept
 
 #: Encodings of short pieces are memoised by each Python worker, up to about so many bytes, twice over: a full memo is kept while the next one fills.
 MEMO_BYTES, MEMO_LENGTH = 24 << 20, 48
@@ -184,44 +185,74 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
+def _encode_batch(path: str, pattern: str) -> Callable[[pa.Array], pa.Array]:
+    """From texts to lists of ids."""
+    bpe = encoder(path, pattern)
+    kept["bpe"] = encoder.cache_clear
+
+    def work(texts: pa.Array) -> pa.Array:
+        offsets, parts = [0], [np.zeros(0, np.int32)]
+        for value in texts.to_pylist():
+            ids = bpe.encode(value) if value else []
+            parts.append(np.array(ids, dtype=np.int32))
+            offsets.append(offsets[-1] + len(ids))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))
+
+    return work
+
+
+def _decode_batch(path: str) -> Callable[[pa.Array], pa.Array]:
+    """From lists of ids to bytes."""
+    table, starts, sizes = token_bytes(path)
+
+    def work(lists: pa.Array) -> pa.Array:
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy().cumsum()
+        parts = []
+        for a in range(0, len(flat), DECODE_STEP):
+            some = flat[a : a + DECODE_STEP]
+            size = sizes[some]
+            stop = np.cumsum(size)
+            parts.append(table[np.repeat(starts[some] - stop + size, size) + np.arange(stop[-1])])
+        data = np.concatenate(parts) if parts else table[:0]
+        bounds = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], ends])]
+        return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+    return work
+
+
+_IDS, _BYTES = T.ArrayType(T.IntegerType()), T.BinaryType()
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add the token ids of ``text`` as ``array<int>``; each match of ``pattern`` is encoded separately."""
 
     def make():
-        bpe = encoder(path, pattern)
+        ids_of = _encode_batch(path, pattern)
+        return lambda batch: [ids_of(batch.column(batch.schema.get_field_index(text)))]
 
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            offsets, parts = [0], []
-            for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                ids = bpe.encode(value) if value else []
-                parts.append(np.array(ids, dtype=np.int32))
-                offsets.append(offsets[-1] + len(ids))
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts)))]
-
-        return work
-
-    return append_columns(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], make, keep)
+    return append_columns(df, [T.StructField(out, _IDS)], make, keep, "bpe")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "bytes", keep: list[str] | None = None) -> DataFrame:
     """Add the bytes that the token ids stand for; null ids count as none."""
 
     def make():
-        table, starts, sizes = token_bytes(path)
+        bytes_of = _decode_batch(path)
+        return lambda batch: [bytes_of(batch.column(batch.schema.get_field_index(ids)))]
+
+    return append_columns(df, [T.StructField(out, _BYTES)], make, keep, "bpe")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and then ``decode``, in one Python worker for each task where two in a row would take two."""
+
+    def make():
+        ids_of, bytes_of = _encode_batch(path, pattern), _decode_batch(path)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy().cumsum()
-            parts = []
-            for a in range(0, len(flat), DECODE_STEP):
-                some = flat[a : a + DECODE_STEP]
-                size = sizes[some]
-                stop = np.cumsum(size)
-                parts.append(table[np.repeat(starts[some] - stop + size, size) + np.arange(stop[-1])])
-            data = np.concatenate(parts) if parts else table[:0]
-            bounds = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], ends])]
-            return [pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())]
+            lists = ids_of(batch.column(batch.schema.get_field_index(text)))
+            return [lists, bytes_of(lists)]
 
         return work
 
-    return append_columns(df, [T.StructField(out, T.BinaryType())], make, keep)
+    return append_columns(df, [T.StructField(ids, _IDS), T.StructField(out, _BYTES)], make, keep, "bpe")

@@ -22,8 +22,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     path = public_tokenizers.path(RANKS)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
-    both = bpe.decode(ids, path, out="decoded")
+    both = bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

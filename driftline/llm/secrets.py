@@ -54,7 +54,9 @@ _INDENTED = re.compile(r"(?:\n(?P<margin>[ \t]*+)(?P<rest>[^\n]*+))")
 # How sensitive a part of a name is: fixed values.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "key": 0.5, "private": 0.5, "api": 0.4, "access": 0.3, "bearer": 0.9, "signature": 0.5, "pass": 0.8}
 _LINES = re.compile(r"[ \t]*+\n\s*+")
-_HINT = re.compile("|".join(sorted(SENSITIVE)), re.IGNORECASE)
+# A part of a name that counts: where none is in a text, no name in it does.
+_PARTS = "|".join(sorted(SENSITIVE, key=len, reverse=True))
+_HINT = re.compile(rf"(?<![a-z])(?:{_PARTS})(?![a-z])|(?:{'|'.join(w.capitalize() for w in _PARTS.split('|'))}|{_PARTS.upper()})(?![a-z])")
 HARMLESS = frozenset({"example", "changeme", "placeholder", "none", "null", "true", "false", "undefined", "test", "dummy", "sample", "redacted"})
 
 
@@ -62,7 +64,7 @@ HARMLESS = frozenset({"example", "changeme", "placeholder", "none", "null", "tru
 def name_score(name: str) -> float:
     """Sensitivity of a name by its parts (snake, kebab, dotted or camel case)."""
     parts = re.findall(r"[a-z0-9]+|[A-Z]+(?![a-z])|[A-Z][a-z0-9]*", name)
-    return min(1.0, sum({SENSITIVE.get(p.lower(), 0.0) for p in parts} | {SENSITIVE.get("".join(parts).lower(), 0.0)}))
+    return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in {p.lower() for p in parts}))
 
 
 def literal_score(value: str) -> float:
@@ -169,7 +171,8 @@ def _value(text: str, at: int, margin: int) -> tuple[tuple[int, int] | None, boo
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of literals that reach a sensitive name."""
-    if not _HINT.search(text):  # no name of the text can be sensitive
+    low = text.lower()
+    if not any(word in low for word in SENSITIVE) or not _HINT.search(text):  # no name of the text can be sensitive
         return []
     literals: dict[tuple[int, int], float] = {}
     scopes, at, margin = Scopes(), 0, 0
