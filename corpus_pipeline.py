@@ -72,8 +72,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, checked by decoding them."""
     path = public_tokenizers.path(queries.RANKS)
     names = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    ids = bpe.encode(docs.select(*names, "text"), path, public_tokenizers.PATTERN)
-    both = bpe.decode(ids, path, out="decoded")
+    both = bpe.round_trip(docs.select(*names, "text"), path, public_tokenizers.PATTERN)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.select(*names, F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
 
