@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def shares(counts: np.ndarray, totals: np.ndarray, kept: int) -> np.ndarray:
 
 def _vectors(terms_of: np.ndarray, entries: pa.Table, side: str, groups: int) -> np.ndarray:
     """Dense counts of the groups of a block over a chunk: ids by searchsorted, sums by bincount."""
-    own = entries.filter(pa.compute.equal(entries["side"], side))
+    own = entries.filter(pc.equal(entries["side"], side))
     ids = np.searchsorted(terms_of, np.array(own["term"].to_pylist(), dtype=object))
     place = own["place"].to_numpy() * len(terms_of) + ids
     return np.bincount(place, own["n"].to_numpy(), groups * len(terms_of)).astype(np.int64).reshape(groups, -1)
