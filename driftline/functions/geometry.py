@@ -29,9 +29,14 @@ def nearest_point(segments: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(segments, lambda s: nearest_on(s, x, y)))
 
 
+def crosses(s: Column, x: Column, y: Column) -> Column:
+    """Whether a ray from the point towards rising x crosses a segment."""
+    return ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])
+
+
 def crossings(segments: Column, x: Column, y: Column) -> Column:
     """How many segments a ray towards rising x crosses."""
-    return F.size(F.filter(segments, lambda s: ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])))
+    return F.size(F.filter(segments, lambda s: crosses(s, x, y)))
 
 
 def polygon_distance(segments: Column, x: Column, y: Column) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from driftline.functions.projection import grid_distance, to_wgs84
 from driftline.functions.scalars import clip, column_or
+from driftline.tables import cut
 
 from .features import Networks, add_map_context_features
+from .quantiles import percentiles, with_groups
 from .spatial import MAX_SNAP_M
 
 _CONTEXT = ("nearest_car_distance_m", "nearest_ped_distance_m", "nearest_car_east", "nearest_car_north", "nearest_ped_east", "nearest_ped_north")
@@ -74,18 +76,16 @@ def classifier_correction(df: DataFrame, probability: str = "snap_helps_prob", t
 
 
 def correction_summary(df: DataFrame) -> DataFrame:
-    """Before and after for each volunteer and layer (null is a group)."""
+    """Before and after for each volunteer and layer (null is a group); medians and percentiles are exact, by ranks."""
+    by = ["volunteer", "glh_layer"]
     matched = F.coalesce(F.col("matched"), F.lit(False))
     fixed = matched & F.col("corrected_deviation_m").isNotNull()
-    raw, cor, gain = F.when(matched, F.col("deviation_m")), F.when(fixed, F.col("corrected_deviation_m")), F.when(fixed, F.col("improvement_m"))
-    half = lambda c: F.percentile(c, 0.5)
-    out = df.groupBy("volunteer", "glh_layer").agg(
-        F.count_if(matched).alias("n_matched"), F.count_if(fixed).alias("n_correctable"),
-        half(raw).alias("raw_median_m"), F.avg(raw).alias("raw_mean_m"), F.percentile(raw, 0.95).alias("raw_p95_m"),
-        half(cor).alias("cor_median_m"), F.avg(cor).alias("cor_mean_m"), F.percentile(cor, 0.95).alias("cor_p95_m"),
-        half(gain).alias("improvement_median_m"), F.avg(gain).alias("improvement_mean_m"),
+    df = cut(df.select(*by, matched.alias("matched"), fixed.alias("fixed"), F.when(matched, F.col("deviation_m")).alias("raw"), F.when(fixed, F.col("corrected_deviation_m")).alias("cor"), F.when(fixed, F.col("improvement_m")).alias("gain")), "corrections")
+    raw, cor, gain = F.col("raw"), F.col("cor"), F.col("gain")
+    ranks = percentiles(df, by, {"raw_median_m": (raw, 0.5), "raw_p95_m": (raw, 0.95), "cor_median_m": (cor, 0.5), "cor_p95_m": (cor, 0.95), "improvement_median_m": (gain, 0.5)})
+    out = df.groupBy(*by).agg(
+        F.count_if("matched").alias("n_matched"), F.count_if("fixed").alias("n_correctable"), F.avg(raw).alias("raw_mean_m"), F.avg(cor).alias("cor_mean_m"), F.avg(gain).alias("improvement_mean_m"),
         (100.0 * F.try_divide(F.count_if(gain > 0), F.count(gain))).alias("pct_improved"),
     )
-    out = out.withColumn("snap_rate", F.try_divide(F.col("n_correctable"), F.col("n_matched")))
-    first = ["volunteer", "glh_layer", "n_matched", "n_correctable", "snap_rate"]
-    return out.select(*first, *[c for c in out.columns if c not in first])
+    out = with_groups(out, ranks, by).withColumn("snap_rate", F.try_divide(F.col("n_correctable"), F.col("n_matched")))
+    return out.select(*by, "n_matched", "n_correctable", "snap_rate", "raw_median_m", "raw_mean_m", "raw_p95_m", "cor_median_m", "cor_mean_m", "cor_p95_m", "improvement_median_m", "improvement_mean_m", "pct_improved")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import MAX_SNAP_M, building_features, snap_points_to_network
+from .spatial import MAX_SNAP_M, building_tables, coordinates, join_back, snap_columns, snaps
 
 
 @dataclass
@@ -34,14 +34,18 @@ def coordinate_columns(df: DataFrame) -> tuple[str, str]:
 
 
 def add_map_context_features(df: DataFrame, networks: Networks, buildings: DataFrame | None = None, east_col: str | None = None, north_col: str | None = None, max_snap_m: float = MAX_SNAP_M, building_radii_m: tuple[float, ...] = (50, 100), compat_attrs: bool = False) -> DataFrame:
-    """nearest_car_*, nearest_ped_*, dist_to_nearest_network_m, bearings and, with buildings, their features."""
+    """nearest_car_*, nearest_ped_*, dist_to_nearest_network_m, bearings and, with buildings, their features: all for the different coordinates, joined back once."""
     if east_col is None or north_col is None:
         east_col, north_col = coordinate_columns(df)
+    at = coordinates(df, east_col, north_col)
+    found, out = building_tables(at, buildings, building_radii_m) if buildings is not None else ([], {})
     for kind, network in (("car", networks.carriageway), ("ped", networks.pedestrian)):
-        df = snap_points_to_network(df, network, east_col, north_col, max_snap_m, f"nearest_{kind}_", add_wgs84=False, compat_attrs=compat_attrs)
-    out = {"dist_to_nearest_network_m": F.least("nearest_car_distance_m", "nearest_ped_distance_m")}
+        found.append(snaps(at, network, max_snap_m).withColumnRenamed("best", f"_{kind}"))
+    df = join_back(df, found, east_col, north_col)
+    for kind in ("car", "ped"):
+        df = df.withColumns(snap_columns(F.col(f"_{kind}"), f"nearest_{kind}_", compat_attrs))
+    out |= {"dist_to_nearest_network_m": F.least("nearest_car_distance_m", "nearest_ped_distance_m")}
     for kind in ("car", "ped"):
         sin, cos = bearing(F.col(east_col), F.col(north_col), F.col(f"nearest_{kind}_east"), F.col(f"nearest_{kind}_north"))
         out |= {f"bearing_to_nearest_{kind}_sin": sin, f"bearing_to_nearest_{kind}_cos": cos}
-    df = df.withColumns(out)
-    return df if buildings is None else building_features(df, buildings, building_radii_m, east_col, north_col)
+    return df.withColumns(out).drop("_car", "_ped", "_first")

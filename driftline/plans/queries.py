@@ -48,8 +48,7 @@ def flagship(spark: SparkSession, d: str, volunteers: int = 1, gap: float = 2160
     """Sessionise, clean, match and summarise."""
     kept, _ = cleaning.clean_glh(glh(spark, d, volunteers, gap), max_accuracy_m=500.0, max_speed_kmh=speed, min_session_points=min_points)
     truth, _ = cleaning.clean_gpx(gpx(spark, d, volunteers, gap), max_speed_kmh=speed, min_session_points=min_points)
-    layers = {name: kept.where(F.col("glh_layer") == name) for name in ("raw_signals", "timeline_paths")}
-    return matching.deviation_summary(matching.match_volunteer(truth, layers, bracket))
+    return matching.deviation_summary(matching.match_layers(truth, kept, bracket))
 
 
 # --- sessions
@@ -178,9 +177,7 @@ _MATCHED = ("glh_east", "glh_north", "gpx_lat", "gpx_lon", "gpx_east", "gpx_nort
 
 
 def _matched(spark, d, volunteers=2):
-    g = glh(spark, d, volunteers)
-    layers = {name: g.where(F.col("glh_layer") == name) for name in ("raw_signals", "timeline_paths")}
-    return matching.match_volunteer(gpx(spark, d, volunteers), layers, fx.BRACKET_S)
+    return matching.match_layers(gpx(spark, d, volunteers), glh(spark, d, volunteers), fx.BRACKET_S)
 
 
 @query
@@ -334,7 +331,7 @@ def map_features(spark, d):
 
 
 def _corrected(spark, d, volunteers=2):
-    return correct.apply_rule_based_correction(_matched(spark, d, volunteers), fx.networks(spark, d), max_snap_m=15.0)
+    return correct.apply_rule_based_correction(cut(_matched(spark, d, volunteers), "matched"), fx.networks(spark, d), max_snap_m=15.0)
 
 
 @query
@@ -391,7 +388,7 @@ def feature_levels(spark, d):
 
 @query
 def hmm_match(spark, d):
-    m = hmm.apply_hmm(_matched(spark, d), fx.network(spark, d))
+    m = hmm.apply_hmm(cut(_matched(spark, d), "matched"), fx.network(spark, d))
     return m.select("volunteer", "glh_layer", "glh_session_id", us("timestamp"), *r4("hmm_pred_glh_east", "hmm_pred_glh_north", "hmm_perp_distance_m", "hmm_pred_deviation_m", "hmm_improvement_vs_raw_m"))
 
 
