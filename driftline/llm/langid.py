@@ -8,7 +8,7 @@ so the code length of a text is a sum over its bytes. The language with the shor
 score is its posterior under equal priors.
 
 Learning reads at most about ``SAMPLE`` labelled documents of each language (drawn by a hash of the
-text, copies counting once), counted by Spark jobs; the model is bounded by that sample and is broadcast. Code lengths of every
+text, copies counting once; one at least), counted by Spark jobs; the model is bounded by that sample and is broadcast. Code lengths of every
 context and byte known to any language are laid out in one hash table for each order, so texts are scored
 by vectorised look-ups, every byte of every text.
 
@@ -34,6 +34,7 @@ from ._arrow import append_columns, map_batches
 ORDER = 3
 #: Documents of each language that are learnt from, about.
 SAMPLE = 1500
+_DRAWS = 1_000_000
 GROUP_BYTES = 1 << 20
 _PAD = b"\n" * ORDER
 _LETTER = regex.compile(r"\p{L}")
@@ -63,12 +64,13 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     """Count context trees on about ``sample`` documents of each language. Rows without text or label are left out."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # copies of a text count once and are drawn alike, or the sample would have no bound, or nothing in it; each label has one at least
+    named = rows.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("draw", F.pmod("h", F.lit(_DRAWS)))
+    sizes = {r["lang"]: r for r in named.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()}
     if not sizes:
         return Model([], {})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
-    # a text and its copies are drawn alike, so copies count once or the sample would have no bound
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).distinct()
+    below = F.create_map(*[F.lit(x) for k, r in sizes.items() for x in (k, max(int(_DRAWS * min(1.0, sample / r["n"])), r["least"] + 1))])
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(_DRAWS)) < below[F.col("lang")]).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}

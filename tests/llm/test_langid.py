@@ -78,3 +78,23 @@ def test_ties_and_rows(spark, model):
     assert sorted((r.doc_id or 0, r.lang_pred) for r in out) == [(0, "de"), (1, "und"), (1, "und"), (2, "de"), (2, "en")]
     assert all(0.0 <= r.score <= 1.0 for r in out)
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_repeated_texts_do_not_starve_a_label(spark, monkeypatch):
+    """A label of few texts in many copies is learnt from all of them; one of many texts from one at least."""
+    seen = []
+    real = langid.map_batches
+
+    def spy(df, *a, **k):
+        if df.columns == ["text", "lang"]:
+            seen.append({(r.text, r.lang) for r in df.collect()})
+        return real(df, *a, **k)
+
+    monkeypatch.setattr(langid, "map_batches", spy)
+    few = [text("de", 8) + f" {i}" for i in range(30)]
+    rows = [(few[i % 30], "de") for i in range(6000)] + [(f"{text('en', 4)} {i}", "en") for i in range(200)]
+    langid.learn(spark.createDataFrame(rows, "text string, lang string").repartition(4), sample=40)
+    drawn = seen[0]
+    assert {t for t, k in drawn if k == "de"} == set(few) and 0 < len([1 for _, k in drawn if k == "en"]) < 120
+    langid.learn(spark.createDataFrame(rows, "text string, lang string"), sample=0)
+    assert {k for _, k in seen[1]} == {"de", "en"} and len(seen[1]) < 6
