@@ -1,7 +1,8 @@
 """Vectorised 64-bit hashes of words, word n-grams and byte strings, for whole groups of texts at once.
 
-A byte string hashes to a polynomial of random byte values modulo 2**64, read off cumulative sums, then
-mixed; a word n-gram to a polynomial of its words' hashes.
+A word hashes to the sum of random values of its bytes and their places in it, read off cumulative sums, then mixed:
+no structure of its bytes makes two words alike. A word n-gram hashes to a polynomial of its words' hashes, a string of bytes (for
+search only) to a polynomial of random byte values modulo 2**64.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _power: list[np.ndarray] = []
 
 
+#: Words that are hashed at once.
+PLACED_WORDS = 1 << 17
 #: Powers that a worker keeps; longer texts make their own.
 KEPT_POWERS = 1 << 21
 
@@ -87,9 +90,19 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
 
     def hashes(self) -> np.ndarray:
-        c, inverse = prefix_sums(self.data), powers(len(self.data))[1]
-        h = (c[self.ends] - c[self.starts]) * inverse[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * _M)
+        lengths = self.ends - self.starts
+        total = np.zeros(len(lengths), dtype=np.uint64)
+        for a in range(0, len(lengths), PLACED_WORDS):
+            some = slice(a, a + PLACED_WORDS)
+            own, first, last = lengths[some], int(self.starts[a]), int(self.ends[some][-1])
+            start = self.starts[some] - first
+            place = np.arange(last - first)
+            place -= np.repeat(start, np.diff(start, append=last - first))  # spaces go on from the word before and are not summed
+            value = mix(self.data[first:last].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + _M)
+            c = np.zeros(last - first + 1, dtype=np.uint64)
+            np.cumsum(value, out=c[1:])
+            total[some] = c[start + own] - c[start]
+        return mix(total + lengths.astype(np.uint64) * _M)
 
 
 def ngrams(words: np.ndarray, k: int) -> np.ndarray:

@@ -63,3 +63,32 @@ def test_chain_and_common_passage(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_copies(df).collect())
     assert got == sorted((i, *v) for i, v in brute.components(docs).items())
+
+
+def thue_morse(n, first):
+    out = first
+    while len(out) < n:
+        out += "".join("ab"[c == "a"] for c in out)
+    return out[:n]
+
+
+def test_words_of_a_structure_that_defeats_polynomials(spark):
+    """Words whose bytes are complementary Thue-Morse sequences are alike to any polynomial modulo a power of two."""
+    from driftline.llm._hashing import Words
+
+    for n in (1024, 2048, 4096):
+        pair = [thue_morse(n, c).encode() for c in "ab"]
+        a, b = Words(pair).hashes()
+        assert a != b
+        rows = [(2 * n, f"{pair[0].decode()} one two three four"), (2 * n + 1, f"{pair[1].decode()} one two three four")]
+        got = {r.doc_id: r.component_id for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {2 * n: 2 * n, 2 * n + 1: 2 * n + 1}
+
+
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    from driftline.llm import _hashing
+
+    texts = [b"aa bb  aa", b"", b"cc aa " * 50, b"x" * 5000]
+    before = _hashing.Words(texts).hashes().tolist()
+    monkeypatch.setattr(_hashing, "PLACED_WORDS", 3)
+    assert _hashing.Words(texts).hashes().tolist() == before and before[0] == before[2] != before[1]
