@@ -1,4 +1,4 @@
-"""Deviation regressor and snap classifier: features, training, scoring, importance, persistence, on MLlib trees."""
+"""Deviation regressor and snap classifier: features, training, scoring, importance, cross-validation, persistence."""
 
 from __future__ import annotations
 
@@ -6,35 +6,30 @@ import json
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import column_or, from_log, log_deviation
+from driftline.tables import cut
 
+from . import boosting
 from .correct import classifier_correction, hybrid_correction
 
 # Features in their fixed order: fixed values.
 NUMERIC = ("glh_accuracy_m", "glh_speed_mps", "nearest_car_distance_m", "nearest_ped_distance_m", "dist_to_nearest_network_m", "nearest_building_m", "n_buildings_50m", "building_area_50m_m2", "n_buildings_100m", "building_area_100m_m2", "corrected_snap_distance_m", "bearing_to_nearest_car_sin", "bearing_to_nearest_car_cos", "bearing_to_nearest_ped_sin", "bearing_to_nearest_ped_cos")
 BOOLEAN = ("inside_building",)
 CATEGORICAL = ("glh_source", "glh_layer", "corrected_glh_network_kind", "nearest_car_road_class", "nearest_car_form_of_way")
-# Training defaults: fixed values.
-TREES, CLASSIFIER_TREES, DEPTH, STEP, SHARE, MIN_LEAF, SEED = 600, 400, 5, 0.04, 0.9, 6, 42
-#: Stands for a missing number, beside an indicator: MLlib trees know no missing values.
-MISSING = -1.0e6
-#: Training rows in a partition: boosting runs some jobs for each level of each tree, so small tables are few tasks.
-ROWS_EACH = 50_000
+# Training defaults: fixed values; depth, step, shares of rows and columns, least weight and L2 are those of ``Settings``.
+TREES, CLASSIFIER_TREES = 600, 400
+#: More groups than this are validated by hashed groups of groups.
+FOLDS = 32
 
 
 @dataclass
 class Bundle:
     """A fitted model with what is needed to score: feature columns and levels, and the rate of positives of a classifier."""
 
-    model: PipelineModel
+    model: boosting.Forest
     feature_columns: list[str]
     categorical_levels: dict[str, list[str]] = field(default_factory=dict)
     pos_rate: float | None = None
@@ -80,54 +75,29 @@ def prepare_classifier_features(df: DataFrame, categorical_levels: dict[str, lis
     return feature_table(df.where("y is not null") if snap_required else df, categorical_levels)
 
 
-def vectors(prepared: DataFrame, features: list[str]) -> DataFrame:
-    """``features`` as a vector: a missing number becomes a sentinel with an indicator beside it; absent columns are 0."""
+def _columns(prepared: DataFrame, features: list[str]) -> dict[str, Column]:
+    """The features of a prepared frame; columns that it lacks are 0."""
     have = set(prepared.schema["f"].dataType.fieldNames())
-    at = lambda c: F.col("f").getField(c) if c in have else F.lit(0.0)
-    filled = [F.coalesce(at(c), F.lit(MISSING)).alias(f"x{i}") for i, c in enumerate(features)]
-    missing = [at(c).isNull().cast("double").alias(f"m{i}") for i, c in enumerate(features) if c in NUMERIC]
-    names = [f"x{i}" for i in range(len(features))] + [f"m{i}" for i, c in enumerate(features) if c in NUMERIC]
-    wide = prepared.select(*[c for c in prepared.columns if c != "f"], *filled, *missing)
-    return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
-
-
-def _few_parts(data: DataFrame) -> DataFrame:
-    """The training rows, kept in memory, in partitions of about ``ROWS_EACH``; boosting reads them many times."""
-    held = data.persist()
-    parts = max(1, -(-held.count() // ROWS_EACH))
-    if parts >= held.rdd.getNumPartitions():
-        return held
-    few = held.coalesce(parts).persist()
-    few.count()
-    held.unpersist()
-    return few
-
-
-def _settings(trees: int | None, default: int, params: dict) -> dict:
-    return dict(featuresCol="features", labelCol="y", maxIter=trees or default, maxDepth=DEPTH, stepSize=STEP, subsamplingRate=SHARE, featureSubsetStrategy=str(SHARE), minInstancesPerNode=MIN_LEAF, seed=SEED, maxBins=256, checkpointInterval=10) | params
+    return {c: F.col("f").getField(c) if c in have else F.lit(0.0) for c in features}
 
 
 def train(prepared: DataFrame, features: list[str], levels: dict[str, list[str]], trees: int | None = None, **params) -> Bundle:
     """Boosted regression trees on log1p(deviation_m)."""
-    data = _few_parts(vectors(prepared, features).select("y", "features"))
-    model = GBTRegressor(**_settings(trees, TREES, params)).fit(data)
-    data.unpersist()
-    return Bundle(PipelineModel([model]), features, levels)
+    settings = boosting.Settings(trees=trees or TREES, **params)
+    return Bundle(boosting.train(prepared, _columns(prepared, features), F.col("y"), settings)[0], features, levels)
 
 
 def train_classifier(prepared: DataFrame, features: list[str], levels: dict[str, list[str]], trees: int | None = None, **params) -> Bundle:
     """Boosted classification trees; positives weigh as much as negatives where there are both."""
     n, pos = prepared.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     weight = (n - pos) / pos if 0 < pos < n else 1.0
-    data = vectors(prepared, features).withColumn("w", F.when(F.col("y") > 0, F.lit(weight)).otherwise(F.lit(1.0)))
-    data = _few_parts(data.select("y", "w", "features"))
-    model = GBTClassifier(weightCol="w", **_settings(trees, CLASSIFIER_TREES, params)).fit(data)
-    data.unpersist()
-    return Bundle(PipelineModel([model]), features, levels, pos / max(n, 1))
+    settings = boosting.Settings(trees=trees or CLASSIFIER_TREES, logistic=True, **params)
+    forest = boosting.train(prepared, _columns(prepared, features), F.col("y"), settings, F.when(F.col("y") > 0, F.lit(weight)).otherwise(F.lit(1.0)))[0]
+    return Bundle(forest, features, levels, pos / max(n, 1))
 
 
 def _scored(bundle: Bundle, prepared: DataFrame) -> DataFrame:
-    return bundle.model.transform(vectors(prepared, bundle.feature_columns))
+    return boosting.predict(prepared, [bundle.model], _columns(prepared, bundle.feature_columns), "prediction")
 
 
 def predict_deviation(bundle: Bundle, df: DataFrame, out: str = "predicted_deviation_m") -> DataFrame:
@@ -147,7 +117,7 @@ def predict_ensemble(bundles: list[Bundle], df: DataFrame, out: str = "predicted
 def predict_snap_probability(bundle: Bundle, df: DataFrame, out: str = "snap_helps_prob") -> DataFrame:
     """Probability that the snap helps, for every row."""
     prepared, _, _ = prepare_classifier_features(df, bundle.categorical_levels, snap_required=False, matched_only=False)
-    return _scored(bundle, prepared).withColumn(out, vector_to_array("probability")[1]).select(*[c for c in df.columns if c != out], out)
+    return _scored(bundle, prepared).withColumn(out, 1 / (1 + F.exp(-F.col("prediction")))).select(*[c for c in df.columns if c != out], out)
 
 
 def apply_model(bundle: Bundle, df: DataFrame, alpha_floor: float = 0.0, alpha_ceil: float = 1.0) -> DataFrame:
@@ -159,28 +129,57 @@ def apply_classifier_corrector(bundle: Bundle, df: DataFrame, threshold: float =
 
 
 def feature_importance(bundle: Bundle, spark: SparkSession, top_n: int | None = 20) -> DataFrame:
-    """feature, gain (normalised; 0 if unused) and rank from 1, highest first; missing-value indicators count with their feature."""
-    gains = bundle.model.stages[-1].featureImportances.toArray().tolist()
-    n = len(bundle.feature_columns)
-    total = dict(zip(bundle.feature_columns, gains[:n]))
-    for c, g in zip([c for c in bundle.feature_columns if c in NUMERIC], gains[n:]):
-        total[c] += g
-    rows = spark.createDataFrame(list(total.items()), "feature string, gain double")
+    """feature, gain (the mean over its splits; 0 if unused) and rank from 1, highest first, by name on ties."""
+    rows = spark.createDataFrame(list(bundle.model.gains().items()), "feature string, gain double")
     ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gain"), "feature")).cast("long"))
     return ranked.where(F.col("rank") <= top_n) if top_n else ranked
 
 
+def _folds(prepared: DataFrame, by: str, folds: int) -> tuple[DataFrame, int]:
+    """The frame with ``fold``: one for each group, in order of name, or, of more than ``folds`` groups, hashed groups of groups. Null is a group."""
+    name = F.col(by).cast("string")
+    groups = [r[0] for r in prepared.select(name.alias("g")).distinct().orderBy(F.col("g").asc_nulls_first()).limit(folds + 1).collect()]
+    if len(groups) > folds:
+        return prepared.withColumn("fold", F.pmod(F.xxhash64(name), F.lit(folds)).cast("int")), folds
+    fold = F.coalesce(*[F.when(name.eqNullSafe(F.lit(g)), F.lit(i)) for i, g in enumerate(groups)], F.lit(None)) if groups else F.lit(None)
+    return prepared.withColumn("fold", fold.cast("int")), len(groups)
+
+
+def leave_one_out(df: DataFrame, by: str = "volunteer", trees: int | None = None, folds: int = FOLDS, out: str = "predicted_deviation_m", **params) -> tuple[DataFrame, list[Bundle]]:
+    """Matched rows with ``fold`` and the prediction of the model trained without their group, and the models.
+
+    All folds are trained in the same jobs over one stored table. Levels are those of all rows: one that a fold does not have is never
+    split on there. A single group is trained on nothing and predicted as no deviation.
+    """
+    prepared, features, levels = prepare_features(df)
+    prepared, n = _folds(prepared, by, folds)
+    prepared = cut(prepared, "validation")
+    columns = _columns(prepared, features)
+    forests = boosting.train(prepared, columns, F.col("y"), boosting.Settings(trees=trees or TREES, **params), fold=F.col("fold"), held_out=list(range(n))) if n else []
+    scored = boosting.predict(prepared, forests, columns, "prediction", F.col("fold"))
+    return scored.withColumn(out, from_log(F.col("prediction"))).drop("prediction", "f"), [Bundle(f, features, levels) for f in forests]
+
+
+def calibration(scored: DataFrame, predicted: str = "predicted_deviation_m") -> DataFrame:
+    """For each fold, and for all (fold null): rows, rows trained on, and Pearson's r of log1p of prediction and deviation."""
+    r = F.corr(F.log1p(predicted), F.log1p("deviation_m")).alias("r_log")
+    each = scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), r)
+    each = each.withColumn("n_train", F.sum("n_test").over(Window.partitionBy()) - F.col("n_test"))  # a row for each fold
+    whole = scored.agg(F.count(F.lit(1)).alias("n_test"), r)
+    return each.select("fold", "n_test", "n_train", "r_log").unionByName(whole.select(F.lit(None).cast("int").alias("fold"), "n_test", F.lit(0).cast("long").alias("n_train"), "r_log"))
+
+
 def save_bundle(bundle: Bundle, prefix: str) -> None:
-    """``<prefix>_model`` by MLlib and ``<prefix>_meta`` as a one-line JSON text, on any file system Spark can write."""
+    """``<prefix>_model`` and ``<prefix>_meta``, each a one-line JSON text, on any file system Spark can write."""
     spark = SparkSession.getActiveSession()
-    bundle.model.write().overwrite().save(f"{prefix}_model")
     meta = {"feature_columns": bundle.feature_columns, "categorical_levels": bundle.categorical_levels}
     if bundle.pos_rate is not None:
         meta["pos_rate"] = bundle.pos_rate
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{prefix}_meta")
+    for name, value in (("model", bundle.model.to_dict()), ("meta", meta)):
+        spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{prefix}_{name}")
 
 
 def load_bundle(prefix: str) -> Bundle:
     spark = SparkSession.getActiveSession()
-    meta = json.loads(spark.read.text(f"{prefix}_meta").first()[0])
-    return Bundle(PipelineModel.load(f"{prefix}_model"), meta["feature_columns"], meta["categorical_levels"], meta.get("pos_rate"))
+    model, meta = (json.loads(spark.read.text(f"{prefix}_{name}").first()[0]) for name in ("model", "meta"))
+    return Bundle(boosting.Forest.from_dict(model), meta["feature_columns"], meta["categorical_levels"], meta.get("pos_rate"))

@@ -417,6 +417,13 @@ def feature_importance(spark, d):
     return models.feature_importance(_regressor(spark, d)[0], spark, top_n=None).select("rank", "feature", *r4("gain"))
 
 
+@query
+def leave_one_out(spark, d):
+    """Cross-validation by volunteer, of eight."""
+    scored, _ = models.leave_one_out(cut(_corrected(spark, d, 8), "corrected"))
+    return models.calibration(cut(scored, "scored")).select("fold", "n_test", "n_train", *r4("r_log"))
+
+
 # --- exports
 
 

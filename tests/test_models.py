@@ -1,21 +1,145 @@
-"""The model queries train as many trees as the operators' defaults."""
+"""Boosting against the same trees in plain NumPy, and the model queries' tree counts."""
 
+import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from driftline.operators import models
+from driftline.operators import boosting, models
 from driftline.plans import queries
 
+N = 5
+
+
+def plain(x, y, w, keys, settings, edges):
+    """One forest, a node at a time, over raw values; gradients in the same fixed point."""
+    mean = (w * y).sum() / w.sum()
+    base = float(np.log(mean / (1 - mean))) if settings.logistic else float(mean)
+    margin, gains = np.full(len(y), base), {}
+    for t in range(settings.trees):
+        g, h = boosting.gradients(margin, y, w, settings.logistic)
+        rows = np.flatnonzero(boosting.drawn(keys, t, settings))
+        columns = boosting.columns_of(t, x.shape[1], settings)
+        value = np.zeros(len(y))
+
+        def grow(train, every, depth):
+            gs, hs = g[train].sum() / boosting.UNIT, h[train].sum() / boosting.UNIT
+            best = (boosting.LEAST_GAIN, None)
+            for f in columns if depth < settings.depth else ():
+                v = x[train, f]
+                for threshold in [*edges[f], np.inf]:
+                    for missing_left in (False, True):
+                        left = np.where(np.isnan(v), missing_left, v <= threshold)
+                        lg, lh = g[train[left]].sum() / boosting.UNIT, h[train[left]].sum() / boosting.UNIT
+                        rg, rh = gs - lg, hs - lh
+                        if lh >= settings.min_weight and rh >= settings.min_weight:
+                            gain = lg**2 / (lh + settings.l2) + rg**2 / (rh + settings.l2) - gs**2 / (hs + settings.l2)
+                            if gain > best[0]:
+                                best = (gain, (f, threshold, missing_left))
+            if best[1] is None:
+                value[every] = -settings.step * gs / (hs + settings.l2)
+                return
+            f, threshold, missing_left = best[1]
+            gains.setdefault(f, []).append(best[0])
+            side = lambda r: np.where(np.isnan(x[r, f]), missing_left, x[r, f] <= threshold)
+            grow(train[side(train)], every[side(every)], depth + 1)
+            grow(train[~side(train)], every[~side(every)], depth + 1)
+
+        grow(rows, np.arange(len(y)), 0)
+        margin = margin + value
+    return margin, {f: float(np.mean(v)) for f, v in gains.items()}
+
+
+def table(spark, n=400, seed=1, binary=False):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(0, 1, n), rng.integers(0, 4, n), rng.uniform(0, 9, n).round(1), rng.integers(0, 2, n), rng.normal(0, 1, n)])
+    x[rng.random(n) < 0.3, 0] = np.nan
+    x[rng.random(n) < 0.1, 2] = np.nan
+    y = np.where(np.isnan(x[:, 0]), 2.0, x[:, 0]) + 0.5 * x[:, 1] + rng.normal(0, 0.3, n)
+    y = (y > np.median(y)).astype(float) if binary else y
+    rows = [(*[None if np.isnan(v) else float(v) for v in r], float(t), i % 3) for i, (r, t) in enumerate(zip(x, y))]
+    return x, y, spark.createDataFrame(rows, "a double, b double, c double, d double, e double, y double, fold int").repartition(4)
+
+
+def columns():
+    return {c: F.col(c) for c in "abcde"}
+
+
+def keys_of(df, x, y):
+    """The hash of each row, in the order of x."""
+    own = df.select(*[F.col(c).cast("double") for c in "abcde"], "y", F.xxhash64(*[F.col(c) for c in "abcde"], "y", F.lit(-1)).alias("key")).collect()
+    found = {(tuple(None if v is None else v for v in r[:5]), r[5]): r[6] for r in own}
+    return np.array([found[tuple(None if np.isnan(v) else float(v) for v in r), float(t)] for r, t in zip(x, y)], dtype=np.int64).view(np.uint64)
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_against_numpy(spark, monkeypatch, binary):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 64)  # many blocks
+    monkeypatch.setattr(boosting, "RECENT", 4)
+    x, y, df = table(spark, binary=binary)
+    settings = boosting.Settings(trees=12, depth=3, step=0.3, logistic=binary, min_weight=3.0)
+    weight = F.when(F.col("y") > 0, F.lit(1.5)).otherwise(F.lit(1.0)) if binary else None
+    forest = boosting.train(df, columns(), F.col("y"), settings, weight)[0]
+    edges = boosting.edges_of(df.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate("abcde")]), list("abcde"))
+    margin, gains = plain(x, y, np.where(y > 0, 1.5, 1.0) if binary else np.ones(len(y)), keys_of(df, x, y), settings, edges)
+    assert forest.margin(x) == pytest.approx(margin, abs=1e-9)
+    assert forest.gains() == pytest.approx({c: gains.get(i, 0.0) for i, c in enumerate("abcde")}, rel=1e-9)
+    scored = boosting.predict(df, [forest], columns(), "m").select("a", "m").collect()
+    assert sorted(r.m for r in scored) == pytest.approx(sorted(margin), abs=1e-9)
+    again = boosting.train(df.repartition(1), columns(), F.col("y"), settings, weight)[0]
+    assert again.to_dict() == forest.to_dict() == boosting.Forest.from_dict(forest.to_dict()).to_dict()  # however rows are dealt out
+
+
+def test_folds_in_the_same_jobs(spark):
+    """Models trained together equal models trained on the other folds' rows alone."""
+    _, _, df = table(spark, 300, 5)
+    settings = boosting.Settings(trees=4, depth=2, step=0.3, rows=1.0, columns=1.0)
+    forests = boosting.train(df, columns(), F.col("y"), settings, fold=F.col("fold"), held_out=[0, 1, None, 7])
+    assert forests[2].to_dict() == forests[3].to_dict()
+    for k in (0, 1):
+        own = np.array([[np.nan if v is None else v for v in r] for r in df.where(f"fold <> {k}").select(*"abcde", "y").collect()])
+        x, y = own[:, :5], own[:, 5]
+        assert forests[k].base == pytest.approx(y.mean())
+        residual = ((forests[k].margin(x) - y) ** 2).mean()
+        assert residual < 0.9 * y.var()
+    assert forests[0].to_dict() != forests[1].to_dict()
+
+
+def test_empty_and_constant(spark):
+    _, _, df = table(spark, 30, 2)
+    assert boosting.train(df.limit(0), columns(), F.col("y"), boosting.Settings(trees=3))[0].trees == []
+    flat = boosting.train(df.withColumn("y", F.lit(2.0)), columns(), F.col("y"), boosting.Settings(trees=2))[0]
+    assert flat.base == 2.0 and not any((t.feature >= 0).any() for t in flat.trees)
+
+
+def test_leave_one_out(spark):
+    """Folds and r, by SQL over the predictions."""
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i % 4}" if i % 9 else None, "raw", True, float(abs(rng.normal(5, 4))), float(rng.uniform(1, 90)), float(rng.uniform(0, 20))) for i in range(400)]
+    df = spark.createDataFrame(rows, "volunteer string, glh_layer string, matched boolean, deviation_m double, glh_accuracy_m double, glh_speed_mps double").withColumn("deviation_m", F.col("deviation_m") + F.col("glh_accuracy_m") / 4)
+    scored, bundles = models.leave_one_out(df, trees=20, step=0.2)
+    assert len(bundles) == 5
+    own = scored.select("volunteer", "fold", "deviation_m", "predicted_deviation_m").toPandas()
+    assert own.groupby("volunteer", dropna=False)["fold"].nunique().eq(1).all() and len(own) == 400
+    found = {r.fold: r for r in models.calibration(scored).collect()}
+    sql = "select fold, count(*) as n, 400 - count(*) as rest, corr(ln(1 + predicted_deviation_m), ln(1 + deviation_m)) as r from own group by 1 union all select null, count(*), 0, corr(ln(1 + predicted_deviation_m), ln(1 + deviation_m)) from own"
+    for fold, n, rest, r in duckdb.sql(sql).fetchall():
+        assert (found[fold].n_test, found[fold].n_train) == (n, rest) and found[fold].r_log == pytest.approx(r, abs=1e-9)
+    assert found[None].r_log > 0.5
+    grouped, hashed = models.leave_one_out(df, trees=1, folds=3)
+    assert len(hashed) == 3 and {r.fold for r in grouped.select("fold").distinct().collect()} <= {0, 1, 2}
+
 
 class Asked(Exception):
     pass
 
 
-@pytest.mark.parametrize("name, kind, trees", [("gbt_predict", "GBTRegressor", 600), ("classifier_predict", "GBTClassifier", 400), ("feature_importance", "GBTRegressor", 600)])
-def test_trees(spark, monkeypatch, name, kind, trees):
-    def asked(**settings):
-        raise Asked(settings["maxIter"])
+@pytest.mark.parametrize("name, trees", [("gbt_predict", 600), ("classifier_predict", 400), ("feature_importance", 600), ("leave_one_out", 600)])
+def test_trees(spark, monkeypatch, name, trees):
+    def asked(prepared, columns, y, settings, *a, **k):
+        raise Asked(settings.trees)
 
-    monkeypatch.setattr(models, kind, asked)
-    monkeypatch.setattr(queries, "_corrected", lambda spark, d: spark.createDataFrame([(True, 5.0, 4.0, "a"), (True, 3.0, 9.0, "b")], "matched boolean, deviation_m double, corrected_deviation_m double, glh_layer string"))
+    monkeypatch.setattr(boosting, "train", asked)
+    monkeypatch.setattr(queries, "_corrected", lambda spark, d, v=2: spark.createDataFrame([("v", True, 5.0, 4.0, "a"), ("v", True, 3.0, 9.0, "b")], "volunteer string, matched boolean, deviation_m double, corrected_deviation_m double, glh_layer string"))
     with pytest.raises(Asked, match=f"^{trees}$"):
         queries.QUERIES[name](spark, "unused")
