@@ -1,7 +1,8 @@
 """Location-history exports (JSON of either family) as tables.
 
-Files are read whole, one row each, and become a VARIANT; every layer is a projection of it, so a job that
-needs one layer parses only that. segment_id is the place of a segment in its file.
+Files are read in byte ranges: ``json_elements`` finds the signals and segments of a file, whatever its size, by many tasks, and writes them
+once; each becomes a VARIANT, and every layer is a projection of these. Documents that are VARIANTs already (``read_exports``, one row
+each) go through the same projections. segment_id is the place of a segment in its file.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 
 from driftline import schemas
 from driftline.functions.scalars import add_latlng, first_truthy, offset_time, safe_float, to_utc
+from driftline.tables import cut
+
+from .json_elements import read_elements
 
 
 @dataclass
@@ -73,7 +77,11 @@ def _finish(df: DataFrame, schema: T.StructType) -> DataFrame:
 def parse_raw_signals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Positions, activity records and wifi scans; an entry is the first of these that it holds. A list has none."""
     signals = F.when(F.schema_of_variant("doc").startswith("OBJECT"), _at(F.col("doc"), "$.rawSignals"))
-    entry = _items(docs, signals, "e")
+    return signal_layers(_items(docs, signals, "e"))
+
+
+def signal_layers(entry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The layers of entries (volunteer, source_file, e)."""
     e = F.col("e")
     position, activity, wifi = (_at(e, f"$.{k}") for k in ("position", "activityRecord", "wifiScan"))
     kind = F.when(position.isNotNull(), F.lit("p")).when(activity.isNotNull(), F.lit("a")).when(wifi.isNotNull(), F.lit("w"))
@@ -99,7 +107,11 @@ def parse_segments(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
     """Timeline paths, visits, activity endpoints and other segments; a segment is the first of these that it holds."""
     doc = F.col("doc")
     segments = F.when(F.schema_of_variant(doc).startswith("ARRAY"), doc).otherwise(_at(doc, "$.semanticSegments"))
-    seg = _items(docs, segments, "s")
+    return segment_layers(_items(docs, segments, "s"))
+
+
+def segment_layers(seg: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The layers of segments (volunteer, source_file, s, s_pos)."""
     s = F.col("s")
     kind = F.when(_there(s, "$.timelinePath"), F.lit("path")).when(_there(s, "$.visit"), F.lit("visit")).when(_there(s, "$.activity"), F.lit("activity")).otherwise(F.lit("other"))
     seg = seg.withColumns({"kind": kind, "segment_id": F.col("s_pos").cast("long"), "start": _text(s, "$.startTime"), "end": _text(s, "$.endTime")})
@@ -134,11 +146,18 @@ def parse_segments(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
 
 
 def parse_glh(spark: SparkSession, path: str | list[str], volunteer: str | None = None) -> Export:
-    """All layers of one or many export files."""
-    docs = read_exports(spark, path, volunteer)
-    checked = docs.withColumn("family", detect_family(F.col("doc")))
-    valid = checked.where("family is not null").drop("family")  # raises on what is neither family
-    return Export(checked.select("volunteer", "source_file", "family"), *parse_raw_signals(valid), *parse_segments(valid))
+    """All layers of one or many export files; a file that is neither family, or ends early, is an error."""
+    elements, files = read_elements(spark, path)
+    in_path = lambda i: F.url_decode(F.element_at(F.split(F.col("file"), "/"), i))
+    who = [(F.lit(volunteer) if volunteer is not None else in_path(-2)).cast("string").alias("volunteer"), in_path(-1).alias("source_file")]
+    family = F.when(F.col("root") == "[", "B").when((F.col("root") == "{") & F.arrays_overlap("keys", F.array(F.lit("rawSignals"), F.lit("semanticSegments"))), "A")
+    files = cut(files.select(*who, family.alias("family"), (F.col("final") <= 0).alias("complete")), "export-files")
+    if bad := files.where("family is null or not complete").first():
+        raise ValueError(f"not a location-history export{'' if bad['complete'] else ', or one that ends early'}: {bad['source_file']}")
+    elements = cut(elements.where(F.col("key").isin("rawSignals", "semanticSegments", "")).select(*who, "key", "pos", "text"), "export-elements")
+    signals = elements.where("key = 'rawSignals'").select("volunteer", "source_file", F.parse_json("text").alias("e"))
+    segments = elements.where("key <> 'rawSignals'").select("volunteer", "source_file", F.parse_json("text").alias("s"), F.col("pos").alias("s_pos"))
+    return Export(files.select("volunteer", "source_file", "family"), *signal_layers(signals), *segment_layers(segments))
 
 
 def parse_volunteer_folder(spark: SparkSession, folder: str, volunteer: str | None = None) -> Export | None:
