@@ -206,6 +206,25 @@ ORACLE_SQL = {
         y as (select *, case when take then corrected_glh_east else glh_east end as pe, case when take then corrected_glh_north else glh_north end as pn from x),
         z as (select *, sqrt(power(pe - gpx_east, 2) + power(pn - gpx_north, 2)) as dev from y)
         select {_POINT}, take as snap_helps_decision, round(pe, 4) as clf_glh_east, round(pn, 4) as clf_glh_north, round(dev, 4) as clf_deviation_m, round(deviation_m - dev, 4) as clf_improvement_vs_raw_m, round(corrected_deviation_m - dev, 4) as clf_improvement_vs_stage2_m from z""",
+    # every point has a street within 100 m here, so no chain is broken; sums in the order of the operator's
+    "hmm_match": f"""{MATCHED.replace("with ", "with recursive ", 1)}, {_NET}, {_near("n", "m", "glh_east", 100, key="us")},
+        vo as (select volunteer, glh_session_id, us, list({{'d': d, 'x': x}} order by rn) as c from n join m using (us) where n.rn <= 5 group by all),
+        vs as (select *, row_number() over w as t, count(*) over (partition by volunteer, glh_session_id) as steps, glh_east - lag(glh_east) over w as de, glh_north - lag(glh_north) over w as dn,
+              673000 + (glh_north - 673000) * 1000 / 1000000 * 1000 as y from m join vo using (volunteer, glh_session_id, us) window w as (partition by volunteer, glh_session_id order by us)),
+        vf as (select volunteer, glh_session_id, t, c, y, list_transform(c, lambda a: -(a.d * a.d) / 200) as score, list_transform(c, lambda a: 0::bigint) as back from vs where t = 1
+              union all
+              select volunteer, glh_session_id, t, c, y, list_transform(p, lambda a: a.best) as score, list_transform(p, lambda a: a.i) as back from (
+                select *, list_transform(q, lambda a: {{'best': list_max(a.path) - a.d * a.d / 200, 'i': list_position(a.path, list_max(a.path))::bigint}}) as p from (
+                  select s.volunteer, s.glh_session_id, s.t, s.c, s.y, list_transform(s.c, lambda b: {{'d': b.d, 'path': list_transform(range(1, len(f.c) + 1), lambda i:
+                    f.score[i] - abs(sqrt((f.c[i].x - b.x) * (f.c[i].x - b.x) + (f.y - s.y) * (f.y - s.y)) - sqrt(s.de * s.de + s.dn * s.dn)) / 50)}}) as q
+                  from vf f join vs s on f.volunteer = s.volunteer and f.glh_session_id = s.glh_session_id and s.t = f.t + 1))),
+        vr as (select f.volunteer, f.glh_session_id, f.t, list_position(score, list_max(score))::bigint as k from vf f join vs s using (volunteer, glh_session_id, t) where s.t = s.steps and s.steps > 1
+              union all
+              select f.volunteer, f.glh_session_id, r.t - 1, f.back[r.k] from vr r join vf f on f.volunteer = r.volunteer and f.glh_session_id = r.glh_session_id and f.t = r.t where r.t > 1),
+        vh as (select s.*, s.c[r.k] as e from vs s left join vr r using (volunteer, glh_session_id, t)),
+        vv as (select *, sqrt(power(e.x - gpx_east, 2) + power(case when e is not null then glh_north end - gpx_north, 2)) as dev from vh)
+        select {_POINT.replace("glh_layer", "glh_layer, glh_session_id")}, round(e.x, 4) as hmm_pred_glh_east, round(case when e is not null then glh_north end, 4) as hmm_pred_glh_north, round(e.d, 4) as hmm_perp_distance_m,
+               round(dev, 4) as hmm_pred_deviation_m, round(deviation_m - dev, 4) as hmm_improvement_vs_raw_m from vv""",
     "log_target": f"{MATCHED} select {_POINT}, round(ln(1 + deviation_m), 6) as y from m where matched",
     "one_hot": f"""{CORRECTED} select volunteer, us as timestamp_us, glh_layer, (glh_layer = 'raw_signals')::bigint as glh_layer__raw_signals, (glh_layer = 'timeline_paths')::bigint as glh_layer__timeline_paths,
         coalesce(glh_source = 'click', false)::bigint as glh_source__click, coalesce(glh_source = 'view', false)::bigint as glh_source__view, 0::bigint as inside_building, {_r("corrected_snap_distance_m")} from c""",

@@ -107,6 +107,73 @@ def test_viterbi_finds_the_best_path():
             assert tuple(chosen) == best and totals[-1] == pytest.approx(score(best))
 
 
+def plain_viterbi(candidates, observed, sigma_z=hmm.SIGMA_Z, beta=hmm.BETA):
+    """One session, a step at a time, gaps by the rules of parity."""
+    import math
+
+    chosen, scores, back = [None] * len(candidates), [], []
+    if not candidates or not candidates[0]:
+        return chosen
+    for t, own in enumerate(candidates):
+        emit = [-(c[0] ** 2) / (2 * sigma_z**2) for c in own]
+        if t and own and candidates[t - 1]:
+            paths = [[scores[-1][i] - abs(math.dist(a[1:], b[1:]) - math.dist(observed[t], observed[t - 1])) / beta for i, a in enumerate(candidates[t - 1])] for b in own]
+            back.append([max(range(len(p)), key=p.__getitem__) for p in paths])
+            scores.append([max(p) + e for p, e in zip(paths, emit)])
+        else:
+            back.append([-1] * len(own))
+            scores.append(emit)
+    last = max(t for t, s in enumerate(scores) if s)
+    k = chosen[last] = max(range(len(scores[last])), key=scores[last].__getitem__)
+    for t in range(last, 0, -1):
+        if not candidates[t]:
+            k = -1
+        elif back[t][k] < 0:
+            k = 0
+        else:
+            k = chosen[t - 1] = back[t][k]
+    return chosen
+
+
+def test_many_sessions_at_once():
+    """Batches of sessions of all lengths, with gaps, equal the recursion for each alone; in segmented mode each run alone."""
+    rng = np.random.default_rng(12)
+    sessions = []
+    for n in (1, 2, 0, 7, 30, 3, 12, 1, 5):
+        observed = rng.uniform(0, 60, (n, 2))
+        sessions.append((observed, [[(float(np.hypot(*o)), *map(float, p + o)) for o in rng.uniform(-25, 25, (int(rng.integers(0, 4)), 2))] for p in observed]))
+    bounds = np.cumsum([0] + [len(c) for _, c in sessions])
+    counts = np.array([len(s) for _, c in sessions for s in c])
+    flat = np.array([x for _, c in sessions for s in c for x in s]).reshape(-1, 3)
+    observed = np.concatenate([o for o, _ in sessions])
+    chosen, _ = hmm.solve(bounds, counts, flat, observed)
+    whole, _ = hmm.solve(bounds, counts, flat, observed, mode="segmented")
+    for (own, c), a, b in zip(sessions, bounds, bounds[1:]):
+        assert [None if k < 0 else k for k in chosen[a:b]] == plain_viterbi(c, own)
+        expected, t = [], 0
+        while t < len(c):
+            end = t
+            while end < len(c) and c[end]:
+                end += 1
+            expected += plain_viterbi(c[t:end], own[t:end]) + [None] * (end < len(c))
+            t = end + 1
+        assert [None if k < 0 else k for k in whole[a:b]] == expected
+
+
+def test_sessions_over_batches(spark):
+    """A session that batches cut is solved whole."""
+    parts = "array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 0D, 'y', 5000D)))"
+    network = spark.sql(f"select 0L as edge_ord, 'a' as toid, {parts} as parts union all select 1L, 'b', transform({parts}, p -> transform(p, q -> named_struct('x', 14D, 'y', q.y)))")
+    rows = [(s * 1000 + i, "v", s, T0 + timedelta(seconds=10 * i), 8.0 if i % 50 == 7 else 2.0, 10.0 * i) for s in (1, 2, 3, 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "ord long, volunteer string, glh_session_id long, timestamp timestamp, glh_east double, glh_north double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = hmm.apply_hmm(df, network).select("ord", "hmm_pred_glh_east", "hmm_pred_glh_north").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == len(rows) and not [r for r in out if r.hmm_pred_glh_east != 0.0 or abs(r.hmm_pred_glh_north - 10.0 * (r.ord % 1000)) > 1e-9]
+
+
 def test_hmm_on_two_streets(spark):
     """A walk along one street that once comes nearer to the other stays on its street."""
     parts = lambda x: f"array(array(named_struct('x', {x}D, 'y', 0D), named_struct('x', {x}D, 'y', 200D)))"
