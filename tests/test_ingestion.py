@@ -98,9 +98,9 @@ def test_gpx(spark, tmp_path):
 # --- layers
 
 
-def shapefile(base, kind, shapes, fields, rows, prj=None):
+def shapefile(base, kind, shapes, fields, rows, prj=None, index=False):
     """A shapefile written byte by byte: shapes are lists of parts, None for a null shape."""
-    records = b""
+    records, places = b"", b""
     for i, parts in enumerate(shapes, 1):
         if parts is None:
             body = struct.pack("<i", 0)
@@ -111,9 +111,12 @@ def shapefile(base, kind, shapes, fields, rows, prj=None):
                 starts.append(at)
                 at += len(part)
             body = struct.pack("<i4d2i", kind, 0, 0, 0, 0, len(parts), len(points)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        places += struct.pack(">2i", 50 + len(records) // 2, len(body) // 2)
         records += struct.pack(">2i", i, len(body) // 2) + body
     base.parent.mkdir(parents=True, exist_ok=True)
     base.with_suffix(".shp").write_bytes(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + len(records) // 2) + struct.pack("<2i8d", 1000, kind, *[0.0] * 8) + records)
+    if index:
+        base.with_suffix(".shx").write_bytes(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + len(places) // 2) + b"\0" * 72 + places)
     width = 1 + sum(n for _, n in fields)
     head = struct.pack("<4BIHH20x", 3, 24, 1, 1, len(rows), 32 + 32 * len(fields) + 1, width)
     head += b"".join(name.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([n, 0]) + b"\0" * 14 for name, n in fields) + b"\r"
@@ -144,6 +147,24 @@ def project(tmp_path_factory):
     return root
 
 
+def test_shapefile_by_ranges(spark, tmp_path):
+    """Several tasks read a layer with an index; the rows are those of one task without."""
+    from driftline.sources.shapefile import read_shapefile
+
+    shapes = [None if i % 7 == 3 else [[(float(i), 0.5), (i + 1.0, 2.0)] * (1 + i % 4)] + [[(0.0, float(i)), (1.0, 1.0)]] * (i % 3) for i in range(103)]
+    rows = [(f"t{i}", "é" * (i % 5), "") for i in range(103)]
+    fields = [("TOID", 8), ("name", 12), ("none", 4)]
+    shapefile(tmp_path / "a", 3, shapes, fields, rows, index=True)
+    shapefile(tmp_path / "b", 3, shapes, fields, rows)
+    ranged, whole = read_shapefile(spark, url(tmp_path / "a"), records=26), read_shapefile(spark, url(tmp_path / "b"))
+    assert ranged.rdd.getNumPartitions() == 4 and whole.rdd.getNumPartitions() == 1 and "Join" not in ranged._jdf.queryExecution().optimizedPlan().toString()
+    plain = lambda df: sorted((r.record.row, r.TOID, r.name, r.none, str(r.parts)) for r in df.collect())
+    assert plain(ranged) == plain(whole) and [r[1] for r in plain(ranged)] == [f"t{i}" for i in range(103) if i % 7 != 3]
+    assert plain(ranged)[1][2] == "é" and plain(ranged)[0][2] is None
+    shapefile(tmp_path / "c", 3, [], fields, [], index=True)
+    assert read_shapefile(spark, url(tmp_path / "c")).count() == 0
+
+
 def test_layers(spark, project):
     root = url(project)
     road = {r.toid: r for r in networks.load_road_link(spark, root).where("toid <> 'r2'").collect()}
