@@ -59,12 +59,12 @@ def sessionise_raw_signals(df: DataFrame, gap_seconds: float = GLH_GAP_S, time_c
 def sessionise_track_segments(df: DataFrame, max_gap_seconds: float | None = None, base_session_id: int = 0, files: str = "source_file") -> DataFrame:
     """Add session_id and point_id to track points: a session for each segment, cut at gaps within it if asked for.
 
-    Ids go on over the files of a volunteer, in order of their names. Windows run over a segment's day; a table of segments and days, one
+    Ids go on over the files of a volunteer, in order of their names (of their paths, where names are equal). Windows run over a segment's day; a table of segments and days, one
     row for each, carries sessions on by prefix sums, so one volunteer is many tasks.
     """
     df = df.where("timestamp is not null and lat is not null and lon is not null")
     by, within = keys(df), order(df, "timestamp")
-    segment = [c for c in (files, "trk_idx", "seg_idx") if c in df.columns]
+    segment = [c for c in (files, "source_path", "trk_idx", "seg_idx") if c in df.columns]
     df = df.withColumn("_day", F.floor(F.unix_micros("timestamp") / (DAY_S * 1_000_000)).cast("long"))
     part = Window.partitionBy(*by, *segment, "_day").orderBy(*within)
     gap = lambda a, b: F.lit(False) if max_gap_seconds is None else F.coalesce(seconds_between(a, b) > max_gap_seconds, F.lit(False))

@@ -129,6 +129,10 @@ _SNAP = f"""{BASE}, {_NET}, p as (select * from t where kind = 'GLH'), {{}}
     select p.ord, round(n.x, 4) as snap_east, round(case when n.x is not null then p.north end, 4) as snap_north, round(n.d, 4) as snap_distance_m, 't' || n.k as snap_toid, n.network_kind as snap_network_kind, n.road_name as snap_road_name
     from p left join n on p.ord = n.ord and n.rn = 1"""
 _EXPORT = f"{BASE}, e as (select *, cast(user_id as varchar) as who, row_number() over (partition by user_id order by ord) - 1 as segment_id from t)"
+_DOCS = f"{BASE}, e as (select *, (user_id % 8) || '_' || (ord // 4000) as doc, row_number() over (partition by user_id % 8, ord // 4000 order by ord) - 1 as place from t)"
+_SEGMENTS = """select doc, 'timeline_paths' as layer, place as segment_id, null as endpoint, us + ord % 60 * 60000000 as at_us, lat, lon from e where ord % 3 = 0
+        union all select doc, 'visits', place, null, us, lat, lon from e where ord % 3 = 1
+        union all select doc, 'activities', place, endpoint, us, lat, lon from e cross join (values ('start'), ('end')) as ends(endpoint) where ord % 3 = 2"""
 _POINT = "volunteer, glh_layer, us as timestamp_us"
 _CARRIAGEWAY = ("motorway", "residential", "track_grade3")
 _PEDESTRIAN = ("footway", "cycleway", "steps")
@@ -237,4 +241,11 @@ ORACLE_SQL = {
     "glh_timeline_paths": f"{_EXPORT} select who as volunteer, segment_id, us + ord % 60 * 60000000 as timestamp_us, lat, lon from e where ord % 3 = 0",
     "glh_visits": f"{_EXPORT} select who as volunteer, segment_id, us as start_time_us, lat, lon, 'p' || ord as place_id from e where ord % 3 = 1",
     "glh_activities": f"{_EXPORT} select who as volunteer, segment_id, endpoint, us as timestamp_us, lat, lon, 'WALKING' as mode, round(speed_mps, 4) as distance_m from e cross join (values ('start'), ('end')) as ends(endpoint) where ord % 3 = 2",
+    "glh_parse_a": f"""{_DOCS} {_SEGMENTS} union all select doc, 'raw_signals', null, null, us, lat, lon from e where ord % 3 = 0
+        union all select doc, case when ord % 3 = 1 then 'activity_records' else 'wifi_scans' end, null, null, us, null, null from e where ord % 3 <> 0""",
+    "glh_parse_b": f"{_DOCS} {_SEGMENTS}",
+    "gpx_parse": f"""{_DOCS}, p as (select *, ord % 2 as seg_idx, lag(us) over (partition by doc, ord % 2 order by us, ord) as prev from e where ord % 9 <> 0),
+        s as (select *, sum(case when us - prev > 3600000000 then 1 else 0 end) over (partition by doc, seg_idx order by us, ord rows unbounded preceding) as part from p)
+        select row_number() over (partition by doc, seg_idx, part order by us, ord) - 1 as point_id, us as timestamp_us, lat, lon, case when ord % 5 <> 0 then round(speed_mps, 4) end as elevation_m, 0::bigint as trk_idx, seg_idx from s""",
+    "load_layers": "select c_custkey::varchar as toid, c_name as road_name, 'path_link' as network_kind, 2 as n_parts, 5 as n_points, (325000 + c_custkey % 997)::double as x, (673000 + c_custkey * 7 % 991 + 9)::double as y from customer",
 }

@@ -9,6 +9,7 @@ from driftline.functions import projection as P
 from driftline.functions import scalars as S
 from driftline.operators import cleaning, correct, features, hmm, matching, models, sessionize, spatial
 from driftline.sources import glh as glh_source
+from driftline.sources import gpx as gpx_source
 from driftline.sources import networks as network_source
 from driftline.streaming import sessions as streaming
 from driftline.tables import cut
@@ -461,3 +462,41 @@ def glh_visits(spark, d):
 def glh_activities(spark, d):
     _, _, a, _ = glh_source.parse_segments(fx.exports(spark, d))
     return a.select("volunteer", "segment_id", "endpoint", us("timestamp"), "lat", "lon", "mode", *r4("distance_m"))
+
+
+def _parsed(found: glh_source.Export) -> DataFrame:
+    """All layers of exports in one shape."""
+    doc = F.regexp_extract("volunteer", "folder=(.*)", 1).alias("doc")
+    layers = {"raw_signals": found.raw_signals, "activity_records": found.activity_records, "wifi_scans": found.wifi_scans, "timeline_paths": found.timeline_paths, "visits": found.visits, "activities": found.activities, "other_segments": found.other_segments}
+    out = None
+    for name, df in layers.items():
+        have = lambda c, kind, df=df: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
+        at = have("timestamp", "timestamp") if "timestamp" in df.columns else have("start_time", "timestamp")
+        own = df.select(doc, F.lit(name).alias("layer"), have("segment_id", "long").alias("segment_id"), have("endpoint", "string").alias("endpoint"), F.unix_micros(at).alias("at_us"), have("lat", "double").alias("lat"), have("lon", "double").alias("lon"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query
+def glh_parse_a(spark, d):
+    """Export files of the first family, written from the events, read in byte ranges."""
+    return _parsed(glh_source.parse_glh(spark, f"{fx.export_files(spark, d, 'A')}/*"))
+
+
+@query
+def glh_parse_b(spark, d):
+    return _parsed(glh_source.parse_glh(spark, f"{fx.export_files(spark, d, 'B')}/*"))
+
+
+@query
+def gpx_parse(spark, d):
+    p = gpx_source.parse_gpx(spark, f"{fx.track_files(spark, d)}/*", max_gap_seconds=fx.GAP_S)
+    return p.select("point_id", us("timestamp"), "lat", "lon", *r4("elevation_m"), "trk_idx", "seg_idx")
+
+
+@query
+def load_layers(spark, d):
+    """A layer written from the customers, loaded as paths."""
+    n = network_source.load_path_link(spark, fx.project(spark, d, network_source.PATH_LINK_FILE))
+    points = F.flatten("parts")
+    return n.select("toid", "road_name", "network_kind", F.size("parts").alias("n_parts"), F.size(points).alias("n_points"), F.get(points, F.lit(0))["x"].alias("x"), F.element_at(points, -1)["y"].alias("y"))

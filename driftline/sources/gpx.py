@@ -14,14 +14,14 @@ _SCHEMA = f"trk array<struct<trkseg: array<struct<trkpt: array<struct<{_POINT.re
 
 
 def read_points(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """source_file, trk_idx, seg_idx, timestamp, lat, lon, elevation_m of all points, in file order by ``ord``."""
+    """source_file, source_path, trk_idx, seg_idx, timestamp, lat, lon, elevation_m of all points, in file order by ``ord``."""
     files = spark.read.schema(_SCHEMA).format("xml").option("rowTag", "gpx").load(path)
-    files = files.withColumn("source_file", F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)))
-    tracks = files.select("source_file", F.posexplode("trk").alias("trk_idx", "t"))
-    segments = tracks.select("source_file", "trk_idx", F.posexplode("t.trkseg").alias("seg_idx", "s"))
-    points = segments.select("source_file", "trk_idx", "seg_idx", F.posexplode("s.trkpt").alias("ord", "p"))
+    files = files.withColumn("source_path", F.input_file_name()).withColumn("source_file", F.url_decode(F.element_at(F.split("source_path", "/"), -1)))
+    tracks = files.select("source_file", "source_path", F.posexplode("trk").alias("trk_idx", "t"))
+    segments = tracks.select("source_file", "source_path", "trk_idx", F.posexplode("t.trkseg").alias("seg_idx", "s"))
+    points = segments.select("source_file", "source_path", "trk_idx", "seg_idx", F.posexplode("s.trkpt").alias("ord", "p"))
     number = lambda c: F.col(c).try_cast("double")
-    return points.select("source_file", F.col("trk_idx").cast("long"), F.col("seg_idx").cast("long"), F.col("ord").cast("long"), to_utc(F.col("p.time")).alias("timestamp"), number("p._lat").alias("lat"), number("p._lon").alias("lon"), number("p.ele").alias("elevation_m"))
+    return points.select("source_file", "source_path", F.col("trk_idx").cast("long"), F.col("seg_idx").cast("long"), F.col("ord").cast("long"), to_utc(F.col("p.time")).alias("timestamp"), number("p._lat").alias("lat"), number("p._lon").alias("lon"), number("p.ele").alias("elevation_m"))
 
 
 def parse_gpx(spark: SparkSession, path: str | list[str], max_gap_seconds: float | None = None, volunteer: str | None = None, base_session_id: int = 0) -> DataFrame:

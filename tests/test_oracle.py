@@ -23,7 +23,7 @@ def plain(frame):
 
 def duck(sql):
     con = duckdb.connect()
-    for t in ("nation", "supplier", "events"):
+    for t in ("nation", "supplier", "customer", "events"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con.execute(sql).df()
 
