@@ -32,6 +32,8 @@ K = 20
 QUERY_EVERY = 20
 #: Pivots grow with the root of the number of vectors, as far as so many bytes of them are broadcast.
 PIVOT_BYTES = 64 << 20
+#: Bytes of different vectors that a task holds before it hands them on.
+HELD_BYTES = 32 << 20
 #: Distances worked out at once.
 CELLS = 4 << 20
 BLOCK, QUERY_BLOCK = 4096, 8192
@@ -70,27 +72,45 @@ def quantise(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
-    """vec and its ``ids`` smallest vec_ids; combined in each partition before the shuffle."""
+    """vec and its ``ids`` smallest vec_ids; combined in each task before the shuffle, in a table of ``HELD_BYTES``, then streamed in order of vec."""
 
-    def combine(first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[bytes, list[int]] = {}
-            for b in batches:
-                for one, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    own = held.setdefault(vec, [])
-                    own.extend([one] if first else one)
-                    if len(own) > 4 * ids:
-                        own[:] = sorted(set(own))[:ids]
-            items = list(held.items())
-            for a in range(0, len(items), 2000):
-                part = items[a : a + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([sorted(set(x))[:ids] for _, x in part], pa.list_(pa.int64())), pa.array([v for v, _ in part], pa.binary())], names=["ids", "vec"])
-
-        return run
+    def batches_of(items: list[tuple[bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(items), 2000):
+            part = items[a : a + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(set(x))[:ids] for _, x in part], pa.list_(pa.int64())), pa.array([v for v, _ in part], pa.binary())], names=["ids", "vec"])
 
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = map_batches(vectors.select("vec_id", "vec"), combine(True), "ids array<long>, vec binary")
-    return map_batches(near.repartition(parts, "vec"), combine(False), "ids array<long>, vec binary")
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+        size = 0
+        for b in batches:
+            for one, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = held.get(vec)
+                if own is None:
+                    own = held[vec] = []
+                    size += len(vec) + 200
+                own.append(one)
+                if len(own) > 4 * ids:
+                    own[:] = sorted(set(own))[:ids]
+            if size > HELD_BYTES:
+                yield from batches_of(list(held.items()))
+                held, size = {}, 0
+        yield from batches_of(list(held.items()))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[bytes, list[int]]] = []
+        for b in batches:
+            for some, vec in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if done and done[-1][0] == vec:
+                    done[-1] = vec, sorted({*done[-1][1], *some})[:ids]
+                else:
+                    if len(done) >= 2000:
+                        yield from batches_of(done)
+                        done = []
+                    done.append((vec, some))
+        yield from batches_of(done)
+
+    near = map_batches(vectors.select("vec_id", "vec"), combine, "ids array<long>, vec binary")
+    return map_batches(near.repartition("vec").sortWithinPartitions("vec"), merge, "ids array<long>, vec binary")
 
 
 def _solve(k: int):
