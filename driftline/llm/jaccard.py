@@ -37,6 +37,7 @@ from ._arrow import cut, map_batches
 from ._blobs import bytes_hash, hash_bytes, pack, unpack
 from ._graph import components
 from ._hashing import Words, as_long, groups, mix, ngrams
+from ._spans import buckets_for
 
 WORDS, PERCENT = 5, 75
 #: Shingles in at least one set of so many are ordered last.
@@ -497,8 +498,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     rows = passed.where("payload is null").select("doc_id", "row", "n", "node")
     linkable = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
     frequent = spark.sparkContext.broadcast(_frequent(passed.where("payload is not null"), rows.count()))
-    sent = map_batches(docs, _send(frequent, k, percent, 2 * parts), "bucket int, payload binary")
-    met = cut(map_batches(sent.repartition(parts, "bucket"), _meet(percent), CANDIDATES), "candidates")
+    buckets = buckets_for(docs, "text")  # by bytes of text; a task has about two
+    sent = map_batches(docs, _send(frequent, k, percent, buckets), "bucket int, payload binary")
+    met = cut(map_batches(sent.repartition(max(parts, buckets // 2), "bucket"), _meet(percent), CANDIDATES), "candidates")
     pairs = met.where("payload is null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("leader").alias("leader"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.min("token").alias("token"))
     # what both hold of large groups may be shared too: such pairs are not looked for again
     large = cut(_large_groups(met), "large-members")
