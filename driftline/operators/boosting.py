@@ -3,7 +3,7 @@
 Rows are binned once (at most ``BINS`` bins a feature, one for missing values) and packed in blocks of ``BLOCK_ROWS``. A level of a
 tree is one job: blocks give sums of gradients by (feature, node, bin), these are added up by a shuffle on the feature, and the tasks
 that add them find the best split of each node in their feature. The driver sees a split for each node and feature, never rows or
-histograms. Gradients are rounded to fixed point, so sums are exact and a model does not depend on how rows are dealt out, nor
+histograms. Rows that are one task's anyway (a block, as a rule) take a job for each tree, with a task for each model. Gradients are rounded to fixed point, so sums are exact and a model does not depend on how rows are dealt out, nor
 on tasks that run twice.
 
 A level takes some tens of milliseconds of work, so these jobs are RDD jobs over cached blocks: planning a DataFrame each time would take
@@ -249,7 +249,9 @@ def train(prepared: DataFrame, features: dict[str, Column], y: Column, settings:
     rows = prepared.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(features.values())], y.cast("double").alias("y"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"), (F.lit(-1) if fold is None else F.coalesce(fold.cast("int"), F.lit(-1))).alias("fold"))
     data = cut(rows.where("y is not null"), "training-rows")
     edges = edges_of(data, names)
-    stored = cut(pack(data, edges, len(names)), "training-blocks")
+    rows_in = data.count()
+    fewer = data.coalesce(max(1, -(-rows_in // BLOCK_ROWS)))  # small tables are few tasks: there are five jobs a tree
+    stored = cut(pack(fewer, edges, len(names)), "training-blocks")
     context = stored.sparkSession.sparkContext
     n = len(names)
 
@@ -265,6 +267,10 @@ def train(prepared: DataFrame, features: dict[str, Column], y: Column, settings:
     if not live:
         return forests
     run, parts = uuid.uuid4().hex, max(1, min(n * len(live), blocks.getNumPartitions()))
+    alone = blocks.getNumPartitions() == 1  # one task has all blocks: a task for each model goes on from level to level by itself
+    if alone:
+        copies = blocks.flatMap(lambda b: [(m, b) for m in live])
+        copies = (copies.partitionBy(len(live), live.index) if len(live) > 1 else copies).persist(StorageLevel.MEMORY_AND_DISK)
     old, n_old = context.broadcast({m: [] for m in live}), 0
     for t in range(settings.trees):
         if t - n_old >= RECENT:
@@ -273,20 +279,52 @@ def train(prepared: DataFrame, features: dict[str, Column], y: Column, settings:
         recent = {m: forests[m].trees[n_old:] for m in live}
         columns = columns_of(t, n, settings)
         growing = {m: Tree.empty(settings.depth) for m in live}
-        open_ = {m: [0] for m in live}
-        for _ in range(settings.depth):
-            ask = {m: nodes for m, nodes in open_.items() if nodes}
-            if not ask:
-                break
-            found = blocks.flatMap(_level(run, t, settings, columns, growing, ask, held_out, {m: forests[m].base for m in live}, old, recent, n_old)).reduceByKey(np.add, parts).map(lambda kv: (kv[0], best_splits(kv[1][0], kv[1][1], settings))).collect()
-            open_ = {m: _grow(growing[m], nodes, {f: s for (k, f), s in found if k == m}, edges, settings) for m, nodes in ask.items()}
+        bases = {m: forests[m].base for m in live}
+        level = lambda growing, ask: _level(run, t, settings, columns, growing, ask, held_out, bases, old, recent, n_old)  # noqa: B023, E731
+        if alone:
+            growing = dict(copies.mapPartitions(lambda own: _trees(own, growing, level, edges, settings)).collect())  # noqa: B023
+        else:
+            _levels(growing, edges, settings, lambda ask: blocks.flatMap(level(growing, ask)).reduceByKey(np.add, parts).map(lambda kv: (kv[0], best_splits(*kv[1], settings))).collect())  # noqa: B023
         for m in live:
             forests[m].trees.append(growing[m])
     old.unpersist()
     blocks.unpersist()
+    if alone:
+        copies.unpersist()
     return forests
 
 
+def _levels(growing: dict[int, Tree], edges: list[np.ndarray], settings: Settings, splits) -> None:
+    """Grow a tree of each model, level by level; splits(nodes asked by model) gives those of each (model, feature)."""
+    open_ = {m: [0] for m in growing}
+    for _ in range(settings.depth):
+        ask = {m: nodes for m, nodes in open_.items() if nodes}
+        if not ask:
+            return
+        found = splits(ask)
+        open_ = {m: _grow(growing[m], nodes, {f: s for (k, f), s in found if k == m}, edges, settings) for m, nodes in ask.items()}
+
+
+def _trees(pairs: Iterator[tuple], growing: dict[int, Tree], level, edges: list[np.ndarray], settings: Settings) -> Iterator[tuple[int, Tree]]:
+    """A tree of each model whose blocks (model, block) are all here."""
+    blocks: dict[int, list[tuple]] = {}
+    for m, block in pairs:
+        blocks.setdefault(m, []).append(block)
+
+    for m, own in blocks.items():
+        tree = {m: growing[m]}
+
+        def splits(ask: dict[int, list[int]]) -> list[tuple]:
+            total: dict = {}
+            for block in own:  # noqa: B023
+                for k, v in level(tree, ask)(block):  # noqa: B023
+                    total[k] = total[k] + v if k in total else v
+            return [(k, best_splits(*v, settings)) for k, v in total.items()]
+
+        _levels(tree, edges, settings, splits)
+        yield m, tree[m]
+
+
 def _outside(block: tuple, k: int | None) -> list[int]:
     _, _, y, w, fold, _ = block
     own = slice(None) if k is None else fold != k
