@@ -6,6 +6,8 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+from math import e, log
 
 import numpy as np
 
@@ -138,3 +140,139 @@ def leak_rows(docs, items, percent: int = 75):
             n = len(s & h)
             if h and 100 * n >= percent * len(h):
                 yield i, j, len(h), n
+
+
+class _Tag(dict):
+    """Itself only, whatever it holds."""
+
+    __eq__, __ne__, __hash__ = object.__eq__, object.__ne__, object.__hash__
+
+
+class _Dom(HTMLParser):
+    """A DOM for pages whose tags are all closed, but for ``br`` and inline markup at the end of a paragraph."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = _Tag(name="#root", attrs={}, kids=[], up=None)
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, name, attrs):
+        if name == "p":
+            while self.at["name"] in ("b", "p"):
+                self.at = self.at["up"]
+        node = _Tag(name=name, attrs=dict(attrs), kids=[], up=self.at)
+        self.at["kids"].append(node)
+        if name not in ("br", "meta"):
+            self.at = node
+
+    def handle_endtag(self, name):
+        node = self.at
+        while node["name"] not in (name, "#root"):
+            node = node["up"]
+        if node["up"]:
+            self.at = node["up"]
+
+    def handle_data(self, data):
+        if self.at["name"] not in ("script", "style", "title"):
+            self.at["kids"].append(data)
+
+
+def main_text(page, marks, weight, p_weight):
+    """Composite text density from its definition: everything is counted anew for each node."""
+    blocks = "body div article section p h1 h2 ul li".split()
+    never = ("nav", "footer", "aside", "form", "script", "style", "title")
+
+    def below(n):
+        for k in n["kids"]:
+            if not isinstance(k, str):
+                yield k
+                yield from below(k)
+
+    def ups(n):
+        while n:
+            yield n
+            n = n["up"]
+
+    def count(n, all_):
+        inside = [k for k in below(n) if all_ or not any(u["name"] in never for u in ups(k) if u not in list(ups(n)))]
+        inside = [k for k in inside if k["name"] not in ("script", "style", "title")]
+        length = lambda k: sum(len("".join(s.split())) for s in k["kids"] if isinstance(s, str))
+        linked = [k for k in [n, *inside] if any(u["name"] == "a" for u in ups(k) if u is n or u in inside)]
+        return sum(length(k) for k in [n, *inside]), sum(map(length, linked)), len(inside), sum(k["name"] == "a" for k in inside)
+
+    def marked(n):
+        words = [t.replace("-", " ").split() for t in n["attrs"].get("class", "").split()]
+        return any(w and set(w) <= marks for w in words) and n["name"] not in ("h1", "h2", "article", "body")
+
+    def density(n, all_=False):
+        c, lc, t, lt = count(n, all_)
+        if not c:
+            return 0
+        pc, plc, _, _ = count(root, False)
+        factor = min([1] + [p_weight if u["name"] == "p" else weight for u in ups(n) if marked(u)])
+        base = max(log(c / max(c - lc, 1) * lc + plc / max(pc, 1) * c + e), e)
+        return factor * (c / max(t, 1) * (log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / log(base)))
+
+    root = _Dom(page).root
+    kids = lambda n: [k for k in n["kids"] if not isinstance(k, str) and k["name"] not in never]
+    total = lambda n: sum(map(density, kids(n)))
+
+    def top(n):
+        """The first of the largest sums, a node before what is below it."""
+        found = n if count(n, False)[0] and n["name"] not in ("a", "b") else None
+        for k in kids(n):
+            t = top(k)
+            if t is not None and (found is None or total(t) > total(found)):
+                found = t
+        return found
+
+    best = top(root)
+    if best is None:
+        return ""
+    path = [u for u in ups(best) if u["name"] not in ("#root", "html")]
+    high = min(map(density, [best, *path]))
+    low = min([high, *(density(u, True) for u in path)])
+    mild = lambda n: not any(map(marked, ups(n)))
+    kept = []
+
+    def visit(n):
+        if n["name"] not in ("#root", "html"):
+            t = top(n)
+            if t is None or density(n) < (low if mild(n) else high):
+                return
+            kept.append(next((u for u in ups(t) if u["name"] in ("article", "section", "div", "body") or t is not best and u is n), root))
+        for k in kids(n):
+            if k["name"] not in ("a", "b"):
+                visit(k)
+
+    visit(root)
+    lines = [""]
+
+    def write(n):
+        c, lc, _, lt = count(n, False)
+        if n not in kept and (n["name"] in never or marked(n) and density(n) < high or n["name"] in ("ul", "div", "section") and lt > 1 and 2 * lc > c and density(n) < low):
+            lines.append("")
+            return
+        if n["name"] in blocks:
+            lines.append("")
+        for k in n["kids"]:
+            if isinstance(k, str):
+                lines[-1] += k
+            elif k["name"] == "br":
+                lines[-1] += " "
+            else:
+                write(k)
+        if n["name"] in blocks:
+            lines.append("")
+
+    def order(n):
+        if n in kept or n is root and not kept:
+            lines.append("")
+            write(n)
+        else:
+            for k in kids(n):
+                order(k)
+
+    order(root)
+    return "\n".join(t for t in (" ".join(x.split()) for x in lines) if t)
