@@ -10,19 +10,20 @@ A byte is removed when a string of ``LENGTH`` bytes that covers it also starts a
    pieces of one key can share a window, and each window is in one piece.
 2. Keys meet in buckets. Each chunk of input sends an entry once, however often it holds it; where it holds it several
    times, the places travel beside, never to one bucket. Keys held once are done with.
-3. The text of one piece of each class of equal pieces is fetched, by a shuffle of texts and places by id.
+3. The text of each piece that no other equals is fetched, and of two pieces of each class of several equal ones, by a
+   shuffle of texts and places by id.
 4. Suffix arrays. The pieces of whole keys are joined to blocks and sorted by two-stage suffix sorting: only
    suffixes smaller than their successors are sorted directly; one scan over the buckets of first bytes, in
-   rising order, induces the others. Neighbours whose first LENGTH bytes agree, byte by byte, and strings in a
-   class of several equal pieces, are repeats. Everything that is removed comes from here.
+   rising order, induces the others. Neighbours whose first LENGTH bytes agree, byte by byte, are repeats. Nothing else
+   is removed: where pieces are equal, the two that stand for their class are neighbours in the array.
 5. A key with more than ``GROUP_PIECES`` different pieces is cut: a piece into parts of fewer windows, which hold more
    in common and so have finer keys, and which coincide more often. At one window each part is its key, so
    blocks stay bounded whatever one key holds.
 6. Repeats go back from classes to all their places and become maximal spans of documents, which are cut out.
 
 Scale: an entry costs about 25 bytes in one shuffle; texts of documents with shared keys are shuffled once, pieces of
-different content once. Nothing is broadcast but spans (checked, else a shuffle). Copies of a piece are told
-apart from other pieces by 128 bits of hashes (key and content), and the fetched bytes must have those hashes.
+different content twice at most. Nothing is broadcast but spans (checked, else a shuffle). Two pieces of a class are compared by
+their bytes; that further copies are like these is told by 128 bits of hashes (key and content), and the fetched bytes must have those hashes.
 
 Defined results: null and empty texts have no bytes; texts shorter than LENGTH keep all; equal texts of LENGTH
 bytes lose all, in every copy, and so do repeated rows; a row without id takes no part and keeps all; where
@@ -306,8 +307,8 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, length: int) -> np.ndar
     return same
 
 
-def repeated_starts(pieces: list[bytes], several: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Piece number and place in it of each ``length``-byte string that starts twice or more, or in a piece of several copies."""
+def repeated_starts(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Piece number and place in it of each ``length``-byte string that starts twice or more."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -323,9 +324,7 @@ def repeated_starts(pieces: list[bytes], several: np.ndarray, length: int) -> tu
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     piece_of = np.repeat(np.arange(len(pieces)), sizes)
     group = np.concatenate([[0], np.cumsum(~common_prefixes(text, array, length))])
-    piece = piece_of[array]
-    hit = (np.bincount(group) > 1)[group] | (np.bincount(group, weights=several[piece]) > 0)[group]
-    array = np.sort(array[hit])
+    array = np.sort(array[(np.bincount(group) > 1)[group]])
     piece = piece_of[array]
     return piece, array - starts[piece]
 
@@ -338,7 +337,10 @@ SENT = "bucket long, key long, content long, payload binary"
 
 
 def _send(buckets: int, length: int, gram: int):
-    """A chunk's entries, packed for each bucket, and the places (payload: ids, offsets) of entries that it holds several times (bucket -1)."""
+    """A chunk's entries, packed for each bucket, and the places (payload: ids, offsets) of entries that it holds several times (bucket -1).
+
+    An entry held several times counts as two and goes with a second place, that counts as none.
+    """
     names, kinds = ["bucket", "key", "content", "payload"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def flush(found: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -352,11 +354,15 @@ def _send(buckets: int, length: int, gram: int):
         for h in np.flatnonzero(n > 1):
             a, b = heads[h], heads[h] + n[h]
             rows.append((-1, int(key[a].view(np.int64)), int(content[a].view(np.int64)), pack(pack_ids(doc[a:b]), low[a:b])))
-        bounds = np.searchsorted(bucket[heads], np.arange(buckets + 1))
+        sent = np.concatenate([heads, heads[n > 1] + 1])
+        count = np.concatenate([np.minimum(n, 2), np.zeros(len(sent) - len(heads), dtype=n.dtype)])
+        order = np.argsort(sent)
+        sent, count = sent[order], count[order]
+        bounds = np.searchsorted(bucket[sent], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(bounds)):
             o = slice(bounds[b], bounds[b + 1])
-            own = heads[o]
-            rows.append((int(b), None, None, pack(key[own], content[own], np.minimum(n[o], 2), pack_ids(doc[own]), low[own], at[own], size[own], left[own])))
+            own = sent[o]
+            rows.append((int(b), None, None, pack(key[own], content[own], count[o], pack_ids(doc[own]), low[own], at[own], size[own], left[own])))
         for a in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 256]), kinds)], names=names)
 
@@ -379,19 +385,19 @@ def _send(buckets: int, length: int, gram: int):
     return run
 
 
-MET = "role int, key long, content long, several boolean, doc_id long, low long, at int, size int, left int, payload binary"
+MET = "role int, key long, content long, doc_id long, low long, at int, size int, left int, payload binary"
 CLASS, PLACE, PLACES = 0, 1, 2
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In a bucket, of keys held twice or more: a row for each class of equal pieces, and one for each single place. Places pass through."""
+    """In a bucket, of keys held twice or more: two rows for each class of equal pieces (one if it has one), and one for each single place. Places pass through."""
     names = [c.split()[0] for c in MET.split(", ")]
     parts = []
     for b in batches:
         some = b.filter(pc.less(b.column(0), 0))
         if some.num_rows:
             n = some.num_rows
-            empty = [pa.nulls(n, t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+            empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, PLACES, np.int32)), some.column(1), some.column(2), *empty, some.column(3)], names=names)
         for payload in b.filter(pc.greater_equal(b.column(0), 0)).column(3).to_pylist():
             key, content, n, doc, *rest = unpack(payload)
@@ -409,33 +415,32 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not len(key):
         return
     head = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
-    total = np.bincount(np.cumsum(head) - 1, weights=n)
-    classes, single = np.flatnonzero(head), np.flatnonzero(n == 1)
+    second = np.concatenate([[False], head[:-1] & ~head[1:]])
+    classes, single = np.flatnonzero(head | second), np.flatnonzero(n == 1)
     for role, some in ((CLASS, classes), (PLACE, single)):
         for i in range(0, len(some), 20_000):
             x = some[i : i + 20_000]
-            several = pa.array(total[i : i + 20_000] > 1) if role == CLASS else pa.nulls(len(x), pa.bool_())
-            columns = [pa.array(np.full(len(x), role, np.int32)), pa.array(key[x].view(np.int64)), pa.array(content[x].view(np.int64)), several]
+            columns = [pa.array(np.full(len(x), role, np.int32)), pa.array(key[x].view(np.int64)), pa.array(content[x].view(np.int64))]
             columns += [pa.array(doc[x]), pa.array(low[x]), *(pa.array(y[x].astype(np.int32)) for y in (at, size, left)), pa.nulls(len(x), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-PIECES = "key long, content long, several boolean, doc_id long, low long, at int, left int, piece binary"
+PIECES = "key long, content long, doc_id long, low long, at int, left int, piece binary"
 
 
 def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The bytes of a piece of each class. Texts and places meet by id; a piece must have its class's hash, as texts may differ under one id."""
-    place = F.struct("key", "content", "several", "low", "at", "size", "left")
+    """The bytes of the pieces that stand for each class. Texts and places meet by id; a piece must have its class's hash, as texts may differ under one id."""
+    place = F.struct("key", "content", "low", "at", "size", "left")
     places = classes.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(place).alias("places"))
     texts = docs.where("text is not null").join(places.hint("merge"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "places")
     names = [c.split()[0] for c in PIECES.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def checked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(r[7] for r in rows), dtype=np.uint8)
-        sizes = np.array([len(r[7]) for r in rows], dtype=np.int64)
+        data = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint8)
+        sizes = np.array([len(r[6]) for r in rows], dtype=np.int64)
         end = np.cumsum(sizes)
-        at = end - sizes + np.minimum(np.array([r[5] for r in rows], dtype=np.int64), sizes)
+        at = end - sizes + np.minimum(np.array([r[4] for r in rows], dtype=np.int64), sizes)
         of = Anchors.ranges(data)
         same = piece_hash(of(end - sizes, at), of(at, end)).view(np.int64) == np.array([r[1] for r in rows], dtype=np.int64)
         kept = [r for r, ok in zip(rows, same.tolist()) if ok]
@@ -446,7 +451,7 @@ def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for b in batches:
             for doc, text, own in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                rows += [(p["key"], p["content"], p["several"], doc, p["low"], p["at"], p["left"], text[p["low"] : p["low"] + p["size"]]) for p in own]
+                rows += [(p["key"], p["content"], doc, p["low"], p["at"], p["left"], text[p["low"] : p["low"] + p["size"]]) for p in own]
                 if len(rows) > 4000:
                     yield from checked(rows)
                     rows = []
@@ -457,10 +462,13 @@ def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sorted_blocks(length: int):
-    """Rows sorted by key and content: blocks of whole keys, a suffix array each; repeats as spans of places in their classes."""
+    """Rows sorted by key and content: blocks of whole keys, a suffix array each; repeats as spans of places in their classes.
+
+    Two rows of a class are enough (repeated rows may have brought more).
+    """
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        piece, place = repeated_starts([r[7] for r in rows], np.array([r[2] for r in rows], dtype=bool), length)
+        piece, place = repeated_starts([r[6] for r in rows], length)
         if not len(piece):
             return
         first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (place[1:] > place[:-1] + length)]))
@@ -471,17 +479,18 @@ def _sorted_blocks(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, seen = 0, (None, None)
+        size, seen, members = 0, (None, None), 0
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(8))):
-                if row[:2] == seen:
+            for row in zip(*(b.column(i).to_pylist() for i in range(7))):
+                members = members + 1 if row[:2] == seen else 1
+                if members > 2:
                     continue
                 if row[0] != seen[0] and size > BLOCK_BYTES:
                     yield from solve(held)
                     held, size = [], 0
                 seen = row[:2]
                 held.append(row)
-                size += len(row[7])
+                size += len(row[6])
         if held:
             yield from solve(held)
 
@@ -499,7 +508,7 @@ def _parts(pieces: DataFrame, slack: int, step: int, length: int, gram: int) ->
     part = F.col("piece").substr(F.col("_from") + 1, F.col("_to") - F.col("_from"))
     shared = F.col("piece").substr(F.col("at") - F.col("_least") + 1, F.col("_least") + gram + reach - F.col("_most"))
     return each.where(fit).select(
-        F.xxhash64("key", "_least", shared).alias("_key"), F.xxhash64(F.lit(1), part).alias("_content"), "key", "content", "several", "doc_id",
+        F.xxhash64("key", "_least", shared).alias("_key"), F.xxhash64(F.lit(1), part).alias("_content"), "key", "content", "doc_id",
         (F.col("low") + F.col("_from")).alias("low"), (F.col("at") - F.col("_from")).alias("at"), F.col("_least").alias("left"), F.col("_from"), part.alias("part"),
     )
 
@@ -514,14 +523,15 @@ def _repeats(pieces: DataFrame, slack: int, length: int, gram: int) -> DataFrame
     if large is not None and not large.isEmpty():
         usual = pieces.join(large, F.col("key") == F.col("_large"), "left_anti")
         step = max(1, (slack + 1) // 4)
-        some = pieces.join(large, F.col("key") == F.col("_large"), "left_semi").dropDuplicates(["key", "content"])
+        some = pieces.join(large, F.col("key") == F.col("_large"), "left_semi")
         parts = cut(_parts(some, slack, step, length, gram), "parts")
-        # a part of several pieces, or of a class of several, is one of several: each window is in one piece only
-        place = F.struct("doc_id", "low", "at", "left", "part")
-        finer = parts.groupBy("_key", "_content").agg((F.max("several") | (F.count("*") > 1)).alias("several"), F.min_by(place, F.struct("doc_id", "low")).alias("p"))
-        finer = cut(finer.select(F.col("_key").alias("key"), F.col("_content").alias("content"), "several", "p.doc_id", "p.low", "p.at", "p.left", F.col("p.part").alias("piece")), "finer-pieces")
+        # two pieces stand for each part that several have; parts of one piece differ in their keys
+        place, by = F.struct("doc_id", "low", "at", "left", "part"), F.struct("doc_id", "low")
+        finer = parts.groupBy("_key", "_content").agg(F.count("*").alias("_n"), F.min_by(place, by).alias("p"), F.max_by(place, by).alias("q"))
+        finer = finer.withColumn("p", F.explode(F.when(F.col("_n") > 1, F.array("p", "q")).otherwise(F.array("p"))))
+        finer = cut(finer.select(F.col("_key").alias("key"), F.col("_content").alias("content"), "p.doc_id", "p.low", "p.at", "p.left", F.col("p.part").alias("piece")), "finer-pieces")
         spans = _repeats(finer, step - 1, length, gram).withColumnsRenamed({"key": "_k", "content": "_c"})
-        own = parts.select("key", "content", "_from", "_key", "_content")
+        own = parts.select("key", "content", "_from", "_key", "_content").distinct()
         back = own.join(spans, (F.col("_key") == F.col("_k")) & (F.col("_content") == F.col("_c")))
         found = back.select("key", "content", (F.col("_from") + F.col("start")).alias("start"), (F.col("_from") + F.col("end")).alias("end"))
     dealt = usual.repartition("key").sortWithinPartitions("key", "content")

@@ -86,6 +86,31 @@ def test_bytes(spark, table, docs):
     assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == sorted(brute.byte_rows(docs))
 
 
+@pytest.mark.parametrize("pieces", [1, 3])
+def test_bytes_of_large_keys(spark, table, docs, monkeypatch, pieces):
+    """Every key beyond GROUP_PIECES: pieces are cut into parts, down to single windows."""
+    monkeypatch.setattr(suffixes, "GROUP_PIECES", pieces)
+    out = suffixes.remove_repeats(table).withColumn("h", F.sha2("kept", 256))
+    assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == sorted(brute.byte_rows(docs))
+
+
+def test_arrays_decide():
+    """Pieces that stand for one class are repeats only if their bytes agree, whatever their hashes say; more than two of them add nothing."""
+    import pyarrow as pa
+
+    one, other = (bytes(rng.randrange(256) for _ in range(450)) for _ in range(2))
+
+    def spans(*pieces):
+        made = [(key, content, i, 0, 100, 0, piece) for i, (key, content, piece) in enumerate(pieces)]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=[c.split()[0] for c in suffixes.PIECES.split(", ")])
+        return sorted(tuple(r.values()) for b in suffixes._sorted_blocks(400)(iter([batch])) for r in b.to_pylist())
+
+    assert spans((1, 1, one)) == spans((1, 1, one), (1, 1, other)) == spans((1, 1, one), (1, 2, other)) == []
+    assert set(spans((1, 1, one), (1, 1, one))) == set(spans((1, 1, one), (1, 1, one), (1, 1, one))) == {(1, 1, 0, 450)}
+    assert set(spans((1, 1, one), (1, 2, other[:30] + one[20:440]))) == {(1, 1, 20, 440), (1, 2, 30, 450)}
+
+
 def test_two_stage_sorting():
     import numpy as np
 
