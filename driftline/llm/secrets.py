@@ -34,6 +34,7 @@ MIN_SCORE = 0.6
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # greedy runs: those of 18 or more characters
 _HEX = re.compile(r"[0-9a-f]{16,}")
+# A type is names, with what is in brackets, joined by bars; a value follows its "=" on the line, so it is no padding of a literal.
 # A name ends where no name character follows and starts where none precedes, so each run of them is tried once.
 _TOKEN = re.compile(
     r"""(?P<line>\n[ \t]*+)
@@ -41,8 +42,8 @@ _TOKEN = re.compile(
     |(?P<brace>[{}])
     |<(?P<tag>[A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?+>(?P<element>[^<>]++)(?=</(?P=tag)>)
     |(?<![\w.\-])(?P<block>(?:def|class)(?=[ \t]))
-    |(?<![\w.\-])(?P<name>-{0,2}[A-Za-z_][\w.\-]*+)(?P<index>(?:\[["']?[\w.\-]{1,200}+["']?\])*+)["'\]]{0,2}[ \t]*+
-      (?:(?P<type>:[ \t]*[A-Za-z_][\w.\[\],|\x20]{0,60}?)(?==(?!=)))?(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*+
+    |(?<![\w.\-])(?P<name>-{0,2}[A-Za-z_][\w.\-]*+)(?P<index>(?:\[["']?[\w.\-]++["']?\])*+)["'\]]{0,2}[ \t]*+
+      (?:(?P<type>:[ \t]*+[A-Za-z_][\w.]*+(?>\[[\w.\[\],|\x20]*\])?+(?:\x20*+\|\x20*+[\w.]++(?>\[[\w.\[\],|\x20]*\])?+)*+\x20*+)(?==(?!=)[ \t]*+[^\s,;})\]]))?(?P<op>:=|=>|=(?![=~])|:(?![:/]))[ \t]*+
     |(?P<quote>"|(?<!\w)'|`)""",
     re.ASCII | re.VERBOSE,
 )

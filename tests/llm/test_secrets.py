@@ -85,9 +85,24 @@ def test_braces_are_scopes():
     assert spans("secret = k\n}}}\n") == set()
 
 
+def test_long_names_and_types():
+    """Subscripts and annotations of any length; a padded literal is no annotation, nor are the words of a sentence."""
+    for _ in range(20):
+        v, far = literal(), "x" * rng.randint(190, 3000)
+        kinds = ", ".join(f"Kind{i}" for i in range(rng.randint(5, 300)))
+        assert spans(f'config["{far}"]["password"] = "{v}"') == {v}
+        assert spans(f'config["{far}_password"] = "{v}"') == {v}
+        assert spans(f'password: dict[{kinds}] | None = "{v}"') == {v}
+        assert spans(f'password: {" | ".join(["str"] * 50)} = "{v}"') == {v}
+        padded = "".join(rng.choice(LETTERS) for _ in range(rng.choice([20, 90]))) + "7"
+        for end in ("=", "==", "=\nnext: 1", "=}"):
+            assert any(padded in x for x in spans(f"token: {padded}{end}")), (padded, end)
+        assert spans(f"note: some words of a sentence, password = {v}") == {v}
+
+
 def test_linear_time():
     n = 100_000
-    for junk in ("a" * n, "secret " + "a" * 10 * n, "secret=: " + "a." * n + '"', 'secret "' + '\\"' * n, "secret " + "{" * n + "}" * n, "secret " + "<a>" * n, "secret " + "k=v " * n, "secret x" + "[a]" * n, "secret: |\n" * (n // 10), 'secret = """' * (n // 10), "secret\n" + "# " * n):
+    for junk in ("a: b[" + "c, " * 60_000, "a: b" + "[x]" * 60_000, "a: b" + " | c[d]" * 40_000, "a[" * 60_000, "a[" + "b" * 200_000, "a" + "[b]" * 60_000, "a" * n, "secret " + "a" * 10 * n, "secret=: " + "a." * n + '"', 'secret "' + '\\"' * n, "secret " + "{" * n + "}" * n, "secret " + "<a>" * n, "secret " + "k=v " * n, "secret x" + "[a]" * n, "secret: |\n" * (n // 10), 'secret = """' * (n // 10), "secret\n" + "# " * n):
         start = time.time()
         secrets.scan_text(junk)
         assert time.time() - start < 5, junk[:12]
