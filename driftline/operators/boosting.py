@@ -1,10 +1,11 @@
 """Second-order gradient boosting by Spark aggregates: L2 penalty, columns drawn for each tree, learnt directions for missing values, true gain.
 
-Rows are binned once (at most ``BINS`` bins a feature, one for missing values) and packed in blocks of ``BLOCK_ROWS``. A level of a
-tree is one job: blocks give sums of gradients by (feature, node, bin), these are added up by a shuffle on the feature, and the tasks
-that add them find the best split of each node in their feature. The driver sees a split for each node and feature, never rows or
-histograms. Rows that are one task's anyway (a block, as a rule) take a job for each tree, with a task for each model. Gradients are rounded to fixed point, so sums are exact and a model does not depend on how rows are dealt out, nor
-on tasks that run twice.
+Rows are binned once (at most ``BINS`` bins a feature, one for missing values) and packed in blocks of ``BLOCK_ROWS``. Features of few bins
+share a byte, and sums are taken by byte: those of a feature are sums of these. A level of a tree is one job: tasks give sums of
+gradients by (byte, node, value), these are added up by a shuffle on the byte, and the tasks that add them find the best split of each
+node in the byte's features. The driver sees a split for each node and feature, never rows or histograms. Up to ``ALONE_BLOCKS`` blocks
+are one task for each model, which grows ``ALONE_TREES`` trees a job. Gradients are rounded to fixed point, so sums are exact and a model
+does not depend on how rows are dealt out, nor on tasks that run twice.
 
 A level takes some tens of milliseconds of work, so these jobs are RDD jobs over cached blocks: planning a DataFrame each time would take
 longer than the sums. Predictions so far are a function of a block and the trees; a Python worker keeps them and adds the trees that are
@@ -32,7 +33,9 @@ from driftline.session import ship
 from driftline.tables import cut
 
 #: Bins of a feature, beside that of missing values; rows of a block; trees that each job carries itself.
-BINS, BLOCK_ROWS, RECENT = 255, 1 << 16, 50
+BINS, BLOCK_ROWS, RECENT = 255, 1 << 16, 16
+#: Blocks that one task takes by itself (some 10 MB), and trees that it grows in a job.
+ALONE_BLOCKS, ALONE_TREES = 4, 50
 #: Gradients in fixed point, and the least gain of a split.
 UNIT, LEAST_GAIN = float(1 << 24), 1e-6
 _MISSING = 255
@@ -78,14 +81,29 @@ class Tree:
             node[rows] = 2 * at + 2 - left_of(rows, at)
         return node
 
-    def binned(self, bins: np.ndarray) -> np.ndarray:
-        def left(rows, at):
-            if rows is None:
-                return np.zeros(len(bins), np.int64)
-            b = bins[rows, self.feature[at]]
-            return np.where(b == _MISSING, self.missing_left[at], b <= self.bin[at])
-
-        return self.leaves(left)
+    def coded(self, rows: np.ndarray, codes: "Codes", node: np.ndarray | None = None) -> np.ndarray:
+        """The node that each row (a column of bytes) ends in, from the root or from ``node`` on."""
+        n = rows.shape[1]
+        node = np.zeros(n, np.intp) if node is None else node
+        split = np.flatnonzero(self.feature >= 0)
+        byte, left = np.zeros(len(self.feature), np.intp), np.zeros((len(self.feature), 256), np.intp)
+        for i in split:
+            byte[i], left[i] = codes.place[self.feature[i]][0], codes.left(self.feature[i], self.bin[i], self.missing_left[i])
+        one = len(set(byte[split].tolist())) == 1
+        flat, left = rows.reshape(-1), left.reshape(-1)
+        goes_on = self.feature >= 0
+        at = np.flatnonzero(goes_on.take(node))
+        while len(at):
+            every = len(at) == n
+            own = node if every else node.take(at)
+            value = (rows[byte[split[0]]] if every else rows[byte[split[0]]].take(at)) if one else flat.take(byte.take(own) * n + at)
+            own = 2 * own + 2 - left.take(own * 256 + value)
+            if every:
+                node = own
+            else:
+                node[at] = own
+            at = at[goes_on.take(own)]
+        return node
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         def left(rows, at):
@@ -151,6 +169,54 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Codes:
+    """How bins are kept: features of few bins share a byte, as digits. place: byte, stride and radix of each feature; cells: values of each byte."""
+
+    place: list[tuple[int, int, int]]
+    cells: list[int]
+    bins: list[int]
+
+    @classmethod
+    def of(cls, edges: list[np.ndarray], have: list[int], rows: int) -> "Codes":
+        """``have``: values of each feature that are not missing. A feature that parts nothing has one digit, 0."""
+        place, cells, bins = [], [1], []
+        for e, k in zip(edges, have):
+            bins.append(len(e) + 1)
+            radix = len(e) + 1 + (k < rows) if k else 1
+            byte = next((i for i, c in enumerate(cells) if c * radix <= 256), len(cells))
+            if byte == len(cells):
+                cells.append(1)
+            place.append((byte, cells[byte], radix))
+            cells[byte] *= radix
+        return cls(place, cells, bins)
+
+    def encode(self, bins: np.ndarray) -> np.ndarray:
+        """A row of bytes for each byte."""
+        out = np.zeros((len(self.cells), len(bins)), np.uint8)
+        for f, (byte, stride, radix) in enumerate(self.place):
+            if radix > 1:
+                out[byte] += (np.minimum(bins[:, f], radix - 1) * stride).astype(np.uint8)  # missing values are the last digit
+        return out
+
+    def left(self, f: int, b: int, missing_left: bool) -> np.ndarray:
+        """Which values of the feature's byte go left."""
+        _, stride, radix = self.place[f]
+        digit = np.arange(256) // stride % radix
+        return np.where(digit == self.bins[f], missing_left, digit <= b)
+
+    def sums(self, f: int, both: np.ndarray) -> np.ndarray:
+        """Of sums by node and value of the feature's byte, those by its bins and, last, missing values."""
+        _, stride, radix = self.place[f]
+        two, nodes, cells = both.shape
+        own = both.reshape(two, nodes, cells // (stride * radix), radix, stride).sum(axis=(2, 4))
+        return own if radix > self.bins[f] else np.concatenate([own, np.zeros((two, nodes, 1), own.dtype)], axis=2)
+
+    def asked(self, columns: list[int]) -> list[int]:
+        """The columns that can part rows; one, for the sums, where none can."""
+        return [f for f in columns if self.place[f][2] > 1] or columns[:1]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
@@ -180,42 +246,39 @@ def gradients(margin: np.ndarray, y: np.ndarray, w: np.ndarray, logistic: bool)
 
 def best_splits(g: np.ndarray, h: np.ndarray, settings: Settings) -> list[tuple]:
     """Of each node (rows: bins, the last for missing values): gain, bin, missing_left, and sums on the left; and all sums."""
-    out = []
-    lam = settings.l2
-    for gs, hs in zip(g, h):
-        total_g, total_h = int(gs.sum()), int(hs.sum())
-        cg, ch = np.cumsum(gs[:-1]), np.cumsum(hs[:-1])
-        gl, hl = np.stack([cg, cg + gs[-1]]), np.stack([ch, ch + hs[-1]])  # missing right, missing left
-        lg, lh, tg, th = gl / UNIT, hl / UNIT, total_g / UNIT, total_h / UNIT
-        rg, rh = tg - lg, th - lh
-        fit = (lh >= settings.min_weight) & (rh >= settings.min_weight)
-        gain = np.where(fit, lg**2 / (lh + lam) + rg**2 / (rh + lam) - tg**2 / (th + lam), -np.inf)
-        at = int(np.argmax(gain.T))  # the first bin, and missing to the right, on ties
-        b, left = divmod(at, 2)
-        out.append((float(gain[left, b]), b, bool(left), int(gl[left, b]), int(hl[left, b]), total_g, total_h))
-    return out
+    lam, n = settings.l2, len(g)
+    total_g, total_h = g.sum(axis=1), h.sum(axis=1)
+    cg, ch = np.cumsum(g[:, :-1], axis=1), np.cumsum(h[:, :-1], axis=1)
+    gl, hl = np.stack([cg, cg + g[:, -1:]], axis=2), np.stack([ch, ch + h[:, -1:]], axis=2)  # missing right, missing left
+    lg, lh, tg, th = gl / UNIT, hl / UNIT, (total_g / UNIT)[:, None, None], (total_h / UNIT)[:, None, None]
+    rg, rh = tg - lg, th - lh
+    fit = (lh >= settings.min_weight) & (rh >= settings.min_weight)
+    gain = np.where(fit, lg**2 / (lh + lam) + rg**2 / (rh + lam) - tg**2 / (th + lam), -np.inf).reshape(n, -1)
+    at, node = np.argmax(gain, axis=1), np.arange(n)  # the first bin, and missing to the right, on ties
+    own = (gain[node, at], at // 2, at % 2 == 1, gl.reshape(n, -1)[node, at], hl.reshape(n, -1)[node, at], total_g, total_h)
+    return list(zip(*(c.tolist() for c in own)))
 
 
 _state: dict = {"run": None}
 
 
-def _margin(run: str, model: int, block: int, bins: np.ndarray, base: float, old, recent: list[Tree], n_old: int) -> np.ndarray:
+def _margin(run: str, model: int, block: int, rows: np.ndarray, codes: Codes, base: float, old, recent: list[Tree], n_old: int) -> np.ndarray:
     """Predictions so far for a block; ``old`` gives the trees before the recent ones."""
     if _state["run"] != run:
         _state.clear()
         _state["run"] = run
     n, margin = _state.get((model, block), (0, None))
     if margin is None:
-        margin = np.full(len(bins), base)
+        margin = np.full(rows.shape[1], base)
     todo = (old.value[model][n:n_old] if n < n_old else []) + recent[max(0, n - n_old) :]
     for tree in todo:
-        margin = margin + tree.value[tree.binned(bins)]
+        margin = margin + tree.value[tree.coded(rows, codes)]
     _state[model, block] = n + len(todo), margin
     return margin
 
 
-def pack(data: DataFrame, edges: list[np.ndarray], n: int) -> DataFrame:
-    """Blocks of binned rows: bins, y, w, fold and key (a hash of the row), packed."""
+def pack(data: DataFrame, edges: list[np.ndarray], n: int, codes: Codes) -> DataFrame:
+    """Blocks of binned rows: bins (as bytes), y, w, fold and key (a hash of the row), packed."""
     ship(data.sparkSession)
     rows = data.select(F.array(*[F.coalesce(f"x{i}", F.lit(float("nan"))) for i in range(n)]).alias("x"), "y", "w", "fold", F.xxhash64(*[f"x{i}" for i in range(n)], "y", "fold").alias("key"))
 
@@ -223,7 +286,7 @@ def pack(data: DataFrame, edges: list[np.ndarray], n: int) -> DataFrame:
         held, size = [], 0
         for b in batches:
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-            held.append((binned(x, edges), *(b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))))
+            held.append((codes.encode(binned(x, edges)).T, *(b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))))
             size += len(x)
             if size >= BLOCK_ROWS:
                 yield _block(held)
@@ -236,7 +299,7 @@ def pack(data: DataFrame, edges: list[np.ndarray], n: int) -> DataFrame:
 
 def _block(held: list[tuple]) -> pa.RecordBatch:
     bins, y, w, fold, key = (np.concatenate(c) for c in zip(*held))
-    parts = [np.ascontiguousarray(bins), y.astype(np.float64), w.astype(np.float64), fold.astype(np.int32), key.astype(np.int64)]
+    parts = [np.ascontiguousarray(bins.T), y.astype(np.float64), w.astype(np.float64), fold.astype(np.int32), key.astype(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["rows", "bins", "y", "w", "fold", "key"])
 
 
@@ -249,16 +312,17 @@ def train(prepared: DataFrame, features: dict[str, Column], y: Column, settings:
     rows = prepared.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(features.values())], y.cast("double").alias("y"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"), (F.lit(-1) if fold is None else F.coalesce(fold.cast("int"), F.lit(-1))).alias("fold"))
     data = cut(rows.where("y is not null"), "training-rows")
     edges = edges_of(data, names)
-    rows_in = data.count()
+    rows_in, *have = data.agg(F.count(F.lit(1)), *[F.count(no_nan(F.col(f"x{i}"))) for i in range(len(names))]).first()
+    codes = Codes.of(edges, have, rows_in)
     fewer = data.coalesce(max(1, -(-rows_in // BLOCK_ROWS)))  # small tables are few tasks: there are five jobs a tree
-    stored = cut(pack(fewer, edges, len(names)), "training-blocks")
+    stored = cut(pack(fewer, edges, len(names), codes), "training-blocks")
     context = stored.sparkSession.sparkContext
     n = len(names)
 
     def load(pair):
         r, block = pair
         take = lambda c, kind: np.frombuffer(r[c], dtype=kind)
-        return block, take("bins", np.uint8).reshape(-1, n), take("y", np.float64), take("w", np.float64), take("fold", np.int32), take("key", np.uint64)
+        return block, take("bins", np.uint8).reshape(-1, r["rows"]), take("y", np.float64), take("w", np.float64), take("fold", np.int32), take("key", np.uint64)
 
     blocks = stored.rdd.zipWithUniqueId().map(load).persist(StorageLevel.MEMORY_AND_DISK)
     sums = blocks.flatMap(lambda b: [(m, _outside(b, k)) for m, k in enumerate(held_out)]).reduceByKey(lambda a, b: [a[0] + b[0], a[1] + b[1]], 1).collectAsMap()
@@ -266,31 +330,27 @@ def train(prepared: DataFrame, features: dict[str, Column], y: Column, settings:
     live = [m for m in range(len(held_out)) if sums.get(m) is not None and sums[m][0] > 0]
     if not live:
         return forests
-    run, parts = uuid.uuid4().hex, max(1, min(n * len(live), blocks.getNumPartitions()))
-    alone = blocks.getNumPartitions() == 1  # one task has all blocks: a task for each model goes on from level to level by itself
-    if alone:
-        copies = blocks.flatMap(lambda b: [(m, b) for m in live])
-        copies = (copies.partitionBy(len(live), live.index) if len(live) > 1 else copies).persist(StorageLevel.MEMORY_AND_DISK)
+    if rows_in <= ALONE_BLOCKS * BLOCK_ROWS:
+        _alone(blocks, forests, live, held_out, codes, edges, settings)
+        blocks.unpersist()
+        return forests
+    run, parts = uuid.uuid4().hex, max(1, min(-(-len(codes.cells) * len(live) // 4), blocks.getNumPartitions()))
     old, n_old = context.broadcast({m: [] for m in live}), 0
+    bases = {m: forests[m].base for m in live}
     for t in range(settings.trees):
         if t - n_old >= RECENT:
             old.unpersist()
             old, n_old = context.broadcast({m: list(forests[m].trees) for m in live}), t
         recent = {m: forests[m].trees[n_old:] for m in live}
-        columns = columns_of(t, n, settings)
+        columns = codes.asked(columns_of(t, n, settings))
         growing = {m: Tree.empty(settings.depth) for m in live}
-        bases = {m: forests[m].base for m in live}
-        level = lambda growing, ask: _level(run, t, settings, columns, growing, ask, held_out, bases, old, recent, n_old)  # noqa: B023, E731
-        if alone:
-            growing = dict(copies.mapPartitions(lambda own: _trees(own, growing, level, edges, settings)).collect())  # noqa: B023
-        else:
-            _levels(growing, edges, settings, lambda ask: blocks.flatMap(level(growing, ask)).reduceByKey(np.add, parts).map(lambda kv: (kv[0], best_splits(*kv[1], settings))).collect())  # noqa: B023
+        split = lambda kv: _splits(*kv, columns, codes, settings)  # noqa: B023, E731
+        level = lambda ask: _level(run, t, settings, columns, codes, growing, ask, held_out, bases, old, recent, n_old)  # noqa: B023, E731
+        _levels(growing, edges, settings, lambda ask: blocks.mapPartitions(level(ask)).reduceByKey(np.add, parts).flatMap(split).collect())  # noqa: B023
         for m in live:
             forests[m].trees.append(growing[m])
     old.unpersist()
     blocks.unpersist()
-    if alone:
-        copies.unpersist()
     return forests
 
 
@@ -305,24 +365,82 @@ def _levels(growing: dict[int, Tree], edges: list[np.ndarray], settings: Setting
         open_ = {m: _grow(growing[m], nodes, {f: s for (k, f), s in found if k == m}, edges, settings) for m, nodes in ask.items()}
 
 
-def _trees(pairs: Iterator[tuple], growing: dict[int, Tree], level, edges: list[np.ndarray], settings: Settings) -> Iterator[tuple[int, Tree]]:
-    """A tree of each model whose blocks (model, block) are all here."""
-    blocks: dict[int, list[tuple]] = {}
-    for m, block in pairs:
-        blocks.setdefault(m, []).append(block)
-
-    for m, own in blocks.items():
-        tree = {m: growing[m]}
-
-        def splits(ask: dict[int, list[int]]) -> list[tuple]:
-            total: dict = {}
-            for block in own:  # noqa: B023
-                for k, v in level(tree, ask)(block):  # noqa: B023
-                    total[k] = total[k] + v if k in total else v
-            return [(k, best_splits(*v, settings)) for k, v in total.items()]
-
-        _levels(tree, edges, settings, splits)
-        yield m, tree[m]
+def _splits(key: tuple[int, int], both: np.ndarray, columns: list[int], codes: Codes, settings: Settings) -> list[tuple]:
+    """Of the sums of a byte: ((model, feature), best splits) for each of its columns."""
+    m, byte = key
+    return [((m, f), best_splits(*codes.sums(f, both), settings)) for f in columns if codes.place[f][0] == byte]
+
+
+def _alone(blocks, forests: list[Forest], live: list[int], held_out, codes: Codes, edges: list[np.ndarray], settings: Settings) -> None:
+    """Grow all trees with a task for each model; blocks and predictions so far go on from job to job."""
+    pairs = blocks.flatMap(lambda b: [(m, b) for m in live])
+    pairs = pairs.partitionBy(len(live), live.index) if len(live) > 1 else pairs.coalesce(1)
+    n, bases = len(forests[0].features), {m: forests[m].base for m in live}
+
+    def start(own: Iterator[tuple]) -> Iterator[tuple]:
+        found: dict[int, list[tuple]] = {}
+        for m, block in own:
+            found.setdefault(m, []).append(block)
+        return ((m, [(b, np.full(len(b[2]), bases[m])) for b in mine], []) for m, mine in found.items())
+
+    def more(first: int, last: int):
+        def run(own: Iterator[tuple]) -> Iterator[tuple]:
+            for m, mine, _ in own:
+                made = []
+                for t in range(first, last):
+                    columns, tree = codes.asked(columns_of(t, n, settings)), Tree.empty(settings.depth)
+                    rows = [_Rows(b, held_out[m], drawn(b[5], t, settings), margin, settings) for b, margin in mine]
+                    bytes_ = sorted({codes.place[f][0] for f in columns})
+
+                    def splits(ask: dict[int, list[int]]) -> list[tuple]:
+                        sums = [sum(each) for each in zip(*(r.sums(tree, ask[m], bytes_, codes) for r in rows))]  # noqa: B023
+                        return [s for byte, both in zip(bytes_, sums) for s in _splits((m, byte), both, columns, codes, settings)]  # noqa: B023
+
+                    _levels({m: tree}, edges, settings, splits)
+                    mine = [(b, margin + tree.value[tree.coded(b[1], codes)]) for b, margin in mine]
+                    made.append(tree)
+                yield m, mine, made
+
+        return run
+
+    state, before = pairs.mapPartitions(start), None
+    for first in range(0, settings.trees, ALONE_TREES):
+        state = state.mapPartitions(more(first, min(first + ALONE_TREES, settings.trees))).persist(StorageLevel.MEMORY_AND_DISK)
+        for m, made in state.map(lambda s: (s[0], s[2])).collect():
+            forests[m].trees += made
+        if before is not None:
+            before.unpersist()
+        before = state
+    if before is not None:
+        before.unpersist()
+
+
+class _Rows:
+    """The rows of a block that a tree of a model draws: bytes, gradients, and the node that each has come to."""
+
+    def __init__(self, block: tuple, out: int | None, drawn: np.ndarray, margin: np.ndarray, settings: Settings):
+        _, codes, y, w, fold, _ = block
+        own = np.flatnonzero(drawn if out is None else drawn & (fold != out))
+        self.codes, self.node = codes.take(own, axis=1), np.zeros(len(own), np.intp)
+        self.g, self.h = gradients(margin[own], y[own], w[own], settings.logistic)
+
+    def sums(self, tree: Tree, nodes: list[int], bytes_: list[int], codes: Codes) -> list[np.ndarray]:
+        """Sums of gradients by node and value, for each byte."""
+        place = np.full(len(tree.feature), -1)
+        place[nodes] = np.arange(len(nodes))
+        self.node = tree.coded(self.codes, codes, self.node)
+        at = place.take(self.node)
+        some = np.flatnonzero(at >= 0)
+        every = len(some) == len(at)  # no row has stopped yet
+        at, g, h = (at, self.g, self.h) if every else (at.take(some), self.g.take(some), self.h.take(some))
+        out = []
+        for byte in bytes_:
+            cells = codes.cells[byte]
+            value = self.codes[byte] if every else self.codes[byte].take(some)
+            cell = at * cells + value
+            both = np.stack([np.bincount(cell, v, len(nodes) * cells) for v in (g, h)]).astype(np.int64)
+            out.append(both.reshape(2, len(nodes), cells))
+        return out
 
 
 def _outside(block: tuple, k: int | None) -> list[int]:
@@ -338,26 +456,20 @@ def _base(sums: list[int] | None, settings: Settings) -> float:
     return math.log(max(mean, 1e-6) / max(1 - mean, 1e-6)) if settings.logistic else mean
 
 
-def _level(run: str, t: int, settings: Settings, columns: list[int], growing: dict[int, Tree], ask: dict[int, list[int]], held_out, bases: dict[int, float], old, recent: dict[int, list[Tree]], n_old: int):
-    """Of a block: ((model, feature), sums of gradients by node and bin)."""
-
-    def count(block: tuple) -> Iterator[tuple]:
-        name, bins, y, w, fold, key = block
-        rows = drawn(key, t, settings)
-        for m, nodes in ask.items():
-            place = np.full(len(growing[m].feature), -1)
-            place[nodes] = np.arange(len(nodes))
-            own = rows if held_out[m] is None else rows & (fold != held_out[m])
-            at = place[growing[m].binned(bins)]
-            some = np.flatnonzero(own & (at >= 0))
-            margin = _margin(run, m, name, bins, bases[m], old, recent[m], n_old)
-            g, h = gradients(margin[some], y[some], w[some], settings.logistic)
-            cells = len(nodes) * (BINS + 1)
-            at = at[some] * (BINS + 1)
-            for f in columns:
-                cell = at + bins[some, f]
-                both = np.stack([np.bincount(cell, v, cells) for v in (g, h)]).astype(np.int64)
-                yield (m, f), both.reshape(2, len(nodes), BINS + 1)
+def _level(run: str, t: int, settings: Settings, columns: list[int], codes: Codes, growing: dict[int, Tree], ask: dict[int, list[int]], held_out, bases: dict[int, float], old, recent: dict[int, list[Tree]], n_old: int):
+    """Of the blocks of a task: ((model, byte), sums of gradients by node and value)."""
+    bytes_ = sorted({codes.place[f][0] for f in columns})
+
+    def count(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        total: dict = {}
+        for block in blocks:
+            rows = drawn(block[5], t, settings)
+            for m, nodes in ask.items():
+                margin = _margin(run, m, block[0], block[1], codes, bases[m], old, recent[m], n_old)
+                own = _Rows(block, held_out[m], rows, margin, settings)
+                for byte, both in zip(bytes_, own.sums(growing[m], nodes, bytes_, codes)):
+                    total[m, byte] = total[m, byte] + both if (m, byte) in total else both
+        yield from total.items()
 
     return count
 

@@ -105,6 +105,43 @@ def test_folds_in_the_same_jobs(spark):
     assert forests[0].to_dict() != forests[1].to_dict()
 
 
+def test_few_jobs_and_the_same_trees(spark, monkeypatch):
+    """A few blocks are one task's, with a job for many trees; the trees are those of a job for each level."""
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    _, _, df = table(spark, 250, 4)
+    settings, context = boosting.Settings(trees=6, depth=3, step=0.3, min_weight=3.0), spark.sparkContext
+    context.setJobGroup("few-jobs", "")
+    alone = boosting.train(df, columns(), F.col("y"), settings, fold=F.col("fold"), held_out=[0, 1, None])
+    context.setJobGroup("others", "")
+    assert len(context.statusTracker().getJobIdsForGroup("few-jobs")) < 3 * settings.trees
+    monkeypatch.setattr(boosting, "ALONE_TREES", 4)
+    again = boosting.train(df, columns(), F.col("y"), settings, fold=F.col("fold"), held_out=[0, 1, None])
+    monkeypatch.setattr(boosting, "ALONE_BLOCKS", 0)
+    levels = boosting.train(df, columns(), F.col("y"), settings, fold=F.col("fold"), held_out=[0, 1, None])
+    assert [f.to_dict() for f in alone] == [f.to_dict() for f in again] == [f.to_dict() for f in levels]
+
+
+def test_features_that_share_a_byte():
+    """Bins come back from bytes, and sums of a feature from sums of its byte; a feature that parts nothing takes no room."""
+    rng = np.random.default_rng(1)
+    edges = [np.array([0.0]), np.array([]), np.array([0.0, 1.0]), np.arange(254.0), np.array([]), np.array([0.0])]
+    x = np.column_stack([rng.integers(0, 2, 500), np.full(500, np.nan), rng.integers(0, 3, 500), rng.integers(0, 255, 500), np.ones(500), rng.integers(0, 2, 500)]).astype(float)
+    for i in (2, 3, 5):
+        x[rng.random(500) < 0.2, i] = np.nan
+    bins, g = boosting.binned(x, edges), rng.integers(-9, 9, 500)
+    codes = boosting.Codes.of(edges, [int((~np.isnan(x[:, i])).sum()) for i in range(6)], 500)
+    rows = codes.encode(bins)
+    assert len(codes.cells) == 2 and codes.asked([1, 2, 4]) == [2] and codes.asked([1, 4]) == [1]
+    for f in (0, 2, 3, 5):
+        byte = codes.place[f][0]
+        both = np.stack([np.bincount(rows[byte], v, codes.cells[byte]) for v in (g, np.ones(500))]).astype(np.int64)[:, None]
+        own = codes.sums(f, both)[0, 0]
+        n = len(edges[f]) + 1
+        assert own.tolist() == [int(g[bins[:, f] == b].sum()) for b in [*range(n), 255]]
+        for missing_left in (False, True):
+            assert (codes.left(f, 0, missing_left)[rows[byte]] == np.where(bins[:, f] == 255, missing_left, bins[:, f] <= 0)).all()
+
+
 def test_empty_and_constant(spark):
     _, _, df = table(spark, 30, 2)
     assert boosting.train(df.limit(0), columns(), F.col("y"), boosting.Settings(trees=3))[0].trees == []
