@@ -34,8 +34,8 @@ from driftline.tables import cut
 
 #: Bins of a feature, beside that of missing values; rows of a block; trees that each job carries itself.
 BINS, BLOCK_ROWS, RECENT = 255, 1 << 16, 16
-#: Blocks that one task takes by itself (some 10 MB), and trees that it grows in a job.
-ALONE_BLOCKS, ALONE_TREES = 4, 50
+#: Blocks that one task takes by itself (a million rows, some 40 to 100 MB; more go level by level over all tasks), and trees that it grows in a job.
+ALONE_BLOCKS, ALONE_TREES = 16, 50
 #: Gradients in fixed point, and the least gain of a split.
 UNIT, LEAST_GAIN = float(1 << 24), 1e-6
 _MISSING = 255
