@@ -40,14 +40,16 @@ def _coordinate(v: Column, deeper: int) -> Column:
     return F.coalesce(own, let(first_truthy(*[at(k, "variant") for k in ("LatLng", "latLng", "latlng")]), lambda w: _coordinate(w, deeper - 1)))
 
 
-def add_latlng(df: DataFrame, value: Column) -> DataFrame:
+def add_latlng(df: DataFrame, value: Column, required: bool = False) -> DataFrame:
     """Add lat and lon of a VARIANT: a string, E7 integers, or an object that holds one of these under LatLng, latLng or latlng.
 
     Objects are followed two levels down. Every level binds its value by ``let``, so the plan grows with the
-    number of levels and not with its powers.
+    number of levels and not with its powers. ``required``: rows without one are left out, by a generator, as a condition
+    would be worked out below the projection, and the coordinate twice.
     """
     pair = lambda t: F.struct(*[x.alias(n) for n, x in zip(("lat", "lon"), latlng_text(t), strict=True)])
-    df = df.withColumn("_place", let(let(value, lambda v: _coordinate(v, 2)), pair))
+    place = let(let(value, lambda v: _coordinate(v, 2)), pair)
+    df = df.withColumn("_place", F.explode(F.filter(F.array(place), lambda p: p["lat"].isNotNull())) if required else place)
     return df.withColumns({"lat": F.col("_place.lat"), "lon": F.col("_place.lon")}).drop("_place")
 
 

@@ -1,7 +1,7 @@
 """Location-history exports (JSON of either family) as tables.
 
 Files are read in byte ranges: ``json_elements`` finds the signals and segments of a file, whatever its size, by many tasks, and writes them
-once; each becomes a VARIANT, and every layer is a projection of these. Documents that are VARIANTs already (``read_exports``, one row
+once; each becomes a VARIANT, written by its kind, and every layer is a projection of those of its kind. Documents that are VARIANTs already (``read_exports``, one row
 each) go through the same projections. segment_id is the place of a segment in its file.
 """
 
@@ -80,19 +80,31 @@ def parse_raw_signals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return signal_layers(_items(docs, signals, "e"))
 
 
+def _bodies(e: Column) -> list[Column]:
+    return [_at(e, f"$.{k}") for k in ("position", "activityRecord", "wifiScan")]
+
+
+def signal_kind(e: Column) -> Column:
+    """p, a or w; null for none."""
+    position, activity, wifi = _bodies(e)
+    return F.when(position.isNotNull(), F.lit("p")).when(activity.isNotNull(), F.lit("a")).when(wifi.isNotNull(), F.lit("w"))
+
+
+def segment_kind(s: Column) -> Column:
+    return F.when(_there(s, "$.timelinePath"), F.lit("path")).when(_there(s, "$.visit"), F.lit("visit")).when(_there(s, "$.activity"), F.lit("activity")).otherwise(F.lit("other"))
+
+
 def signal_layers(entry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The layers of entries (volunteer, source_file, e)."""
+    """The layers of entries (volunteer, source_file, e; kind, if it is known)."""
     e = F.col("e")
-    position, activity, wifi = (_at(e, f"$.{k}") for k in ("position", "activityRecord", "wifiScan"))
-    kind = F.when(position.isNotNull(), F.lit("p")).when(activity.isNotNull(), F.lit("a")).when(wifi.isNotNull(), F.lit("w"))
-    entry = entry.withColumns({"kind": kind, "body": F.coalesce(position, activity, wifi)})
+    entry = entry.withColumns({"kind": F.col("kind") if "kind" in entry.columns else signal_kind(e), "body": F.coalesce(*_bodies(e))})
     b = F.col("body")
-    points = add_latlng(entry.where("kind = 'p'"), first_truthy(_at(b, "$.LatLng"), _at(b, "$.latLng")))
+    points = add_latlng(entry.where("kind = 'p'"), first_truthy(_at(b, "$.LatLng"), _at(b, "$.latLng")), required=True)
     number = lambda k: safe_float(_text(b, f"$.{k}"))
     points = points.withColumns({
         "timestamp": to_utc(_text(b, "$.timestamp")), "accuracy_m": number("accuracyMeters"), "altitude_m": number("altitudeMeters"),
         "speed_mps": number("speedMetersPerSecond"), "source": F.when(_there(b, "$.source"), _text(b, "$.source")).otherwise(F.lit("UNKNOWN")),
-    }).where("lat is not null")
+    })
     probable = _at(b, "$.probableActivities", "array<variant>")
     ranked = F.transform(probable, lambda x, i: F.struct((-F.coalesce(_at(x, "$.confidence", "double"), F.lit(0.0))).alias("less"), i.alias("i"), _text(x, "$.type").alias("type"), _at(x, "$.confidence", "double").alias("confidence")))
     records = entry.where("kind = 'a'").withColumns({"timestamp": to_utc(_text(b, "$.timestamp")), "top": F.array_min(ranked), "n_candidates": F.coalesce(F.size(F.when(probable.isNotNull(), probable)), F.lit(0))})
@@ -111,35 +123,34 @@ def parse_segments(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
 
 
 def segment_layers(seg: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The layers of segments (volunteer, source_file, s, s_pos)."""
+    """The layers of segments (volunteer, source_file, s, s_pos; kind, if it is known)."""
     s = F.col("s")
-    kind = F.when(_there(s, "$.timelinePath"), F.lit("path")).when(_there(s, "$.visit"), F.lit("visit")).when(_there(s, "$.activity"), F.lit("activity")).otherwise(F.lit("other"))
-    seg = seg.withColumns({"kind": kind, "segment_id": F.col("s_pos").cast("long"), "start": _text(s, "$.startTime"), "end": _text(s, "$.endTime")})
+    seg = seg.withColumns({"kind": F.col("kind") if "kind" in seg.columns else segment_kind(s), "segment_id": F.col("s_pos").cast("long"), "start": _text(s, "$.startTime"), "end": _text(s, "$.endTime")})
     seg = seg.withColumns({"start_time": to_utc(F.col("start")), "end_time": to_utc(F.col("end"))})
 
     path = _items(seg.where("kind = 'path'"), _at(s, "$.timelinePath"), "p")
     p = F.col("p")
-    path = add_latlng(path, first_truthy(_at(p, "$.point"), _at(p, "$.latLng")))
+    path = add_latlng(path, first_truthy(_at(p, "$.point"), _at(p, "$.latLng")), required=True)
     offset = "$.durationMinutesOffsetFromStartTime"
     when = F.when(F.coalesce(_text(p, "$.time"), F.lit("")) != "", to_utc(_text(p, "$.time"))).when(_there(p, offset), offset_time(F.col("start_time"), _text(p, offset))).otherwise(F.col("start_time"))
-    paths = path.withColumns({"timestamp": when, "segment_start": F.col("start"), "segment_end": F.col("end")}).where("lat is not null")
+    paths = path.withColumns({"timestamp": when, "segment_start": F.col("start"), "segment_end": F.col("end")})
 
     top = lambda k: _text(s, f"$.visit.topCandidate.{k}")
-    visits = add_latlng(seg.where("kind = 'visit'"), _at(s, "$.visit.topCandidate.placeLocation")).withColumns({
+    visits = add_latlng(seg.where("kind = 'visit'"), _at(s, "$.visit.topCandidate.placeLocation"), required=True).withColumns({
         "place_id": F.coalesce(F.nullif(top("placeID"), F.lit("")), top("placeId")), "semantic_type": top("semanticType"),
         "probability": top("probability"), "hierarchy_level": _text(s, "$.visit.hierarchyLevel"),
-    }).where("lat is not null")
+    })
 
     ends = seg.where("kind = 'activity'").withColumn("x", F.explode(F.array(
         F.struct(F.lit("start").alias("endpoint"), _at(s, "$.activity.start").alias("place"), F.col("start_time").alias("at")),
         F.struct(F.lit("end").alias("endpoint"), _at(s, "$.activity.end").alias("place"), F.col("end_time").alias("at")),
     )))
-    activities = add_latlng(ends, F.col("x.place")).withColumns({
+    activities = add_latlng(ends, F.col("x.place"), required=True).withColumns({
         "endpoint": F.col("x.endpoint"), "timestamp": F.col("x.at"),
         "mode": F.coalesce(F.nullif(_text(s, "$.activity.topCandidate.type"), F.lit("")), _text(s, "$.activity.activityType")),
         "mode_probability": _text(s, "$.activity.topCandidate.probability"), "distance_m": safe_float(_text(s, "$.activity.distanceMeters")),
         "activity_probability": safe_float(_text(s, "$.activity.probability")),
-    }).where("lat is not null")
+    })
 
     others = seg.where("kind = 'other'").withColumn("keys", F.sort_array(F.json_object_keys(F.to_json(s))))
     return _finish(paths, schemas.TIMELINE_PATHS), _finish(visits, schemas.VISITS), _finish(activities, schemas.ACTIVITIES), _finish(others, schemas.OTHER_SEGMENTS)
@@ -154,9 +165,12 @@ def parse_glh(spark: SparkSession, path: str | list[str], volunteer: str | None
     files = cut(files.select(*who, family.alias("family"), (F.col("final") <= 0).alias("complete")), "export-files")
     if bad := files.where("family is null or not complete").first():
         raise ValueError(f"not a location-history export{'' if bad['complete'] else ', or one that ends early'}: {bad['source_file']}")
-    elements = cut(elements.where(F.col("key").isin("rawSignals", "semanticSegments", "")).select(*who, "key", "pos", "text"), "export-elements")
-    signals = elements.where("key = 'rawSignals'").select("volunteer", "source_file", F.parse_json("text").alias("e"))
-    segments = elements.where("key <> 'rawSignals'").select("volunteer", "source_file", F.parse_json("text").alias("s"), F.col("pos").alias("s_pos"))
+    elements = elements.where(F.col("key").isin("rawSignals", "semanticSegments", "")).select(*who, "key", "pos", F.parse_json("text").alias("v"))
+    v = F.col("v")
+    kind = F.when(F.col("key") == "rawSignals", signal_kind(v)).otherwise(segment_kind(v))
+    elements = cut(elements.select("volunteer", "source_file", "pos", "v", kind.alias("kind")), "export-elements", "kind")  # each layer reads its own
+    signals = elements.where(F.col("kind").isin("p", "a", "w")).select("volunteer", "source_file", "kind", v.alias("e"))
+    segments = elements.where(F.col("kind").isin("path", "visit", "activity", "other")).select("volunteer", "source_file", "kind", v.alias("s"), F.col("pos").alias("s_pos"))
     return Export(files.select("volunteer", "source_file", "family"), *signal_layers(signals), *segment_layers(segments))
 
 

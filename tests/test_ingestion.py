@@ -75,6 +75,19 @@ def test_plans_stay_small(spark, tmp_path):
         assert len(layer._jdf.queryExecution().optimizedPlan().toString()) < 100_000
 
 
+def test_a_layer_reads_its_own_elements_once(spark, tmp_path):
+    """No layer parses JSON again or reads elements of another kind, and each works a coordinate out once."""
+    (tmp_path / "one.json").write_text(json.dumps({"rawSignals": SIGNALS, "semanticSegments": SEGMENTS}))
+    found = glh.parse_glh(spark, url(tmp_path / "one.json"))
+    for name in ("raw_signals", "activity_records", "wifi_scans", "timeline_paths", "visits", "activities", "other_segments"):
+        layer = getattr(found, name)
+        plan = layer._jdf.queryExecution().optimizedPlan().toString()
+        assert "parse_json" not in plan.lower() and "parsejson" not in plan.lower()
+        assert plan.count("regexp_extract(") <= 4  # two, each named again in nullif
+        assert {"p", "path"} <= {f.split("kind=")[1].split("/")[0] for f in layer.inputFiles()}  # one table, in parts by kind
+        assert "kind" in layer._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
 # --- tracks
 
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,22 @@ def test_against_a_parser(spark, tmp_path, monkeypatch, small):
             assert {k for k in d if "\\" not in k} <= set(known[f]["keys"])
 
 
+def test_bytes_are_handed_on_as_they_lie():
+    """A split's rows become a few arrays of bytes, not a value each."""
+    rows = [("f", 0, b'[{"a":1}'), ("f", 0, b',{"b":2}'), ("g", 0, b"[{}"), ("g", 9, b"]}")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["file", "split", "piece"]) for part in (rows[:1], rows[1:])]
+    got = [(key, [x.tobytes() for x in own]) for key, own in json_elements._by_split(iter(batches), 2)]
+    assert got == [(("f", 0), [b'[{"a":1}', b',{"b":2}']), (("g", 0), [b"[{}"]), (("g", 9), [b"]}"])]
+    sliced = batches[1].slice(1)
+    assert [(key, [x.tobytes() for x in own]) for key, own in json_elements._by_split(iter([sliced]), 2)] == got[1:]
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "odd.json").write_bytes(b'[{"a":"\xff"},"\xc3\xa9", 1]')
+    elements, _ = json_elements.read_elements(spark, "file://" + str(tmp_path / "odd.json"))
+    assert sorted((r.pos, r.text.strip()) for r in elements.collect()) == [(0, '{"a":"\ufffd"}'), (1, '"é"'), (2, "1")]
+
+
 @pytest.mark.parametrize("text", ['[{"a": 1}, {"b": ', '{"rawSignals": [{"position": {', '{"other": [1]}', "3"])
 def test_bad_files(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)
