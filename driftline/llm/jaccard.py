@@ -10,7 +10,8 @@ they share at least ``PERCENT`` of the union. The work is on different sets: equ
 2. The global order puts rare shingles first, by hash, then frequent ones by frequency. Two sets that link
    share at least k shingles within their first n - need + k. These prefixes meet in buckets by shingle, as
    packed arrays of many sets. Small groups give pairs with the number of shingles shared; in large groups
-   each member is paired with a leader only.
+   each member is paired with a leader only. Pairs stay whose sizes allow a link with what they share of prefixes at most, and
+   whose sketches (parities of classes of shingles) differ no more than linked sets may.
 3. Prefix-tree join. The sets of the pairs that one shingle (or one leader) showed are a block. A block stores its sets
    in one trie, in an order of its own shingles, and all of them walk it together: what stored sets share is
    counted once for every walker, a subtree is left by those that all that remains cannot bring to the overlap
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ CHUNK_BYTES, CHUNK_TOKENS = 16 << 20, 2_500_000
 #: Groups of up to so many sets give all their pairs.
 SMALL_GROUP = 16
 BLOCK = 64
+#: Bits of the sketch of a small and of a large set.
+SKETCH_BITS = 128, 8192
 TOKEN_BYTES, SET_BYTES = 5, 6
 #: Places of sets are broadcast up to so many rows and bytes; beyond, texts are shuffled to them.
 BROADCAST_IDS, BROADCAST_BYTES = 200_000, 16 << 20
@@ -58,14 +62,42 @@ def token_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     own = words.hashes()
     h, first, out = ngrams(own, k), words.first.tolist(), []
     for a, b in zip(first, first[1:]):
-        out.append(np.unique(h[a : b - k + 1]) if b - a >= k else ngrams(own[a:b], b - a) if b > a else h[:0])
+        if b - a >= k:
+            tokens = np.sort(h[a : b - k + 1])
+            again = tokens[1:] == tokens[:-1]
+            out.append(tokens[np.concatenate([[True], ~again])] if again.any() else tokens)
+        else:
+            out.append(ngrams(own[a:b], b - a) if b > a else h[:0])
     return out
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """A set's 64-bit name."""
-    total = mix(tokens ^ _SALT).sum(dtype=np.uint64, keepdims=True)  # arrays wrap silently
-    return int(as_long(mix(total + np.array([len(tokens)], dtype=np.uint64) * _SALT))[0])
+def nodes_of(sets: list[np.ndarray]) -> list[int | None]:
+    """64-bit names of sets; None of empty ones."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return [None] * len(sets)
+    first = np.cumsum(sizes[some]) - sizes[some]
+    total = np.add.reduceat(mix(np.concatenate([sets[i] for i in some.tolist()]) ^ _SALT), first)
+    names = as_long(mix(total + sizes[some].astype(np.uint64) * _SALT)).tolist()
+    out: list[int | None] = [None] * len(sets)
+    for i, name in zip(some.tolist(), names):
+        out[i] = name
+    return out
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each class of shingles: whether the set holds an odd number of them. There are some 4 to 8 classes a shingle, within bounds."""
+    bits = min(max(4 * len(tokens), SKETCH_BITS[0]), SKETCH_BITS[1])
+    bits = 1 << (bits - 1).bit_length()
+    return np.packbits((np.bincount(((tokens >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart_at_least(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many shingles only one of two sets has, at least; a row of bytes for each sketch. The longer sketches are folded."""
+    short = min(one.shape[1], other.shape[1])
+    fold = lambda x: np.bitwise_xor.reduce(x.reshape(len(x), -1, short), axis=1)
+    return np.bitwise_count(fold(one) ^ fold(other)).sum(axis=1, dtype=np.int64)
 
 
 def need(n, percent: int = PERCENT):
@@ -78,14 +110,27 @@ def extra(n):
     return 1 + n // 16
 
 
+def overlap_of(na, nb, percent: int = PERCENT):
+    """Shingles that linked sets of these sizes share at least."""
+    return -(-percent * (na + nb) // (100 + percent))
+
+
+def least_shared(na, nb, percent: int = PERCENT):
+    """Shingles that the prefixes of two sets of these sizes share at least, if they link.
+
+    Of the set whose prefix ends first, ``need - extra`` shingles come after it; all others that both have are in both prefixes.
+    """
+    return overlap_of(na, nb, percent) - np.maximum(need(na, percent) - extra(na), need(nb, percent) - extra(nb))
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     return ((i, t or b"") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()))
 
 
 def _first_pass(k: int):
-    """A row for each document (doc_id, row, n, node); rows with a payload: shingles that a chunk holds three times, with counts."""
-    names = ["doc_id", "row", "n", "node", "payload"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    """A row for each document (doc_id, row, n, node, sketch); rows with a payload: shingles that a chunk holds three times, with counts."""
+    names = ["doc_id", "row", "n", "node", "sketch", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -94,14 +139,14 @@ def _first_pass(k: int):
 
         def report() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            row = [None, None, None, None, pack(tokens[n > 2], n[n > 2])]
+            row = [None, None, None, None, None, pack(tokens[n > 2], n[n > 2])]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
         named = ((i, r, t or b"") for b in batches for i, t, r in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()))
         for group in groups(named):
             sets = token_sets([t for _, _, t in group], k)
-            nodes = [node_of(s) if len(s) else None for s in sets]
-            columns = [i for i, _, _ in group], [r for _, r, _ in group], [len(s) for s in sets], nodes, [None] * len(sets)
+            nodes = nodes_of(sets)
+            columns = [i for i, _, _ in group], [r for _, r, _ in group], [len(s) for s in sets], nodes, [sketch(s) if len(s) else None for s in sets], [None] * len(sets)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
             for node, tokens in zip(nodes, sets):
                 if node is not None and node not in seen:
@@ -175,9 +220,10 @@ def _send(frequent, k: int, percent: int, buckets: int):
         found: dict[int, tuple[int, int, np.ndarray]] = {}
         size = 0
         for group in groups((i, t) for i, t in _rows(batches) if i is not None):
-            for tokens in token_sets([t for _, t in group], k):
+            sets = token_sets([t for _, t in group], k)
+            for node, tokens in zip(nodes_of(sets), sets):
                 n = len(tokens)
-                if n and (node := node_of(tokens)) not in found:
+                if n and node not in found:
                     full, common = ordered(tokens, order)
                     found[node] = n, common * 255 // n, full[: n - need(n, percent) + min(extra(n), need(n, percent))]
             size += sum(len(t) for _, t in group)
@@ -285,13 +331,13 @@ def _meet(percent: int):
     return run
 
 
-def trie_join(sets: list[np.ndarray], percent: int = PERCENT, forest: bool = False) -> list[tuple[int, int]]:
+def trie_join(sets: list[np.ndarray], percent: int = PERCENT, forest: bool = False, of: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of indexes of linked sets. All sets walk one prefix tree of them together.
 
-    ``forest``: only as many links as join each component; a walker leaves a subtree whose sets it is joined with.
+    ``forest``: only as many links as join each component; a walker leaves a subtree whose sets it is joined with. ``of``: the
+    component that each set is known to be in, so that links within it are not looked for.
     """
     m = len(sets)
-    joined = np.arange(m)
     tokens = np.concatenate(sets)
     distinct, which, often = np.unique(tokens, return_inverse=True, return_counts=True)
     place = np.empty(len(distinct), dtype=np.int64)
@@ -300,6 +346,7 @@ def trie_join(sets: list[np.ndarray], percent: int = PERCENT, forest: bool = Fal
     ranked = [np.sort(place[which[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])]
     order = sorted(range(m), key=lambda i: ranked[i].astype(">u8").tobytes())
     stored = [ranked[i] for i in order]
+    joined = np.arange(m) if of is None else np.unique(np.array(of)[order], return_inverse=True)[1]
     sizes = np.array([len(s) for s in stored])
     needed = (percent * (sizes[:, None] + sizes) + 99 + percent) // (100 + percent)  # overlap o: 100 o >= percent (a + b - o)
     token = np.concatenate(stored)
@@ -343,25 +390,26 @@ def trie_join(sets: list[np.ndarray], percent: int = PERCENT, forest: bool = Fal
 
 
 def _join_blocks(percent: int):
-    """Rows sorted by block: its sets, each as (node, tokens). Links of a block, as many as join its components."""
+    """Rows sorted by block: its sets, each as (node, component so far, tokens). Links of a block, as many as join its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+        key, nodes, comps, sets = None, [], [], []
         left, right = [], []
 
         def done() -> None:
             if len(nodes) > 1:
-                for i, j in trie_join(sets, percent, forest=True):
+                for i, j in trie_join(sets, percent, forest=True, of=comps):
                     left.append(nodes[i])
                     right.append(nodes[j])
 
         for b in batches:
-            for of, part, node, tokens in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for of, part, node, comp, tokens in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if (of, part) != key:
                     done()
-                    key, nodes, sets = (of, part), [], []
+                    key, nodes, comps, sets = (of, part), [], [], []
                 if not nodes or node != nodes[-1]:  # repeated rows bring a set again
                     nodes.append(node)
+                    comps.append(comp)
                     sets.append(bytes_hash(np.frombuffer(tokens, np.uint8), SET_BYTES))
             if len(left) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -373,17 +421,41 @@ def _join_blocks(percent: int):
     return run
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
+def _sketched(pairs: DataFrame, passed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, leader, token) whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = batch.column(4), batch.column(5)
+            na, nb = (batch.column(i).to_numpy() for i in (6, 7))
+            sizes = np.stack([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in (one, other)], axis=1)
+            able = np.zeros(len(na), bool)
+            for kind in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == kind).all(axis=1))
+                x, y = (np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for c in (one, other))
+                able[at] = apart_at_least(x, y) <= na[at] + nb[at] - 2 * overlap_of(na[at], nb[at], percent)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(able)) for i in range(4)], names=["a", "b", "leader", "token"])
+
+    pairs = cut(pairs.select("a", "b", "leader", "token"), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    own = passed.where("node is not null and doc_id is not null").select("node", "n", "sketch").join(nodes, F.col("node") == F.col("_node"), "left_semi")
+    own = cut(own.dropDuplicates(["node"]), "sketches")
+    of = lambda side: own.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return map_batches(both.select("a", "b", "leader", "token", "sketch_a", "sketch_b", "na", "nb"), run, "a long, b long, leader long, token long")
+
+
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, percent: int, k: int, labels: DataFrame | None = None) -> DataFrame:
     """Links among the sets of the pairs (a, b, leader, token), by prefix trees.
 
     Pairs of a small group are one block, named by its shingle; those of a leader are cut into blocks of ``BLOCK`` sets
     besides the leader. A set is made from the text of one document that has it, once, and goes with all its blocks in
-    the one shuffle of whole sets.
+    the one shuffle of whole sets. ``labels``: components so far (node, comp); no links are looked for within them.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     led = F.col("leader").isNotNull()
     of = F.coalesce("leader", "token")
-    pairs = cut(pairs.select(of.alias("of"), led.alias("led"), "a", "b"), "pairs")
+    pairs = cut(pairs.select(of.alias("of"), led.alias("led"), "a", "b"), "blocks")
     degree = pairs.where("led").groupBy("of").agg(F.count("*").alias("degree"))
     member = F.when(F.col("a") == F.col("of"), F.col("b")).otherwise(F.col("a"))
     placed = pairs.join(degree, "of", "left").withColumn("part", F.when(F.col("led"), F.pmod(F.xxhash64(member), F.ceil(F.col("degree") / BLOCK))).otherwise(F.lit(-1)))
@@ -392,30 +464,33 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, percent: int,
     share = F.pmod(F.xxhash64("of", "part"), F.lit(64))
     places = members.groupBy("node", share.alias("share")).agg(F.collect_list(F.struct("of", "part")).alias("places"))
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("_rep"))
-    placed = cut(places.join(reps, "node").select("_rep", "node", "places"), "places")
+    named = places.join(reps, "node")
+    comp = F.col("node") if labels is None else F.coalesce("comp", "node")
+    placed = cut((named if labels is None else named.join(labels, "node", "left")).select("_rep", "node", comp.alias("comp"), "places"), "places")
     n_rows, n_places = placed.select(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
     small = n_rows <= BROADCAST_IDS and n_places * 24 <= BROADCAST_BYTES
-    texts = docs.where("text is not null").join(F.broadcast(placed) if small else placed, F.col("doc_id") == F.col("_rep")).select("text", "node", "places")
+    texts = docs.where("text is not null").join(F.broadcast(placed) if small else placed, F.col("doc_id") == F.col("_rep")).select("text", "node", "comp", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[str, list[tuple[int, list]]] = {}
-            for text, node, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                held.setdefault(text, []).append((node, own))
+            held: dict[str, list[tuple[int, int, list]]] = {}
+            for text, node, comp, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                held.setdefault(text, []).append((node, comp, own))
             for group in groups((None, t.encode()) for t in held):
-                for (_, text), tokens in zip(group, token_sets([t for _, t in group], k)):
-                    if not len(tokens):
+                sets = token_sets([t for _, t in group], k)
+                for (_, text), name, tokens in zip(group, nodes_of(sets), sets):
+                    if name is None:
                         continue
-                    name = node_of(tokens)
                     packed = hash_bytes(np.unique(bytes_hash(hash_bytes(tokens, SET_BYTES), SET_BYTES)), SET_BYTES).tobytes()
-                    out = [p for node, own in held[text.decode()] if node == name for p in own]  # else another text under the same id
+                    out = [(p["of"], p["part"], comp) for node, comp, own in held[text.decode()] if node == name for p in own]  # else another text under the same id
                     step = max(1, (4 << 20) // max(1, len(packed)))
                     for i in range(0, len(out), step):
                         some = out[i : i + step]
-                        columns = [*(pa.array([p[c] for p in some], pa.int64()) for c in ("of", "part")), pa.array([name] * len(some), pa.int64()), pa.array([packed] * len(some), pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names=["of", "part", "node", "tokens"])
+                        of, part, comps = (pa.array([p[c] for p in some], pa.int64()) for c in range(3))
+                        columns = [of, part, pa.array([name] * len(some), pa.int64()), comps, pa.array([packed] * len(some), pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["of", "part", "node", "comp", "tokens"])
 
-    dealt = map_batches(texts, run, "of long, part long, node long, tokens binary").repartition(parts, "of", "part").sortWithinPartitions("of", "part", "node")
+    dealt = map_batches(texts, run, "of long, part long, node long, comp long, tokens binary").repartition(parts, "of", "part").sortWithinPartitions("of", "part", "node")
     return map_batches(dealt, _join_blocks(percent), "a long, b long").distinct()
 
 
@@ -434,10 +509,9 @@ def _large_groups(met: DataFrame) -> DataFrame:
 def _across(large: DataFrame, held: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets in one large group but, so far, in different components, that no small group has shown.
 
-    Two such sets must share k tokens of large groups alone. A set that holds fewer takes no part, and of
-    those that hold more, in order of group size, only the first that k shared ones cannot all miss. The set whose
-    prefix ends first in the global order shares nothing of it but what it holds of large groups, so the overlap is at
-    most the larger ``most`` of a pair (all but the rest of the prefix): pairs whose sizes need more are passed over.
+    Two such sets must share ``least_shared`` tokens of large groups alone. A set that holds fewer than k takes no part, and of those
+    that hold more, in order of group size, only the first that k shared ones cannot all miss. From the first shared token on,
+    both hold as many as they must share (``room``).
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,22 +521,15 @@ def _across(large: DataFrame, held: DataFrame, labels: DataFrame, percent: int)
                 columns[i].append(b.column(i).to_numpy())
         if not columns[0]:
             return
-        token, node, n, comp, most = (np.concatenate(c) for c in columns)
+        token, node, n, comp, room = (np.concatenate(c) for c in columns)
         order = np.lexsort((n, token))
-        token, node, n, comp, most = token[order], node[order], n[order], comp[order], most[order]
+        token, node, n, comp, room = token[order], node[order], n[order], comp[order], room[order]
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found, size = [], 0
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            top = int(most[a:b].max())
-            limit = np.minimum(n[a:b] * 100 // percent, top * (100 + percent) // percent - n[a:b])  # sizes rise: partners stand close by
-            reach = np.searchsorted(n[a:b], limit, side="right") + a
-            for i in np.flatnonzero(reach > np.arange(a, b) + 1).tolist():
-                i += a
-                later = np.arange(i + 1, reach[i - a])
-                later = later[(comp[later] != comp[i]) & ((100 + percent) * np.maximum(most[later], most[i]) >= percent * (n[later] + n[i]))]
-                if len(later):
-                    found.append((np.full(len(later), node[i]), node[later], np.full(len(later), n[i]), n[later], np.full(len(later), token[i])))
-                    size += len(later)
+            for i, j in apart(n[a:b], comp[a:b], room[a:b], percent):
+                found.append((node[a:b][i], node[a:b][j], n[a:b][i], n[a:b][j], np.full(len(i), token[a])))
+                size += len(i)
                 if size > 2_000_000:
                     found = [_counted(*(np.concatenate(x) for x in zip(*found)), percent)[:5]]
                     size = len(found[0][0])
@@ -472,29 +539,60 @@ def _across(large: DataFrame, held: DataFrame, labels: DataFrame, percent: int)
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]), pa.array(y[i : i + 50_000])], names=["a", "b"])
 
     parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    need_of = F.ceil(F.col("n") * percent / 100)
-    least = F.least(_extra_column(F.col("n")), need_of)
+    least = F.least(_extra_column(F.col("n")), _need_column(F.col("n"), percent))
     heavy = large.join(held, "node").where(F.col("held") >= least)
     rank = F.row_number().over(Window.partitionBy("node").orderBy("size", "token"))
     first = heavy.withColumn("rank", rank).where(F.col("rank") <= F.col("held") - least + 1)
-    most = (need_of - least + F.col("held")).cast("long").alias("most")
-    rows = cut(first.join(labels, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"), most), "large-groups")
+    rows = cut(first.join(labels, "node", "left").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"), (F.col("held") - F.col("rank") + 1).alias("room")), "large-groups")
     split = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    open_rows = rows.join(split, "token").select("token", "node", "n", "comp", "most")
+    open_rows = rows.join(split, "token").select("token", "node", "n", "comp", "room")
     pairs = map_batches(open_rows.repartition(parts, "token"), pair, "a long, b long").distinct()
     return pairs.select("a", "b", F.col("a").alias("leader"), F.lit(None).cast("long").alias("token"))
 
 
+#: Cells of a table of pairs that are looked at together.
+PAIR_CELLS = 1 << 18
+
+
+def apart(n: np.ndarray, comp: np.ndarray, room: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of sets in order of size: pairs of indexes in different components that may link, by sizes and room.
+
+    Sets of the largest component are partners only, so what is looked at grows with those outside it.
+    """
+    names, of, often = np.unique(comp, return_inverse=True, return_counts=True)
+    most = int(np.argmax(often))
+    rest = np.flatnonzero(of != most)
+    step = max(1, PAIR_CELLS // len(n))
+    for s in range(0, len(rest), step):
+        i = rest[s : s + step]
+        j = np.arange(np.searchsorted(n, need(n[i[0]], percent)), np.searchsorted(n, n[i[-1]] * 100 // percent, side="right"))
+        able = (of[i][:, None] != of[j]) & ((of[j] == most) | (j > i[:, None]))
+        able &= np.minimum(room[i][:, None], room[j]) >= least_shared(n[i][:, None], n[j], percent)
+        left, right = np.nonzero(able)
+        if len(left):
+            yield i[left], j[right]
+
+
 def _extra_column(n: Column) -> Column:
     return F.lit(1) + F.floor(n / 16)
 
 
+def _need_column(n: Column, percent: int) -> Column:
+    return F.ceil(n * percent / 100)
+
+
+def _least_column(na: Column, nb: Column, percent: int) -> Column:
+    """``least_shared`` of columns."""
+    rest = [_need_column(n, percent) - F.least(_extra_column(n), _need_column(n, percent)) for n in (na, nb)]
+    return F.ceil((na + nb) * percent / (100 + percent)) - F.greatest(*rest)
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, row (a hash of its text), n_shingles, node (its set; null for none), group (its component) and component_id (the smallest id reachable by links)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    passed = cut(map_batches(docs.withColumn("row", F.xxhash64("text")), _first_pass(k), "doc_id long, row long, n long, node long, payload binary"), "sets-first-pass")
+    passed = cut(map_batches(docs.withColumn("row", F.xxhash64("text")), _first_pass(k), "doc_id long, row long, n long, node long, sketch binary, payload binary"), "sets-first-pass")
     rows = passed.where("payload is null").select("doc_id", "row", "n", "node")
     linkable = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
     frequent = spark.sparkContext.broadcast(_frequent(passed.where("payload is not null"), rows.count()))
@@ -508,13 +606,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     of = lambda side: held.select(F.col("node").alias(side), F.col("held").alias(f"held_{side}"))
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     more = F.coalesce(F.least("held_a", "held_b", F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), F.lit(0))), F.lit(0))
-    pairs = pairs.where(F.col("leader").isNotNull() | (F.col("shared") + more >= F.least(_extra_column(F.col("na")), _extra_column(F.col("nb")))))
-    links = cut(_verified(docs, linkable, pairs, percent, k), "links")
+    pairs = pairs.where(F.col("shared") + more >= _least_column(F.col("na"), F.col("nb"), percent))
+    links = cut(_verified(docs, linkable, _sketched(pairs, passed, percent), percent, k), "links")
     labels = components(links)
     if held.limit(1).count():
-        more = cut(_across(large, held, labels, percent), "across")
+        more = cut(_sketched(_across(large, held, labels, percent), passed, percent), "across")
         if more.limit(1).count():
-            again = cut(_verified(docs, linkable, more, percent, k), "links")
+            again = cut(_verified(docs, linkable, more, percent, k, labels), "links")
             if again.limit(1).count():
                 labels = components(links.union(again))
     smallest = linkable.groupBy("node").agg(F.min("doc_id").alias("own"))
