@@ -34,8 +34,8 @@ from driftline.tables import cut
 
 #: Bins of a feature, beside that of missing values; rows of a block; trees that each job carries itself.
 BINS, BLOCK_ROWS, RECENT = 255, 1 << 16, 16
-#: Blocks that one task takes by itself (a million rows, some 40 to 100 MB; more go level by level over all tasks), and trees that it grows in a job.
-ALONE_BLOCKS, ALONE_TREES = 16, 50
+#: Blocks that one task takes by itself (two million rows, some 80 to 200 MB; more go level by level over all tasks), and trees that it grows in a job.
+ALONE_BLOCKS, ALONE_TREES = 32, 50
 #: Gradients in fixed point, and the least gain of a split.
 UNIT, LEAST_GAIN = float(1 << 24), 1e-6
 _MISSING = 255
@@ -390,14 +390,14 @@ def _alone(blocks, forests: list[Forest], live: list[int], held_out, codes: Code
                 for t in range(first, last):
                     columns, tree = codes.asked(columns_of(t, n, settings)), Tree.empty(settings.depth)
                     rows = [_Rows(b, held_out[m], drawn(b[5], t, settings), margin, settings) for b, margin in mine]
-                    bytes_ = sorted({codes.place[f][0] for f in columns})
+                    bytes_, before = sorted({codes.place[f][0] for f in columns}), {}
 
                     def splits(ask: dict[int, list[int]]) -> list[tuple]:
-                        sums = [sum(each) for each in zip(*(r.sums(tree, ask[m], bytes_, codes) for r in rows))]  # noqa: B023
+                        sums = _halved(rows, tree, ask[m], bytes_, codes, before)  # noqa: B023
                         return [s for byte, both in zip(bytes_, sums) for s in _splits((m, byte), both, columns, codes, settings)]  # noqa: B023
 
                     _levels({m: tree}, edges, settings, splits)
-                    mine = [(b, margin + tree.value[tree.coded(b[1], codes)]) for b, margin in mine]
+                    mine = [(b, margin + tree.value[r.ends(tree, b[1], codes)]) for r, (b, margin) in zip(rows, mine)]
                     made.append(tree)
                 yield m, mine, made
 
@@ -415,31 +415,65 @@ def _alone(blocks, forests: list[Forest], live: list[int], held_out, codes: Code
         before.unpersist()
 
 
+def _halved(rows: list["_Rows"], tree: Tree, nodes: list[int], bytes_: list[int], codes: Codes, before: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of all blocks by node and value, for each byte. Of two children the one of fewer rows is summed; the other has the rest of what their
+    parent has. ``before`` holds the parents' sums (node -> byte -> sums) and gets those of ``nodes``; sums are exact, and so are differences."""
+    often = sum(r.move(tree, codes) for r in rows)
+    parent = lambda node: (node - 1) // 2
+    beside = lambda node: node + 1 if node % 2 else node - 1
+    less = {node for node in nodes if parent(node) not in before or (often[node], node) < (often[beside(node)], beside(node))}
+    some = [node for node in nodes if node in less]
+    found = [sum(each) for each in zip(*(r.sums(some, bytes_, codes) for r in rows))]
+    own = {node: [both[:, i] for both in found] for i, node in enumerate(some)}
+    for node in nodes:
+        if node not in less:
+            own[node] = [whole - part for whole, part in zip(before[parent(node)], own[beside(node)])]
+    before.clear()
+    before.update(own)
+    return [np.stack([own[node][k] for node in nodes], axis=1) for k in range(len(bytes_))]
+
+
 class _Rows:
     """The rows of a block that a tree of a model draws: bytes, gradients, and the node that each has come to."""
 
     def __init__(self, block: tuple, out: int | None, drawn: np.ndarray, margin: np.ndarray, settings: Settings):
         _, codes, y, w, fold, _ = block
-        own = np.flatnonzero(drawn if out is None else drawn & (fold != out))
+        self.own = own = np.flatnonzero(drawn if out is None else drawn & (fold != out))
         self.codes, self.node = codes.take(own, axis=1), np.zeros(len(own), np.intp)
         self.g, self.h = gradients(margin[own], y[own], w[own], settings.logistic)
+        self.alike = len(own) > 0 and bool((self.h == self.h[0]).all())  # then counts tell their sums
 
-    def sums(self, tree: Tree, nodes: list[int], bytes_: list[int], codes: Codes) -> list[np.ndarray]:
-        """Sums of gradients by node and value, for each byte."""
-        place = np.full(len(tree.feature), -1)
-        place[nodes] = np.arange(len(nodes))
+    def move(self, tree: Tree, codes: Codes) -> np.ndarray:
+        """Rows go on to the nodes that the tree has by now; how many are in each."""
         self.node = tree.coded(self.codes, codes, self.node)
+        return np.bincount(self.node, minlength=len(tree.feature))
+
+    def ends(self, tree: Tree, rows: np.ndarray, codes: Codes) -> np.ndarray:
+        """The node that each row of the block ends in, drawn or not."""
+        self.move(tree, codes)
+        node = np.empty(rows.shape[1], np.intp)
+        rest = np.ones(len(node), bool)
+        rest[self.own] = False
+        rest = np.flatnonzero(rest)
+        node[self.own] = self.node
+        node[rest] = tree.coded(rows.take(rest, axis=1), codes)
+        return node
+
+    def sums(self, nodes: list[int], bytes_: list[int], codes: Codes) -> list[np.ndarray]:
+        """Sums of gradients by node and value, for each byte."""
+        place = np.full(max(int(self.node.max(initial=0)), max(nodes)) + 1, -1)
+        place[nodes] = np.arange(len(nodes)) * 256
         at = place.take(self.node)
         some = np.flatnonzero(at >= 0)
         every = len(some) == len(at)  # no row has stopped yet
-        at, g, h = (at, self.g, self.h) if every else (at.take(some), self.g.take(some), self.h.take(some))
-        out = []
+        at, g, h = (at, self.g, self.h) if every else (at.take(some), self.g.take(some), self.h if self.alike else self.h.take(some))
+        out, size = [], len(nodes) * 256
         for byte in bytes_:
-            cells = codes.cells[byte]
-            value = self.codes[byte] if every else self.codes[byte].take(some)
-            cell = at * cells + value
-            both = np.stack([np.bincount(cell, v, len(nodes) * cells) for v in (g, h)]).astype(np.int64)
-            out.append(both.reshape(2, len(nodes), cells))
+            cell = at + (self.codes[byte] if every else self.codes[byte].take(some))
+            both = np.empty((2, size), np.int64)
+            both[0] = np.bincount(cell, g, size)
+            both[1] = np.bincount(cell, minlength=size) * int(self.h[0]) if self.alike else np.bincount(cell, h, size)
+            out.append(both.reshape(2, len(nodes), 256)[:, :, : codes.cells[byte]])
         return out
 
 
@@ -467,7 +501,8 @@ def _level(run: str, t: int, settings: Settings, columns: list[int], codes: Code
             for m, nodes in ask.items():
                 margin = _margin(run, m, block[0], block[1], codes, bases[m], old, recent[m], n_old)
                 own = _Rows(block, held_out[m], rows, margin, settings)
-                for byte, both in zip(bytes_, own.sums(growing[m], nodes, bytes_, codes)):
+                own.move(growing[m], codes)
+                for byte, both in zip(bytes_, own.sums(nodes, bytes_, codes)):
                     total[m, byte] = total[m, byte] + both if (m, byte) in total else both
         yield from total.items()
 

@@ -171,6 +171,38 @@ class Asked(Exception):
     pass
 
 
+@pytest.mark.parametrize("binary", [False, True])
+def test_sums_of_the_smaller_children_tell_the_others(binary, monkeypatch):
+    rng, n = np.random.default_rng(8), 3000
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 5, n).astype(float), rng.normal(size=n)])
+    edges = [np.sort(rng.normal(size=30)), np.arange(4.0), np.sort(rng.normal(size=200))]
+    codes = boosting.Codes.of(edges, [n] * 3, n)
+    settings = boosting.Settings(depth=4, min_weight=1.0, logistic=binary)
+    y, w = (x[:, 0] + rng.normal(size=n) > 0.5).astype(float), np.ones(n)
+    bins = codes.encode(boosting.binned(x, edges))
+    cut_ = lambda s: (0, bins[:, s], y[s], w[s], np.zeros(n, np.int32)[s], None)
+    rows = [boosting._Rows(cut_(s), None, rng.random(n)[s] < 0.9, np.zeros(n)[s], settings) for s in (slice(0, 1000), slice(1000, n))]
+    summed, real, before, tree = [], boosting._Rows.sums, {}, boosting.Tree.empty(settings.depth)
+    monkeypatch.setattr(boosting._Rows, "sums", lambda self, nodes, *a: summed.append(int(np.isin(self.node, nodes).sum())) or real(self, nodes, *a))
+    bytes_, levels, some = list(range(len(codes.cells))), 0, 0
+
+    def splits(ask):
+        nonlocal levels, some
+        summed.clear()
+        sums = boosting._halved(rows, tree, ask[0], bytes_, codes, before)
+        levels, some = levels + 1, some + sum(summed)
+        if levels > 1:
+            assert 2 * sum(summed) <= sum(int(np.isin(r.node, ask[0]).sum()) for r in rows)
+        for k, whole in enumerate(zip(*(real(r, ask[0], bytes_, codes) for r in rows))):
+            assert (sums[k] == sum(whole)).all()
+        return [s for byte, both in zip(bytes_, sums) for s in boosting._splits((0, byte), both, [0, 1, 2], codes, settings)]
+
+    boosting._levels({0: tree}, edges, settings, splits)
+    assert levels == settings.depth
+    ends = np.concatenate([r.ends(tree, b, codes) for r, b in zip(rows, (bins[:, :1000], bins[:, 1000:]))])
+    assert (ends == tree.coded(bins, codes)).all()
+
+
 @pytest.mark.parametrize("name, trees", [("gbt_predict", 600), ("classifier_predict", 400), ("feature_importance", 600), ("leave_one_out", 600)])
 def test_trees(spark, monkeypatch, name, trees):
     def asked(prepared, columns, y, settings, *a, **k):
