@@ -421,7 +421,7 @@ def _join_blocks(percent: int):
     return run
 
 
-def _sketched(pairs: DataFrame, passed: DataFrame, percent: int) -> DataFrame:
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, leader, token) whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,8 +438,7 @@ def _sketched(pairs: DataFrame, passed: DataFrame, percent: int) -> DataFrame:
 
     pairs = cut(pairs.select("a", "b", "leader", "token"), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    own = passed.where("node is not null and doc_id is not null").select("node", "n", "sketch").join(nodes, F.col("node") == F.col("_node"), "left_semi")
-    own = cut(own.dropDuplicates(["node"]), "sketches")
+    own = cut(sketches.join(nodes, F.col("node") == F.col("_node"), "left_semi"), "sketches")
     of = lambda side: own.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     return map_batches(both.select("a", "b", "leader", "token", "sketch_a", "sketch_b", "na", "nb"), run, "a long, b long, leader long, token long")
@@ -595,6 +594,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     passed = cut(map_batches(docs.withColumn("row", F.xxhash64("text")), _first_pass(k), "doc_id long, row long, n long, node long, sketch binary, payload binary"), "sets-first-pass")
     rows = passed.where("payload is null").select("doc_id", "row", "n", "node")
     linkable = rows.where("node is not null and doc_id is not null").select("doc_id", "node")
+    sketches = cut(passed.where("node is not null and doc_id is not null").select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")  # copies before any shuffle
     frequent = spark.sparkContext.broadcast(_frequent(passed.where("payload is not null"), rows.count()))
     buckets = buckets_for(docs, "text")  # by bytes of text; a task has about two
     sent = map_batches(docs, _send(frequent, k, percent, buckets), "bucket int, payload binary")
@@ -607,10 +607,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     more = F.coalesce(F.least("held_a", "held_b", F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), F.lit(0))), F.lit(0))
     pairs = pairs.where(F.col("shared") + more >= _least_column(F.col("na"), F.col("nb"), percent))
-    links = cut(_verified(docs, linkable, _sketched(pairs, passed, percent), percent, k), "links")
+    links = cut(_verified(docs, linkable, _sketched(pairs, sketches, percent), percent, k), "links")
     labels = components(links)
     if held.limit(1).count():
-        more = cut(_sketched(_across(large, held, labels, percent), passed, percent), "across")
+        more = cut(_sketched(_across(large, held, labels, percent), sketches, percent), "across")
         if more.limit(1).count():
             again = cut(_verified(docs, linkable, more, percent, k, labels), "links")
             if again.limit(1).count():
